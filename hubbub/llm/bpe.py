@@ -16,7 +16,8 @@ import sys
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WITH_SPACE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WORDS_ONLY = re.compile(f"[^{WHITE}]+")
-MAX_KEPT = 600_000
+MAX_KEPT = 1_000_000
+RENEW_AFTER = 1_000_000
 LONGEST_KEPT = 64
 
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -32,6 +33,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.pieces = (WITH_SPACE if keeps_space else WORDS_ONLY).findall
         self.kept: dict[str, bytes] = {}
+        self.met = self.missed = 0
 
     def packed(self, text: str | None) -> bytes:
         if not text:
@@ -42,12 +44,17 @@ class Encoder:
             return b"".join(map(kept.__getitem__, pieces))
         except KeyError:
             pass
-        if len(kept) > MAX_KEPT:
-            kept.clear()
         new = [p for p in set(pieces) if p not in kept]
         ids = {p: _pack(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
         out = b"".join([kept[p] if p in kept else ids[p] for p in pieces])
-        kept.update((p, v) for p, v in ids.items() if len(p) <= LONGEST_KEPT)
+        if len(kept) < MAX_KEPT:
+            kept.update((p, v) for p, v in ids.items() if len(p) <= LONGEST_KEPT)
+        else:  # frequent pieces come early and stay, unless the texts have changed
+            self.met, self.missed = self.met + len(pieces), self.missed + len(new)
+            if self.met > RENEW_AFTER:
+                if self.missed > self.met // 4:
+                    kept.clear()
+                self.met = self.missed = 0
         return out
 
 
