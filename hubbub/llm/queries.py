@@ -10,7 +10,8 @@ from .near_dedup import op7_near_dedup
 from .packing import op5_packing
 from .pii import op8_pii
 from .quality import op10_quality
+from .repeats import op4_repeats
 from .token_store import op1_token_store
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_langid, op3_html, op5_packing, op6_decontam, op7_near_dedup, op8_pii, op9_media, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_langid, op3_html, op4_repeats, op5_packing, op6_decontam, op7_near_dedup, op8_pii, op9_media, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}
