@@ -9,8 +9,8 @@ of similarity 0.85 share no band with a chance of about 1e-5.
 Equal sets are one class, found by a 128-bit hash of the set, so copies are never paired.
 Classes that share a band are candidates. First each band's classes are compared with the
 band's hub (the class whose bands are shared most); links are grouped; then every pair of a
-band that is still in two groups is compared, unless 1-bit signatures differ so much that
-the similarity cannot be reached (chance about 1e-6). All links are confirmed on full sets
+band that is still in two groups is compared, unless signatures (4 bits a slot) differ in
+more slots than a pair of similarity 0.85 does (chance about 1e-5). All links are confirmed on full sets
 and grouped by union-find (graph.py).
 
 Rows: a null, empty or word-free text has an empty set and no links; fewer words than five
@@ -34,9 +34,9 @@ from .graph import components
 
 WORDS = 5
 BANDS, ROWS = 24, 6
-SLOTS = BANDS * ROWS
+SLOTS = 2 * BANDS * ROWS  # the bands take half of them
 PERCENT = 85
-MOST_BITS = 28  # of SLOTS 1-bit values; at 0.85 the mean is 10.8 and the deviation 3.2
+MOST_UNLIKE = 66  # of SLOTS 4-bit values; at 0.85 the mean is 40.5 and the deviation 5.9
 STEP = np.uint64(40)
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -84,15 +84,21 @@ def signature(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
-    for column in sig.reshape(BANDS, ROWS).T:
+    for column in sig[: BANDS * ROWS].reshape(BANDS, ROWS).T:
         key = mix(key * _GOLD + column)
     return key.view(np.int64)
 
 
-def one_bits(sig: np.ndarray) -> np.ndarray:
-    bits = np.zeros(192, np.uint8)
-    bits[:SLOTS] = mix(sig) & np.uint64(1)
-    return np.packbits(bits).view(">i8").astype(np.int64)
+def four_bits(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each slot, sixteen slots a long."""
+    nibbles = (mix(sig) & np.uint64(15)).reshape(-1, 16)
+    return (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def unlike(a: str, b: str) -> str:
+    """SQL for the number of slots whose four bits differ."""
+    x = [f"({a}[{i}] ^ {b}[{i}])" for i in range(SLOTS // 16)]
+    return " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441L)" for v in x)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
@@ -111,18 +117,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                         continue
                     digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
                     sig = signature(x)
-                    s1.append(int(digest[0])), s2.append(int(digest[1])), bits.append(one_bits(sig)), keys.append(bands(sig))
+                    s1.append(int(digest[0])), s2.append(int(digest[1])), bits.append(four_bits(sig)), keys.append(bands(sig))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)], names=["doc_id", "n", "s1", "s2", "bits", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits array<long>, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets reach the similarity."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    needed = stored(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), "dedup-texts")
-    both = pairs.join(needed.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").join(needed.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets reach the similarity; texts holds (id, text) of all of them."""
+    both = pairs.hint("merge").join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").hint("merge").join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: list[tuple] = [(None, None), (None, None)]
@@ -150,15 +154,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "classes")
 
     # every band of every class; bands that one class alone has are dropped
-    rows = classes.selectExpr("rep", "s1", "n", "bits", "explode(bands) key")
+    rows = classes.selectExpr("rep", "s1", "n", "bits", "posexplode(bands) as (band, key)")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     rows = stored(rows.join(shared, "key"), "bands")
     weight = rows.groupBy("rep", "s1").agg(F.sum("size").alias("weight"))
     hubs = rows.join(weight, ["rep", "s1"]).groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("first"), "n", "bits")).alias("hub"))
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m) and bit_count(bits[0] ^ others[0]) + bit_count(bits[1] ^ others[1]) + bit_count(bits[2] ^ others[2]) <= {MOST_BITS}"
+    close = f"100 * least(n, m) >= {percent} * greatest(n, m) and {unlike('bits', 'others')} <= {MOST_UNLIKE}"
     stars = rows.join(hubs.selectExpr("key", "-hub.first hub", "hub.n m", "hub.bits others"), "key").where("rep <> hub").where(close)
     pairs = stored(stars.selectExpr("least(rep, hub) a", "greatest(rep, hub) b").distinct(), "pairs")
-    links = stored(confirmed(pairs, docs, percent), "links")
+    # the texts of all candidates, fetched once; always by a merge join, as the ids grow with the corpus
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = stored(texts.join(rows.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi"), "dedup-texts")
+    links = stored(confirmed(pairs, texts, percent), "links")
 
     # ids that several rows with different sets share
     same = known.join(classes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).select("doc_id", "rep")
@@ -169,11 +176,13 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # pairs of a band whose classes are still in two groups
     grouped = rows.join(groups.withColumnsRenamed({"node": "rep", "component": "found"}), "rep", "left").withColumn("found", F.coalesce("found", "rep"))
     open_keys = grouped.groupBy("key").agg(F.min("found").alias("x"), F.max("found").alias("y")).where("x < y").select("key")
-    left = stored(grouped.join(open_keys, "key").select("key", "rep", "n", "bits", "found"), "open")
-    other = left.withColumnsRenamed({"rep": "rep2", "n": "m", "bits": "others", "found": "found2"})
-    more = left.join(other, "key").where("found < found2").where(close).selectExpr("least(rep, rep2) a", "greatest(rep, rep2) b").distinct()
+    left = grouped.join(open_keys, "key").join(classes.select("rep", "s1", "bands"), ["rep", "s1"]).select("key", "band", "rep", "n", "bits", "found", "bands")
+    left = stored(left, "open")
+    other = left.drop("band").withColumnsRenamed({"rep": "rep2", "n": "m", "bits": "others", "found": "found2", "bands": "bands2"})
+    once = "not exists(sequence(0, band), i -> i < band and bands[i] = bands2[i])"  # each pair in its first shared band
+    more = left.join(other, "key").where("found < found2").where(close).where(once).selectExpr("least(rep, rep2) a", "greatest(rep, rep2) b").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    groups = stored(components(edges.unionAll(confirmed(more, docs, percent))), "groups")
+    groups = stored(components(edges.unionAll(confirmed(more, texts, percent))), "groups")
 
     found = classes.select("s1", "s2", "n", "rep").join(groups.withColumnsRenamed({"node": "rep", "component": "found"}), "rep", "left").selectExpr("s1", "s2", "n", "coalesce(found, rep) component_id")
     out = sketches.select("doc_id", "n", "s1", "s2").join(found, ["s1", "s2", "n"], "left")
