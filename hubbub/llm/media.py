@@ -153,7 +153,9 @@ class MediaReader(DataSourceReader):
         """Ranges of at most range_bytes; only names and sizes are looked at here."""
         return [ByteRange(path, k, k + self.range_bytes) for path, size in list_files(self.folder, ".zip") for k in range(0, size, self.range_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if not isinstance(partition, ByteRange):  # a folder without archives has no ranges
+            return
         system, name = filesystem(partition.path)
         with system.open_input_file(name) as data, zipfile.ZipFile(data) as archive:
             own = [i for i in archive.infolist() if partition.start <= i.header_offset < partition.stop]
