@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import board, grouping, metrics, moderation, windows
 from ..sources import events as E
+from . import context_queries
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,3 +64,6 @@ ORACLE_SQL: dict[str, str] = {
     "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY count DESC, host) AS INTEGER) AS rank FROM h) SELECT * FROM r WHERE rank <= 5",
     "injection": f"WITH {_EVENTS}, r AS (SELECT channel, event_id, author, ts_ms, CAST(row_number() OVER (PARTITION BY channel ORDER BY ts_ms, event_id) AS INTEGER) AS rank FROM events_view WHERE type = 'chat_message' AND regexp_matches(text, '(?i)\\bignore (?:all |the )?(?:previous|prior|above|earlier)')) SELECT * FROM r WHERE rank <= 5",
 }
+
+QUERIES |= context_queries.QUERIES
+ORACLE_SQL |= context_queries.ORACLE_SQL
