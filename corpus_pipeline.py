@@ -16,6 +16,9 @@ from hubbub.llm import decontam, near_dedup, packing, pii, quality
 from hubbub.llm.bpe import vocabulary
 from hubbub.llm.common import stored, table
 
+#: Copies of one document share this percentage of their word shingles; op7_near_dedup's own contract is 85.
+NEAR_PERCENT = 80
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -24,7 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each group, and one row where rows repeat it."""
-    found = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    found = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
     left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
     return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
 

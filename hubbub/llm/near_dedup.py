@@ -3,15 +3,16 @@
 A document's set holds its distinct 5-word shingles (64-bit hashes). In a SuperMinHash
 signature each element visits the slots in its own random order and offers value + step at
 its step; all elements step together and stop as soon as every slot is filled by a step
-that later ones cannot beat. Signatures of SLOTS slots are cut into BANDS bands; two sets
-of similarity 0.85 share no band with a chance of about 1e-5.
+that later ones cannot beat. Bands are cut from signatures of SLOTS slots. Their number and
+width follow from the similarity asked for (`tuned`): two sets of exactly that similarity
+share no band with a chance of at most MISS (24 bands of 6 at 0.85, 29 of 5 at 0.80).
 
 Equal sets are one class, found by a 128-bit hash of the set, so copies are never paired.
 Classes that share a band are candidates. First each band's classes are compared with the
 band's hub (the class whose bands are shared most); links are grouped; then every pair of a
 band that is still in two groups is compared, unless signatures (4 bits a slot) differ in
-more slots than a pair of similarity 0.85 does (chance about 1e-5). All links are confirmed on full sets
-and grouped by union-find (graph.py).
+more slots than a pair of that similarity does (chance at most MISS again). All links are
+confirmed on full sets and grouped by union-find (graph.py).
 
 Rows: a null, empty or word-free text has an empty set and no links; fewer words than five
 are one shingle; rows that repeat a doc_id are one vertex (linked if any of them is); a
@@ -21,6 +22,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +35,26 @@ from .common import stored, table, utf8
 from .graph import components
 
 WORDS = 5
-BANDS, ROWS = 24, 6
-SLOTS = 2 * BANDS * ROWS  # the bands take half of them
+SLOTS = 288
+BAND_SLOTS = 172  # the bands take about half of the slots
 PERCENT = 85
-MOST_UNLIKE = 66  # of SLOTS 4-bit values; at 0.85 the mean is 40.5 and the deviation 5.9
+MISS = 1.2e-5
 STEP = np.uint64(40)
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def tuned(percent: int) -> tuple[int, int, int]:
+    """Bands, slots a band and the most unlike 4-bit slots at which a pair of exactly this similarity is missed by at most MISS."""
+    same = percent / 100
+    cuts = ((math.ceil(math.log(MISS) / math.log1p(-min(same**rows, 1 - 1e-9))), rows) for rows in range(1, BAND_SLOTS + 1))
+    n_bands, rows = max((c for c in cuts if c[0] * c[1] <= BAND_SLOTS), key=lambda c: c[1])
+    differ = (1 - same) * 15 / 16
+    beyond, most = 0.0, SLOTS
+    while most and (beyond := beyond + math.comb(SLOTS, most) * differ**most * (1 - differ) ** (SLOTS - most)) <= MISS:
+        most -= 1
+    return n_bands, rows, most
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX1
     x = (x ^ (x >> np.uint64(27))) * _MIX2
@@ -82,9 +96,9 @@ def signature(elements: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return best
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
-    for column in sig[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+def bands(sig: np.ndarray, n_bands: int, rows: int) -> np.ndarray:
+    key = np.arange(1, n_bands + 1, dtype=np.uint64) * _GOLD
+    for column in sig[: n_bands * rows].reshape(n_bands, rows).T:
         key = mix(key * _GOLD + column)
     return key.view(np.int64)
 
@@ -101,8 +115,9 @@ def unlike(a: str, b: str) -> str:
     return " + ".join(f"bit_count(({v} | shiftrightunsigned({v}, 1) | shiftrightunsigned({v}, 2) | shiftrightunsigned({v}, 3)) & 1229782938247303441L)" for v in x)
 
 
-def sketch(docs: DataFrame) -> DataFrame:
+def sketch(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), s1 and s2 (128-bit hash of the set), bits and bands (null when the set is empty)."""
+    n_bands, rows, _ = tuned(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,7 +132,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                         continue
                     digest = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
                     sig = signature(x)
-                    s1.append(int(digest[0])), s2.append(int(digest[1])), bits.append(four_bits(sig)), keys.append(bands(sig))
+                    s1.append(int(digest[0])), s2.append(int(digest[1])), bits.append(four_bits(sig)), keys.append(bands(sig, n_bands, rows))
                 longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, longs), pa.array(keys, longs)], names=["doc_id", "n", "s1", "s2", "bits", "bands"])
 
@@ -149,7 +164,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Dat
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for every row of docs."""
-    sketches = stored(sketch(docs), "sketches")
+    sketches = stored(sketch(docs, percent), "sketches")
     known = sketches.where("doc_id is not null and n > 0")
     classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "classes")
 
@@ -159,7 +174,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = stored(rows.join(shared, "key"), "bands")
     weight = rows.groupBy("rep", "s1").agg(F.sum("size").alias("weight"))
     hubs = rows.join(weight, ["rep", "s1"]).groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("first"), "n", "bits")).alias("hub"))
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m) and {unlike('bits', 'others')} <= {MOST_UNLIKE}"
+    close = f"100 * least(n, m) >= {percent} * greatest(n, m) and {unlike('bits', 'others')} <= {tuned(percent)[2]}"
     stars = rows.join(hubs.selectExpr("key", "-hub.first hub", "hub.n m", "hub.bits others"), "key").where("rep <> hub").where(close)
     pairs = stored(stars.selectExpr("least(rep, hub) a", "greatest(rep, hub) b").distinct(), "pairs")
     # the texts of all candidates, fetched once; always by a merge join, as the ids grow with the corpus
