@@ -1,12 +1,15 @@
 """Operator 8 [native], personal data by boosted trees over proposed spans.
 
 Generators with high recall propose overlapping spans of four kinds. Strict checks decide
-the base spans, which always stay. Boosted trees score every other proposal by its format
-(digits, separators, brackets, length) and context (neighbouring characters, a cue word
-before it, other kinds in the text); they learn from all proposals of the corpus, whether
-those pass their kind's strict check standing as the label. Thresholds are calibrated on
-documents the trees did not learn from: the lowest score from which at least PRECISION of
-the proposals pass, with at least SUPPORT of them.
+the base spans, which always stay. Every other proposal is tested for evidence of its own
+(`_evident`): an address that is one once (at) and (dot) are read as signs, or has spaces
+about its @ after a mail word; a number of 9 to 15 digits with a bracketed area code, or
+after a phone word. Such proposals, cut to what the evidence covers, are always taken, so
+that a text's spans do not depend on the corpus around it. Boosted trees score the rest by
+format (digits, separators, brackets, length) and context (neighbouring characters, a cue
+word before it, other kinds in the text). They learn the evidence from all proposals but the
+base spans. Thresholds are calibrated on documents the trees did not learn from: the lowest
+score from which at least PRECISION of the proposals are evident, with at least SUPPORT.
 
 Features are few and discrete, so the corpus is summed into one count for each feature
 pattern (some thousands of rows at most, whatever the corpus) and trees are grown on those
@@ -46,6 +49,13 @@ LOOSE = {
 }
 NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": "[0-9]"}
 CUES = r"(?i)(tel|phone|call|fax|mobile|card|visa|pay|account|ip|host|server|address|mail|email|contact|reach|write)\W*$"
+_DOT = r"(?:\.|\x20?(?:\(dot\)|\[dot\])\x20?)"
+_DOMAIN = rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*?{_DOT}[A-Za-z]{{2,}}+(?![A-Za-z0-9-]|{_DOT}[A-Za-z0-9])"
+#: By kind: forms that are evidence by themselves, forms that are after a cue word, those words.
+EVIDENCE = {
+    "email": (rf"^[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\])\x20?{_DOMAIN}", rf"^[A-Za-z0-9._%+-]++\x20?@\x20?{_DOMAIN}", r"(?i)(mail|address|contact|reach|write)\W*$"),
+    "phone": (r"^(?:\+?[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"^[0-9]{2,15}(?:[\x20.-]?[0-9]{2,4}){0,5}(?![0-9])", r"(?i)\b(tel|telephone|phone|call|fax|mobile)\W*$"),
+}
 BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 SPAN = "array<struct<s:int,e:int,t:string>>"
 
@@ -84,6 +94,21 @@ def _proposed(kind: str, c: Column) -> Column:
     return {"card": _digits(t).between(12, 20), "phone": _digits(t).between(7, 16)}.get(kind, F.lit(True))
 
 
+def _around(c: Column, text: Column) -> Column:
+    """Up to twelve characters before a span."""
+    return F.substring(text, F.greatest(c["s"] - 11, F.lit(1)), F.least(c["s"], F.lit(12)))
+
+
+def _evident(kind: str, c: Column, text: Column) -> Column:
+    """The part of a proposal, from its start, that is personal data by evidence other than the strict pattern; else empty."""
+    if kind not in EVIDENCE:
+        return F.lit("")
+    alone, cued, words = EVIDENCE[kind]
+    part = lambda pattern: F.regexp_extract(c["t"], pattern, 0)
+    found = F.when(part(alone) != "", part(alone)).when(_around(c, text).rlike(words), part(cued)).otherwise("")
+    return F.when(_digits(found).between(9, 15), found).otherwise("") if kind == "phone" else found
+
+
 def _only(test, kind: str):
     return lambda c: test(kind, c)
 
@@ -95,14 +120,13 @@ def _features(kind: str, c: Column, text: Column, company: Column) -> list[Colum
     t = c["t"]
     before = F.when(c["s"] > 0, F.substring(text, c["s"], F.lit(1))).otherwise("")
     after = F.substring(text, c["e"] + 1, F.lit(1))
-    around = F.substring(text, F.greatest(c["s"] - 11, F.lit(1)), F.least(c["s"], F.lit(12)))
     sort = lambda x: F.when(x == "", 0).when(x.rlike(r"\s"), 1).when(x.rlike(r"[\p{L}]"), 2).when(x.rlike("[0-9]"), 3).otherwise(4)
-    values = (F.least(_digits(t), F.lit(20)), t.contains(" ").cast("int"), t.contains("-").cast("int"), t.rlike(r"[()\[\]]").cast("int"), t.contains(".").cast("int"), F.least(F.length(t) / 8, F.lit(4)).cast("int"), sort(before), sort(after), around.rlike(CUES).cast("int"), company.cast("int"))
+    values = (F.least(_digits(t), F.lit(20)), t.contains(" ").cast("int"), t.contains("-").cast("int"), t.rlike(r"[()\[\]]").cast("int"), t.contains(".").cast("int"), F.least(F.length(t) / 8, F.lit(4)).cast("int"), sort(before), sort(after), _around(c, text).rlike(CUES).cast("int"), company.cast("int"))
     return [v.cast("int").alias(n) for v, n in zip(values, FEATURES, strict=True)]
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """docs with `base` (kind, s, e) and `more` (kind, s, e, passes, features) added."""
+    """docs with `base` (kind, s, e) and `more` (kind, s, e, passes: is a base span, evident, features) added."""
     text = F.coalesce(F.col("text"), F.lit(""))
     found = docs.withColumns({f"_base_{k}": F.filter(_spans(text, BASE[k], NEEDS[k]), _only(_strict, k)) for k in KINDS})
     found = found.withColumns({f"_more_{k}": F.filter(_spans(text, LOOSE[k], NEEDS[k]), _only(_proposed, k)) for k in KINDS})
@@ -111,7 +135,13 @@ def proposals(docs: DataFrame) -> DataFrame:
 
     def one(i: int, k: str) -> Column:
         others = sum((F.size(own[o]) for o in KINDS if o != k), F.lit(0)) > 0
-        return F.transform(F.col(f"_more_{k}"), lambda c: F.struct(F.lit(i).alias("kind"), c["s"].alias("s"), c["e"].alias("e"), F.exists(own[k], lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"])).alias("passes"), *_features(k, c, text, others)))
+        def row(c: Column) -> Column:
+            sure = F.length(_evident(k, c, text))
+            passes = F.exists(own[k], lambda b: (b["s"] == c["s"]) & (b["e"] == c["e"]))
+            end = F.when((sure > 0) & ~passes, c["s"] + sure).otherwise(c["e"])
+            return F.struct(F.lit(i).alias("kind"), c["s"].alias("s"), end.alias("e"), passes.alias("passes"), (sure > 0).alias("evident"), *_features(k, c, text, others))
+
+        return F.transform(F.col(f"_more_{k}"), row)
 
     return found.withColumns({"base": base, "more": F.concat(*[one(i, k) for i, k in enumerate(KINDS)])}).drop(*[f"_{p}_{k}" for p in ("base", "more") for k in KINDS])
 
@@ -167,13 +197,13 @@ def boosted(rows: list[tuple], good: list[int], bad: list[int], rounds: int = RO
 def fit(found: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -> dict[int, tuple[str, float]]:
     """For each kind: the score as SQL over c, and the score from which proposals are taken."""
     learns = (F.pmod(F.xxhash64("text"), F.lit(4)) > 0).alias("learns")
-    counted = found.select(learns, F.explode("more").alias("c")).groupBy("learns", "c.kind", "c.passes", *[f"c.{f}" for f in FEATURES]).count().collect()  # by feature pattern
+    counted = found.select(learns, F.explode("more").alias("c")).where("not c.passes").groupBy("learns", "c.kind", "c.evident", *[f"c.{f}" for f in FEATURES]).count().collect()  # by feature pattern
     models = {}
     for i in range(len(KINDS)):
         tables: list[dict[tuple, list[int]]] = [{}, {}]
         for r in counted:
             if r.kind == i:
-                tables[r.learns].setdefault(tuple(r[f] for f in FEATURES), [0, 0])[r.passes] += r["count"]
+                tables[r.learns].setdefault(tuple(r[f] for f in FEATURES), [0, 0])[r.evident] += r["count"]
         held, taught = ({k: t[k] for k in sorted(t)} for t in tables)
         if not taught or not held:
             continue
@@ -194,7 +224,7 @@ def fit(found: DataFrame, precision: float = PRECISION, support: int = SUPPORT)
 def with_spans(found: DataFrame, models: dict[int, tuple[str, float]]) -> DataFrame:
     """`spans` (kind, s, e), sorted: the base spans and the proposals that reach their kind's threshold."""
     taken = "false" if not models else "case c.kind " + " ".join(f"when {i} then {sql} >= {t!r}D" for i, (sql, t) in models.items()) + " else false end"
-    added = F.expr(f"transform(filter(more, c -> not c.passes and ({taken})), c -> struct(c.kind as kind, c.s as s, c.e as e))")
+    added = F.expr(f"transform(filter(more, c -> not c.passes and (c.evident or {taken})), c -> struct(c.kind as kind, c.s as s, c.e as e))")
     return found.withColumn("spans", F.array_sort(F.array_distinct(F.concat("base", added)))).drop("more")
 
 

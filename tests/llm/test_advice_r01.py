@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from hubbub.llm import decontam, near_dedup
+from hubbub.llm import decontam, near_dedup, pii
 
 
 def _near_pairs(spark, shared, own, pairs=1500):
@@ -55,3 +55,20 @@ def test_leaks_in_another_order(spark):
     want = {(d, i): s for i, item in items.items() for d, text in docs.items() if d // 1000 == i and (s := _best(text, item)) >= 0.8}
     got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
     assert got == pytest.approx(want) and (0, 0) in want and (1, 0) in want and len(want) > 100
+
+
+def test_personal_data_by_evidence(spark):
+    texts = {
+        1: ("Ask john (at) example (dot) com. Thanks", ["john (at) example (dot) com"]),
+        2: ("ring (017) 555-7713 now", ["(017) 555-7713"]),
+        3: ("phone: 017 555 7713", ["017 555 7713"]),
+        4: ("email: jo.hn @ example.org, or jane[at]mail.example.org!", ["jo.hn @ example.org", "jane[at]mail.example.org"]),
+        5: ("we met @ home. Later 0123456789 items (2019) and 2020-2021", []),
+        6: ("write a@b.co. Thanks", ["a@b.co"]),
+    }
+    few = [(i, t) for i, (t, _) in texts.items()]
+    for rows in (few, few + [(i, f"see {i} @ place. Then order 20{i} 10{i} 3000") for i in range(1000, 1600)]):
+        got = {r.doc_id: [r.text[s.s : s.e] for s in r.spans] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {i: got[i] for i in texts} == {i: want for i, (_, want) in texts.items()}
+    clean = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(few, "doc_id long, text string")).collect()}
+    assert clean[1] == "Ask [EMAIL]. Thanks" and clean[2] == "ring [PHONE] now" and clean[5] == texts[5][0]
