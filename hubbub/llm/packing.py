@@ -10,14 +10,14 @@ The stream is never in one place. Ids are stored once, in the shared folder; qua
 the order key cut it into many small buckets; the tokens of each bucket are summed (a row a
 bucket on the driver); each bucket then knows where in the stream it begins.
 
-Rows: a null or empty text has its end id only; rows that repeat a doc_id stay documents of
-their own; a null doc_id is carried as null; an empty table gives no rows; other columns
-are ignored.
+Rows: a null or empty text has its end id only; a long text is one document of as many
+pieces as it needs; rows that repeat a doc_id stay documents of their own, equal ones in any
+order; a null doc_id is carried as null; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import chunks, encoder, vocabulary
 from .common import stored, table
 
 LENGTH = 2048
@@ -69,10 +69,17 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def place(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The grid cell of a document: hashed counts, unit length, projected, spread over the grid."""
-    counts = np.bincount((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22), minlength=len(matrix)).astype(np.float64)
-    at = (np.sqrt(counts) @ matrix) / np.sqrt(counts.sum())
+def cells(ids: np.ndarray, counts: np.ndarray, matrix: np.ndarray, rows: int = 256) -> np.ndarray:
+    """The grid cell of each document: hashed counts, unit length, projected, spread over the grid."""
+    size, ends = len(matrix), np.cumsum(counts)
+    bucket = ((ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)).astype(np.int64) % size
+    out = []
+    for k in range(0, len(counts), rows):
+        n = counts[k : k + rows]
+        own = bucket[ends[k] - n[0] : ends[k + len(n) - 1]] + np.repeat(np.arange(len(n)) * size, n)
+        roots = np.sqrt(np.bincount(own, minlength=len(n) * size).reshape(len(n), size))
+        out.append((roots @ matrix) / np.sqrt(n)[:, None])
+    at = np.concatenate(out)
     return np.clip((np.tanh(at / 2) + 1) / 2 * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
 
 
@@ -81,18 +88,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, end, matrix = encoder(tokenizer_path, True).packed, struct.pack("<I", end_id), projection()
-        small = encoder(tokenizer_path, True).tokenizer.get_vocab_size() <= 65536
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                cells, ns, out = [], [], []
-                for text in part.column(1):
-                    ids = np.frombuffer(pack(text.as_py()) + end, "<u4")
-                    cells.append(place(ids, matrix))
-                    ns.append(len(ids))
-                    out.append((ids.astype("<u2") if small else ids).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_keys(np.array(cells), BITS)), pa.array(ns, pa.int64()), pa.array(out, pa.binary())], names=["doc_id", "spot", "n", "ids"])
+        bpe, matrix = encoder(tokenizer_path), projection()
+        unit = np.dtype("<u2" if bpe.tokenizer.get_vocab_size() <= 65536 else "<u4")
+        for part in chunks(batches):
+            ids, counts = bpe.ids(part.column(1), end_id)
+            ends = np.concatenate(([0], np.cumsum(counts))) * unit.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids.astype(unit))])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hilbert_keys(cells(ids, counts, matrix), BITS)), pa.array(counts), packed], names=["doc_id", "spot", "n", "ids"])
 
     return rows.mapInArrow(encode, "doc_id long, spot long, n long, ids binary")
 
@@ -100,15 +102,16 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Dat
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids."""
     spark = docs.sparkSession
-    salt = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), 64 - ORDER_SALT_BITS)
+    # rows without an id are told apart by their place in the input, as all could be copies of one text
+    own = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
+    salt = F.shiftrightunsigned(F.xxhash64(own), 64 - ORDER_SALT_BITS)
     ids = stored(tokenized(docs, tokenizer_path, end_id).withColumn("spot", F.shiftleft("spot", ORDER_SALT_BITS).bitwiseOR(salt)), "packing-ids")
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 8 * partitions
     cuts = ids.agg(F.percentile_approx("spot", [k / n_buckets for k in range(1, n_buckets)], 20 * n_buckets).alias("cuts")).first().cuts or []
     cuts = sorted(set(cuts))
-    bucket = F.expr("0") if not cuts else _bucket(cuts)
-    placed = ids.withColumn("bucket", bucket)
+    placed = ids.withColumn("bucket", _bucket(cuts))
     sums = dict(placed.groupBy("bucket").agg(F.sum("n")).collect())
     starts, total = {}, 0
     for b in sorted(sums):
@@ -140,15 +143,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, length: int
 
 
 def _bucket(cuts: list[int]) -> F.Column:
-    """The number of cuts at or below spot: width_bucket's job for uneven cuts, by binary search."""
-
-    def search(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi) // 2
-        return f"if(spot < {cuts[mid]}L, {search(lo, mid)}, {search(mid + 1, hi)})"
-
-    return F.expr(search(0, len(cuts)))
+    """The number of cuts at or below spot, by binary search over them as one constant array."""
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    held, n = F.array(*map(F.lit, cuts)), F.lit(len(cuts))
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= n) & (F.get(held, at + step - 1) <= F.col("spot")), at + step).otherwise(at))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

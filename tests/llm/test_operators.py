@@ -1,11 +1,13 @@
 """Each operator on awkward rows and against brute force on the smallest tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hubbub.llm import bpe, decontam, html_text, langid, media, near_dedup, packing, pii, quality, repeats, token_store
@@ -53,15 +55,27 @@ def test_blocks(ids):
     assert (shard.ids(0, len(x)) == x).all() and (shard.ids(len(x) // 2, len(x)) == x[len(x) // 2 :]).all()
 
 
+def test_hilbert_curve_visits_neighbours():
+    cube = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    keys = packing.hilbert_keys(cube, 3)
+    path = cube[np.argsort(keys)]
+    assert sorted(keys) == list(range(512)) and (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
 def test_packing(spark, docs, odd):
+    from tokenizers import Tokenizer
+
     rows = packing.op5_packing(spark, SF).collect()
     at = sorted((r.sequence_id * 2048 + r.offset, r.length) for r in rows)
     assert all(a + n == b for (a, n), (b, _) in zip(at, at[1:])) and at[0][0] == 0
     assert all(r.offset + r.length <= 2048 for r in rows)
-    sums = Counter()
-    for r in rows:
+    t, sums = Tokenizer.from_file(bpe.vocabulary("byte_bpe_50k.json")), Counter()
+    ids = {d: np.array([*t.encode(text, add_special_tokens=False).ids, 1], "<u4") for d, text in docs.items()}
+    for r in sorted(rows, key=lambda r: r.start):
+        assert r.start == sums[r.doc_id] and r.doc_tokens == len(ids[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
         sums[r.doc_id] += r.length
-    assert all(sums[r.doc_id] == r.doc_tokens for r in rows) and sums.keys() == docs.keys()
+    assert sums == {d: len(x) for d, x in ids.items()}
     assert packing.pack(odd, bpe.vocabulary("byte_bpe_50k.json")).select("doc_id").distinct().count() == 10
     assert packing.pack(odd.where("false"), bpe.vocabulary("byte_bpe_50k.json")).count() == 0
 
@@ -69,10 +83,16 @@ def test_packing(spark, docs, odd):
 def test_encoder_is_the_library(docs):
     from tokenizers import Tokenizer
 
-    for name, space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
-        t, e = Tokenizer.from_file(bpe.vocabulary(name)), bpe.encoder(bpe.vocabulary(name), space)
-        for text in [*list(docs.values())[:40], "a  b\t\t c\n\n", "\x1c x \x85y <|endoftext|> z", "  ", "é é it's  ", ""]:
-            assert list(np.frombuffer(e.packed(text), "<u4")) == t.encode(text, add_special_tokens=False).ids
+    rng = random.Random(3)
+    mixed = ["".join(rng.choices(bpe.WHITE + "abcéñ×÷AZ漢字1.,'\"-|<>=&\x1c\u200b\u0338\u0301😀", k=rng.randrange(30))) for _ in range(4000)]
+    texts = [*list(docs.values())[:40], "a  b\t\t c\n\n", "\x1c x \x85y <|endoftext|> z", "  ", "é é it's  ", "", "x's; don't, we'll.\n\nTom\n Tim\tTom\n", *mixed]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        t, e = Tokenizer.from_file(bpe.vocabulary(name)), bpe.encoder(bpe.vocabulary(name))
+        ids, counts = e.ids(pa.array(texts), 7)
+        ends = np.cumsum(counts)
+        for text, end, n in zip(texts, ends, counts, strict=True):
+            assert ids[end - n : end].tolist() == [*t.encode(text, add_special_tokens=False).ids, 7], text
+    assert [b.num_rows for b in bpe.chunks([pa.record_batch({"i": [1] * 4, "t": ["", "x" * 9, "y", ""]})], most=4)] == [1, 1, 2]
 
 
 def test_language(spark, odd):
