@@ -13,7 +13,8 @@ bits (u32). The width is the one that leaves EXCEPT of the ids, or fewer, over i
 numbers are little-endian. A block decodes by itself: its place is in the index.
 
 Rows: a null text is an empty one and holds the end id only; rows that repeat a doc_id are
-documents of their own, ordered by text; a null doc_id sorts first and comes back as null;
+documents of their own, ordered by the hash of the text, then the text; a long text runs over
+as many blocks as it needs; a null doc_id sorts first and comes back as null;
 an empty table gives no shard and no rows; other columns are ignored.
 """
 
@@ -25,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder, vocabulary
+from .bpe import chunks, encoder, vocabulary
 from .common import new_path, table
 from .files import read_file, write_file
 
@@ -106,7 +107,7 @@ class Shard:
         return found[start - blocks[0] * BLOCK : stop - blocks[0] * BLOCK]
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, keeps_space: bool = False, end_id: int = END_ID, shard_ids: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END_ID, shard_ids: int = 4_000_000) -> DataFrame:
     """Write shards under `folder`; return the manifest (path, task, seq, n_docs, n_ids), read from its table.
 
     Documents are dealt by ranges of doc_id, so a task holds one range and shards follow
@@ -120,32 +121,25 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, keeps_space:
         from pyspark import TaskContext
 
         task, seq = TaskContext.get().partitionId(), 0
-        encode = encoder(tokenizer_path, keeps_space).packed
-        end = struct.pack("<I", end_id)
-        keys: list[int] = []
-        counts: list[int] = []
-        held: list[bytes] = []
-        n_held = 0
+        bpe = encoder(tokenizer_path)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            nonlocal seq, n_held
+            nonlocal seq
+            keys, counts, ids = (np.concatenate(c) for c in zip(*held, strict=True))
             path = f"{folder}/shard-{task:06d}-{seq:05d}.pfor"
-            write_file(path, encode_shard(np.array(keys, np.int64), np.array(counts, np.int64), np.frombuffer(b"".join(held), "<u4")))
-            row = pa.RecordBatch.from_pylist([{"path": path, "task": task, "seq": seq, "n_docs": len(keys), "n_ids": n_held}], schema=manifest)
-            seq, n_held = seq + 1, 0
-            keys.clear(), counts.clear(), held.clear()
+            write_file(path, encode_shard(keys, counts, ids))
+            row = pa.RecordBatch.from_pylist([{"path": path, "task": task, "seq": seq, "n_docs": len(keys), "n_ids": len(ids)}], schema=manifest)
+            seq += 1
+            held.clear()
             return row
 
-        for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py()) + end
-                keys.append(MISSING if key is None else key)
-                counts.append(len(ids) // 4)
-                held.append(ids)
-                n_held += len(ids) // 4
-                if n_held >= shard_ids:
-                    yield flush()
-        if keys:
+        for part in chunks(batches):
+            ids, counts = bpe.ids(part.column(1), end_id)
+            held.append((part.column(0).fill_null(MISSING).to_numpy(), counts, ids))
+            if sum(len(h[2]) for h in held) >= shard_ids:
+                yield flush()
+        if held:
             yield flush()
 
     manifest = pa.schema([("path", pa.string()), ("task", pa.int64()), ("seq", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
@@ -156,19 +150,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, keeps_space:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """Each document's place and checksum, from the shards' bytes.
 
-    The manifest has one row for each shard (about 16 MB of ids), so its running sum is a
-    sum over files, not over documents. Each shard is read by one task.
+    A shard begins where the tasks before its own and the shards before it in its task end:
+    the driver sums a row for each writing task, a window over each task's shards the rest.
+    Each shard is read by one task.
     """
     spark = manifest.sparkSession
-    shards = manifest.orderBy("task", "seq").select("path", "n_ids").collect()
-    placed, start = [], 0
-    for s in shards:
-        placed.append((s.path, start))
-        start += s.n_ids
-    if not placed:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    n = min(len(placed), max(spark.sparkContext.defaultParallelism, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    files = spark.createDataFrame(spark.sparkContext.parallelize(placed, n), "path string, start long")
+    totals = dict(manifest.groupBy("task").agg(F.sum("n_ids")).collect())  # a row for each writing task
+    begins, start = [], 0
+    for task in range(max(totals, default=-1) + 1):
+        begins.append(start)
+        start += totals.get(task, 0)
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("task").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.get(F.array(*map(F.lit, begins)), F.col("task").cast("int")) if begins else F.lit(0)
+    files = manifest.select("path", (at.cast("long") + before).alias("start")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
