@@ -1,16 +1,24 @@
 """Operator 3, main text of web pages by the maximum-scoring subsequence.
 
 A page is a run of blocks (text between block-level tags). Every word adds its weight and
-every tag its weight, mostly negative; one linear scan over the blocks' sums finds the best
-contiguous region. Weights are learned from labelled pages: pages that mark their article
-(article, main) tell, for each kind of place that words stand in and each tag, how often it
-lies inside. Blocks of the region that stand in menus, headers, footers, sidebars, notices,
-adverts, forms or comments are left out of its text; within a marked article they cost
-nothing, so that they do not cut it in two.
-
-The fit reads at most about SAMPLE pages, chosen by a hash of the html. A null or empty html
-gives empty text; unclosed and stray tags are tolerated; a page with no block of positive
-score has empty text; repeated rows repeat their result; other columns are ignored.
+every tag its weight, which is negative; one linear scan over the blocks' sums finds the
+best contiguous region. Weights are learned from labelled pages: pages that mark their
+article (article, main) tell, for each element name and each class, id or role, how many of
+the words in it stand inside; and for each tag, how often it does. A block's words weigh the
+more the likelier its enclosing elements are to be in an article.
+
+Blocks of the region that stand aside are left out of its text: in elements that HTML
+defines as navigation, footers, sidebars, forms or dialogs, and in elements one of whose
+classes, ids or roles is learned to lie outside. STARTING names begin with START words
+outside, and pages can teach otherwise. Names count as a whole (has-sidebar is not
+sidebar). An element that holds the article, or more than half of the page's words, does
+not stand aside, but for reader comments, which do unless they hold `main`.
+
+The fit reads at most SAMPLE distinct pages, those of the smallest hashes. A null or empty
+html gives empty text; unclosed and stray tags are tolerated; work is linear in the page's
+length, however long and deep it is; a page with no block of positive score has empty text;
+of equally good regions the first is taken; repeated rows repeat their result; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,170 +37,259 @@ from pyspark.sql import functions as F
 from .common import table
 
 SAMPLE = 2000
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
-RAW = ("script", "style", "noscript", "template", "svg", "math", "textarea", "iframe", "object", "canvas", "title", "select", "xmp", "audio", "video")
+START = 50
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag: quotes count only behind an equals sign.
+REST = re.compile(r"""(?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+>""")
+ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|aria-hidden)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "title", "select", "audio", "video")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-ASIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
-ASIDE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
-ASIDE_WORDS = set(
-    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsored banner banners promo promos promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside footer masthead topbar toolbar share sharing social related recommended recommendations widget widgets newsletter "
-    "subscribe subscription signup login comment comments commentlist reply replies respond disqus discussion disclaimer copyright legal form search tags".split()
-)
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "math", "mfrac", "mi", "mn", "mo", "mrow", "ms", "msqrt", "msub", "msup", "mtext", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
-ARTICLE = {"article", "main"}
-NAMES = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
-
-
-@dataclass
+#: Elements that an opening tag of this name ends, where they are the innermost block.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
+ASIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
+COMMENTS = {"comment", "comments", "comment-list", "commentlist", "comment-body", "comments-area", "comment-form", "reply", "replies", "response", "responses", "respond", "disqus_thread", "discussion"}
+#: Classes, ids and roles that begin with START words outside the article.
+STARTING = COMMENTS | {
+    "ad", "ads", "advert", "advertisement", "adsbygoogle", "sponsored", "sponsor", "banner", "promo", "promotion", "cookie", "cookies", "cookie-banner", "cookie-notice", "consent", "gdpr", "notice", "notification", "alert",
+    "popup", "modal", "overlay", "nav", "navbar", "navigation", "menu", "menubar", "breadcrumb", "breadcrumbs", "pagination", "pager", "sidebar", "aside", "complementary", "footer", "site-footer", "site-header", "contentinfo", "masthead",
+    "topbar", "toolbar", "share", "sharing", "share-buttons", "social", "social-share", "related", "related-posts", "recommended", "recommendations", "widget", "newsletter", "subscribe", "signup", "login", "disclaimer", "copyright", "legal", "search", "tags", "hidden",
+}
+
+
+@dataclass(slots=True)
+class Element:
+    tag: str
+    parent: int
+    block: int  # the innermost element that is not inline: itself or one above
+    names: tuple[str, ...]  # classes, ids and roles
+    words: int = 0  # in it and below
+    holds: str = ""  # "main" or "article", if one stands in it and has no name of comments
+    article: bool = False
+    aside: bool = False
+
+
+@dataclass(slots=True)
 class Block:
-    place: str
-    aside: bool
-    article: bool
+    element: int
     parts: list[str] = field(default_factory=list)
     tags: list[str] = field(default_factory=list)
+    text: str = ""
+    n: int = 0
 
-    @property
-    def text(self) -> str:
-        return " ".join("".join(self.parts).split())
 
+def _names(attributes: str) -> tuple[str, ...]:
+    if "=" not in attributes:
+        return ()
+    found: list[str] = []
+    for name, *values in ATTRIBUTE.findall(attributes):
+        value = "".join(values).lower()
+        found += ["hidden"] if name.lower() == "aria-hidden" and value == "true" else value.split() if name.lower() != "aria-hidden" else []
+    return tuple(dict.fromkeys(found))
 
-def _is_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in ASIDE_TAGS or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or "=" not in attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in ASIDE_ROLES or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id") and any(w.lower() in ASIDE_WORDS for w in NAMES.split(value)):
-            return True
-    return False
 
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order; each knows its innermost tag and whether it stands aside."""
+def blocks(page: str) -> tuple[list[Block], list[Element]]:
+    """The page's blocks in order, and its elements (parents first) with the words that each holds."""
+    elements = [Element("body", -1, 0, ())]
+    stack, places = [0], {}  # open elements; for each name where it stands in the stack
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = [("body", False, False)]  # tag, aside, article
-    now = Block("body", False, False)
+    now = Block(0)
     pos, n = 0, len(page)
 
     def fresh() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-            tags = []
+            now = Block(stack[-1])
         else:
-            tags = now.tags
-        top = next((s for s in reversed(stack) if s[0] not in INLINE), stack[0])
-        now = Block(top[0], stack[-1][1], stack[-1][2], [], tags)
+            now.element = stack[-1]
+
+    def close(at: int) -> None:
+        while len(stack) > at:
+            places[elements[stack.pop()].tag].pop()
 
     while pos < n:
-        m = TOKEN.search(page, pos)
-        text = page[pos : m.start() if m else n]
-        if text:
-            text = entities.unescape(text)
-            if text.strip() or now.parts:
+        at = page.find("<", pos)
+        end = at if at >= 0 else n
+        if end > pos:
+            text = entities.unescape(page[pos:end])
+            if now.parts or not text.isspace():
                 now.parts.append(text)
-        if not m:
+        if at < 0:
             break
-        pos = m.end()
-        if m[2] is None:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            pos = end + 3 if end >= 0 else n
+            continue
+        if page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            pos = end + 3 if end >= 0 else n
+            continue
+        closing = page.startswith("/", at + 1)
+        named = NAME.match(page, at + 1 + closing)
+        if not named:
+            if page[at + 1 : at + 2] in ("!", "?", "/"):
+                end = page.find(">", at)
+                pos = end + 1 if end >= 0 else n
+            else:
+                now.parts.append("<")
+                pos = at + 1
             continue
-        closing, tag, attributes = m[1], m[2].lower(), m[3]
+        rest = REST.match(page, named.end())
+        if not rest:  # no tag ends from here on: the rest is text
+            now.parts.append(entities.unescape(page[at:]))
+            break
+        pos, tag = rest.end(), named[0].lower()
+        attributes = page[named.end() : pos - 1]
+        empty = attributes.endswith("/")
         if tag == "br":
             now.parts.append(" ")
+            now.tags.append(tag)
             continue
-        if tag in RAW and not closing:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else n
+        if tag in RAW_END and not closing:
+            if not empty:
+                over = RAW_END[tag].search(page, pos)
+                end = page.find(">", over.end()) if over else -1
+                pos = end + 1 if end >= 0 else n
             continue
         inline = tag in INLINE
+        innermost = elements[stack[-1]].block
         if closing:
-            at = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
-            if at and not (inline and any(s[0] not in INLINE for s in stack[at + 1 :])):
-                del stack[at:]
-        elif tag not in VOID and not (attributes.endswith("/") and inline):
-            if tag in CLOSES_P and any(s[0] == "p" for s in stack):
-                at = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == "p")
-                if all(s[0] in INLINE or s[0] == "p" for s in stack[at:]):
-                    del stack[at:]
-            _, aside, article = stack[-1]
-            stack.append((tag, aside or _is_aside(tag, attributes, article), article or tag in ARTICLE))
-        if inline:
-            if now.aside != stack[-1][1]:
-                fresh()
-            now.tags.append(tag)
-        else:
+            if places.get(tag):
+                at = places[tag][-1]
+                if not inline or elements[stack[at]].block == innermost:
+                    close(at)
+        elif tag not in VOID and not (empty and inline):
+            ended = elements[innermost].tag
+            if ended == "p" and tag in CLOSES_P or ended in ENDS.get(tag, ()):
+                close(places[ended][-1])
+            k, above = len(elements), elements[stack[-1]]
+            elements.append(Element(tag, stack[-1], above.block if inline else k, _names(attributes)))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append(k)
+        if not inline or now.element != stack[-1] and elements[stack[-1]].names + elements[now.element].names:
             fresh()
-            now.tags.append(tag)
+        now.tags.append(tag)
     fresh()
-    return out
+    for b in out:
+        b.text = " ".join("".join(b.parts).split())
+        b.n = len(b.text.split())
+        elements[b.element].words += b.n
+    for e in elements[1:]:
+        e.article = elements[e.parent].article or e.tag in ("article", "main")
+    for e in reversed(elements[1:]):
+        above = elements[e.parent]
+        above.words += e.words
+        holds = "main" if "main" in (e.tag, e.holds) or "main" in e.names else "article" if e.tag == "article" or e.holds else ""
+        if holds and (holds == "main" or not COMMENTS.intersection(e.names)):
+            above.holds = max(above.holds, holds)  # main before article
+    return out, elements
 
 
 @dataclass
 class Weights:
-    """Of words by the tag they stand in, and of tags; unlearned ones have the defaults."""
+    """Log odds of words to stand inside, by enclosing element name and by class, id or role; and of tags, always negative."""
 
-    words: dict[str, float]
+    elements: dict[str, float]
+    names: dict[str, float]
     tags: dict[str, float]
 
-    def of(self, b: Block) -> float:
-        n = len(b.text.split())
-        if b.aside:
-            return 0.0 if b.article else -0.5 * n - 1
-        if b.article:
-            return float(n)
-        return n * self.words.get(b.place, 0.5) + sum(self.tags.get(t, -0.5) for t in b.tags) - 2.0 * b.tags.count("a")
+    def name(self, name: str) -> float:
+        return self.names.get(name, math.log(1 / (START + 1)) if name in STARTING else 0.0)
+
+    def mark(self, elements: list[Element]) -> list[float]:
+        """Sets which elements stand aside; the weight of a word in each."""
+        total = elements[0].words
+        out = [0.5]
+        for e in elements[1:]:
+            above = elements[e.parent]
+            names = [self.name(x) for x in e.names]
+            comments = not COMMENTS.isdisjoint(e.names) and min(names) < -1
+            if e.tag in ("html", "body"):
+                own = False
+            elif comments:
+                own = e.holds != "main"
+            elif e.tag in ASIDE_TAGS - {"form"} or e.tag == "header" and not above.article:
+                own = not e.holds
+            else:
+                own = (e.tag == "form" or bool(names) and min(names) < -2) and not e.holds and e.tag != "main" and 2 * e.words <= total
+            e.aside = own or above.aside and not (e.tag == "main" and not comments)
+            out.append(max(-3.0, min(3.0, out[e.parent] + self.elements.get(e.tag, 0.0) + max(-1.0, min(1.0, sum(names)))) if not e.aside else -1.0))
+        return out
 
 
 def main_text(page: str | None, weights: Weights) -> str:
     """The best contiguous region's blocks, without those that stand aside."""
-    found = blocks(page) if page else []
+    if not page:
+        return ""
+    found, elements = blocks(page)
+    word = weights.mark(elements)
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for k, b in enumerate(found):
-        if total <= 0:
+        words, tags = score(b, elements, word, weights)
+        total += tags
+        if total <= 0:  # a region begins behind its first block's tags
             total, start = 0.0, k
-        total += weights.of(b)
+        total += words
         if total > best:
             best, best_range = total, (start, k + 1)
-    return "\n\n".join(t for b in found[slice(*best_range)] if not b.aside and (t := b.text))
+    return "\n\n".join(b.text for b in found[slice(*best_range)] if b.n and not elements[b.element].aside)
+
+
+def score(b: Block, elements: list[Element], word: list[float], weights: Weights) -> tuple[float, float]:
+    """Of a block's words and of the tags before them; what stands aside within an article costs nothing, so that it does not cut it in two."""
+    e = elements[b.element]
+    if e.aside and e.article:
+        return 0.0, 0.0
+    return b.n * word[b.element], sum(weights.tags.get(t, -0.5) for t in b.tags)
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
-    """Log odds of standing inside a marked article, for words by place and for tags."""
-    n = pages.count()
-    some = pages.where(F.col("html").isNotNull())
-    if n > sample:
-        some = some.where(F.pmod(F.xxhash64("html"), F.lit(1_000_000)) < int(1_000_000 * sample / n) + 1)
+    """Log odds of standing inside a marked article, by element, name and tag."""
+    key = F.xxhash64("html").alias("key")
+    some = pages.where(F.length("html") > 0).select(key).distinct().orderBy("key").limit(sample)  # at most `sample` rows
+    chosen = pages.select(key, "html").join(F.broadcast(some), "key").groupBy("key").agg(F.any_value("html").alias("html")).select("html")
+    plain = Weights({}, {}, {})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: Counter = Counter()
         for batch in batches:
+            sums: Counter = Counter()
             for page in batch.column(0):
-                found = blocks(page.as_py())
-                if any(b.article for b in found):
-                    for b in found:
-                        inside = b.article and not b.aside
-                        sums[("word", b.place[:16], inside)] += len(b.text.split())
-                        for t in b.tags:
-                            sums[("tag", t[:16], inside)] += 1
-        keys = sorted(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([sums[k] for k in keys], pa.int64())], names=["kind", "name", "inside", "n"])
-
-    rows = some.select("html").mapInArrow(count, "kind string, name string, inside boolean, n long").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
-    words, tags = {}, {}
-    for r in rows.orderBy(F.desc(F.col("a") + F.col("b")), "name").limit(400).collect():
-        odds = math.log((r.a + 1) / (r.b + 1))
-        if r.kind == "word":
-            words[r.name] = max(-1.0, min(1.0, odds / 2))
-        else:
-            tags[r.name] = max(-3.0, min(-0.1, odds - 2))
-    return Weights(words, tags)
+                found, elements = blocks(page.as_py())
+                if not any(e.tag in ("article", "main") for e in elements):
+                    continue
+                plain.mark(elements)
+                own = [(Counter(), Counter()) for _ in elements]  # words inside and outside, by element
+                for b in found:
+                    e = elements[b.element]
+                    inside = e.article and not e.aside
+                    own[b.element][inside]["n"] += b.n
+                    sums.update(("tag", t, inside, 1) for t in b.tags)
+                for k in range(len(elements) - 1, -1, -1):
+                    e = elements[k]
+                    for inside in (True, False):
+                        n = own[k][inside]["n"]
+                        if k:
+                            own[e.parent][inside]["n"] += n
+                        if n:
+                            for kind, name in [("element", e.tag), *(("name", x) for x in e.names)]:
+                                sums[kind, name, inside, 1] += n
+            rows = [(*k[:3], n) for k, n in sums.items()]
+            kinds = (pa.string(), pa.string(), pa.bool_(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], names=["kind", "name", "inside", "n"])
+
+    rows = chosen.mapInArrow(count, "kind string, name string, inside boolean, n long").groupBy("kind", "name").agg(F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(~F.col("inside"), F.col("n")).otherwise(0)).alias("b"))
+    learned = Weights({}, {}, {})
+    for r in rows.collect():  # a row for each name on the sampled pages
+        if r.kind == "tag":
+            learned.tags[r.name] = max(-3.0, min(-0.1, math.log((r.a + 1) / (r.b + 1)) - 2))
+        elif r.kind == "name":
+            learned.names[r.name] = math.log((r.a + 1) / (r.b + 1 + START * (r.name in STARTING)))
+        elif r.name not in ("html", "body"):
+            learned.elements[r.name] = max(-0.25, min(1.0, math.log((r.a + 1) / (r.b + 1)) / 2))
+    return learned
 
 
 def extract(pages: DataFrame, weights: Weights) -> DataFrame:

@@ -1,8 +1,10 @@
 """Each operator on awkward rows and against brute force on the smallest tables."""
 
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -113,18 +115,90 @@ def test_quality(spark, odd):
     assert quality.fit(odd, table(spark, SF, "labels").where("false")) is None
 
 
+def _text(page):
+    return html_text.main_text(page, html_text.Weights({"p": 1.0, "article": 1.0, "main": 1.0}, {}, {"a": -1.0}))
+
+
+WORDS = ("plain words of the article " * 6).strip()
+
+
 def test_html():
-    w = html_text.Weights({"p": 1.0}, {"a": -1.0})
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Title &amp; more</h1><p>One  <b>bo</b>ld\n text<p>Two &lt;3<div class='share'>Share me</div><div id=comments><p>first!</p></div></article><footer>(c)</footer>"
-    assert html_text.main_text(page, w) == "Title & more\n\nOne bold text\n\nTwo <3"
-    assert html_text.main_text(None, w) == "" == html_text.main_text("", w) == html_text.main_text("<nav>x</nav>", w)
-    body = "<body><div class=menu><a>a</a><a>b</a></div><p>" + "plain words here " * 20 + "</p><aside>other</aside>"
-    assert html_text.main_text(body, w) == ("plain words here " * 20).strip()
+    assert _text(page) == "Title & more\n\nOne bold text\n\nTwo <3"
+    assert _text(None) == "" == _text("") == _text("<nav>x</nav>")
+    assert _text(f"<body><div class=menu><a>a</a><a>b</a></div><p>{WORDS}</p><aside>other</aside>") == WORDS
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='has-sidebar'><article><p>{}</p></article></div>",
+        "<body class=comments-open><div class='content-sidebar-wrap sidebar'><main><p>{}</p></main></div><footer>x</footer>",
+        "<div class=tag-tags><article class='post tag-tags'>{}</article></div>",
+        "<form id=aspnetForm><div><article><p>{}</article></div><nav>x</nav></form>",
+        "<form><p>{}</p></form>",
+        "<article><p>{}</p></article><section class=responses><article class=comment><p>{}{}</p></article></section>",
+        "<article><p>{}</p><section id=comments><article>{}{}{}</article></section></article>",
+        "<article><p>{}</p><form><p>Your mail <input></p></form></article>",
+        "<ul><li class=ad>buy<li>{}</ul>",
+        "<header><p>Site</p></header><p>{}</p>",
+    ],
+)
+def test_html_layouts(page):
+    assert _text(page.replace("{}", WORDS + " ")) == WORDS
+
+
+def test_html_keeps_all_of_the_text():
+    assert _text(f"<p>{WORDS} <math><mi>x</mi><mo>=</mo><mn>2</mn></math> end") == f"{WORDS} x=2 end"
+    assert _text(f"<p><a title=John's>{WORDS} it's</a> end") == f"{WORDS} it's end"
+    assert _text(f"<p>{WORDS} a < b, c <b unclosed") == f"{WORDS} a < b, c <b unclosed"
+    assert _text(f"<p>{WORDS} <!-- gone -->here<script>no</script> too") == f"{WORDS} here too"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div>", "</span>", "<p><b>", "</p>", '<a t="', "<a x='y", "=", "<script>", "</script ", "<!--", "<![CDATA[", "&", "< "])
+def test_html_is_linear(part):
+    start = time.process_time()
+    for page in (part * 60_000, "<script>" + part * 60_000, "<div>" * 30_000 + part * 60_000):
+        _text(page)
+    assert time.process_time() - start < 20
+
+
+def test_html_best_region_is_the_best_of_all():
+    rng = random.Random(4)
+    weights = html_text.Weights({"p": 0.5, "div": -0.2}, {"x": -4.0}, {"a": -3.0, "p": -1.0, "li": -0.5})
+    for _ in range(300):
+        page = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<div class=x>", "<a>", "</a>", "<li>", "one two ", "three ", "<article>", "</article>"]) for _ in range(40))
+        found, elements = html_text.blocks(page)
+        word = weights.mark(elements)
+        scores = [html_text.score(b, elements, word, weights) for b in found]
+        ranges = [(i, j) for i in range(len(found)) for j in range(i, len(found) + 1)]
+        total = lambda i, j: sum(w + t for w, t in scores[i:j]) - (scores[i][1] if i < j else 0)
+        best = max((total(i, j) for i, j in ranges), default=0)
+        texts = {"\n\n".join(b.text for b in found[i:j] if b.n and not elements[b.element].aside) for i, j in ranges if abs(total(i, j) - best) < 1e-9}
+        assert html_text.main_text(page, weights) in texts | ({""} if best <= 0 else set())
+
+
+def test_html_learns_names(spark):
+    page = "<body><div class=boxes>{0} off</div><div class=menu><article><p>{1}</p></article></div><div class=story>{1}</div></body>"
+    rows = [(i, f"u{i}", page.format(f"offer {i} " * 9, f"text {i} " * 60)) for i in range(40)]
+    pages = spark.createDataFrame([*rows, *rows[:3], (90, None, None), (None, "u", ""), (91, "u", f"<div class=boxes>{WORDS}</div>" + f"<p>{WORDS}</p>" * 2)], "page_id long, url string, html string")
+    learned = html_text.learn(pages)
+    assert learned.name("boxes") < -2 and learned.name("menu") > 0 and learned.name("sidebar") < -2 and learned.name("other") == 0
+    got = html_text.extract(pages.selectExpr("*", "1 text", "2 n_chars", "3 key"), learned).collect()
+    assert len(got) == 46 and all(r.n_chars == len(r.text) for r in got)
+    texts = {r.page_id: r.text for r in got}
+    assert texts[0] == ("text 0 " * 60).strip() and texts[90] == texts[None] == "" and texts[91] == f"{WORDS}\n\n{WORDS}"
+    assert html_text.extract(pages.where("false"), html_text.learn(pages.where("false"))).count() == 0
 
 
 def test_html_query(spark):
     rows = html_text.op3_html(spark, SF).collect()
-    assert len(rows) == 50 and all(r.n_chars == len(r.text) for r in rows) and sum(bool(r.text) for r in rows) == 50
+    pages = {r.page_id: r.html for r in table(spark, SF, "pages").collect()}
+    assert len(rows) == len(pages) and all(r.n_chars == len(r.text) for r in rows)
+    for r in rows:  # these pages' articles have blocks alone: h1, p, and b and br in them
+        article = re.search(r"<article>(.*)</article>", pages[r.page_id], re.S)[1]
+        parts = re.split(r"</?(?:h1|p)>", article.replace("<br>", " ").replace("<b>", "").replace("</b>", ""))
+        assert r.text == "\n\n".join(x for p in parts if (x := " ".join(html.unescape(p).split())))
 
 
 def test_repeats(spark, docs, odd):
