@@ -44,11 +44,17 @@ def _shingle_strings(of: str, width: int | str = WORDS) -> str:
 
 
 def _simhash(of: str) -> str:
-    """64 signs of the summed shingle hashes as a long; `of` is an array of shingle strings."""
-    bit = f"aggregate(transform({of}, s -> xxhash64(s)), 0, (n, h) -> n + cast(shiftright(h, b) & 1 as int) * 2 - 1) > 0"
+    """64 signs of the summed shingle hashes as a long; `of` is an array of shingle hashes."""
+    bit = f"aggregate({of}, 0, (n, h) -> n + cast(shiftright(h, b) & 1 as int) * 2 - 1) > 0"
     return f"aggregate(sequence(0, 63), 0L, (f, b) -> if({bit}, f | shiftleft(1L, b), f))"
 
 
+def _hashed(frame: DataFrame, of: str) -> DataFrame:
+    """frame with `print`, the fingerprint of the shingles `of`, each hashed once (explode: not folded into the 64 sums)."""
+    hashes = F.expr(f"array(transform({of}, s -> xxhash64(s)))")
+    return frame.withColumn("hashes", F.explode(hashes)).withColumn("print", F.expr(_simhash("hashes"))).drop("hashes")
+
+
 def _foreign(threshold: float) -> str:
     """The most places of a window that may be foreign to the item: own_places are the item's, m the window's."""
     return f"cast(floor((m - {threshold!r}D * own_places) / {1 + threshold!r}D + 1e-9D) as int)"
@@ -64,7 +70,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     """doc_id, item_id, start (word), similarity, distance: the best window of every leaked item in every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
-    items = items.withColumn("own", F.expr(_shingle_strings("w"))).withColumn("print", F.expr(_simhash("own")))
+    items = _hashed(items.withColumn("own", F.expr(_shingle_strings("w"))), "own")
     items = stored(items.select(F.monotonically_increasing_id().alias("row"), "item_id", F.size("w").alias("len"), "own", "print"), "benchmark")
     sizes = items.groupBy("len").agg(F.sum(F.size("own")).alias("n")).collect()  # a row for each item length
     n_rows = sum(r.n for r in sizes)
@@ -97,7 +103,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     # explode: computed once, where a filter pushed below would compute it again
     shared = "aggregate(array_distinct(shingles), 0, (n, s) -> n + least(size(filter(shingles, x -> x = s)), size(filter(own, x -> x = s))))"
     found = found.withColumn("shared", F.explode(F.array(F.expr(shared)))).withColumn("similarity", F.expr("shared / (size(shingles) + size(own) - shared)")).where(F.col("similarity") >= threshold)
-    found = found.withColumn("distance", F.bit_count(F.expr(_simhash("shingles")).bitwiseXOR(F.col("print"))))
+    found = _hashed(found.withColumnRenamed("print", "others"), "shingles").withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("others"))))
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("first"), (-F.col("distance")).alias("near"))).alias("best"))
     return best.select("doc_id", "item_id", F.expr("-best.first").alias("start"), F.expr("best.similarity").alias("similarity"), F.expr("-best.near").alias("distance"))
 
