@@ -15,15 +15,18 @@ Features are few and discrete, so the corpus is summed into one count for each f
 pattern (some thousands of rows at most, whatever the corpus) and trees are grown on those
 counts. Trees become SQL CASE expressions. Everything over rows is DataFrame functions.
 
-Offsets are in code points, ends exclusive. A null text is empty and has no spans; repeated
-rows repeat their result (and their counts); without proposals nothing is added; other
-columns pass redact() unchanged; an empty table gives no rows.
+Offsets are in code points, ends exclusive. A null text is empty and has no spans (redact()
+leaves it null); a long text is searched whole; of matches that overlap within a kind the
+leftmost counts, those of two kinds all count; repeated rows repeat their result (and their
+counts); without proposals nothing is added; every other column, whatever its name, passes
+redact() unchanged; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,21 +60,34 @@ EVIDENCE = {
     "phone": (r"^(?:\+?[0-9]{1,3}[\x20.-]?)?\([0-9]{2,4}\)[\x20.-]?[0-9]{3,4}[\x20.-]?[0-9]{3,4}(?![0-9])", r"^[0-9]{2,15}(?:[\x20.-]?[0-9]{2,4}){0,5}(?![0-9])", r"(?i)\b(tel|telephone|phone|call|fax|mobile)\W*$"),
 }
 BYTE = r"^0*([0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+STEP = 128
 SPAN = "array<struct<s:int,e:int,t:string>>"
 
 
 def _spans(text: Column, pattern: str, needs: str) -> Column:
-    """Leftmost non-overlapping matches: marked in the text, split at the marks, offsets summed."""
+    """Leftmost non-overlapping matches: marked in the text, split at the marks, offsets summed.
+
+    STEP parts at a time are summed in a short array, so that the work on a text with many
+    matches grows little faster than their number.
+    """
     marked = F.regexp_replace(F.translate(text, MARK, OTHER), F.lit(pattern), F.lit(f"{MARK}$0{MARK}"))
-    begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
 
     def add(acc: Column, x: Column) -> Column:
         end = acc["at"] + F.length(x)
         span = F.struct(acc["at"].alias("s"), end.alias("e"), x.alias("t"))
         return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), F.when(acc["k"] % 2 == 1, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(F.split(marked, MARK, -1), begin, add, lambda acc: acc["out"])
-    return F.when(text.rlike(needs), found).otherwise(F.array().cast(SPAN))
+    def some(parts: Column, acc: Column, first: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), F.lit(0).alias("k"), none.alias("out"))
+        return F.aggregate(F.slice(parts, first, STEP), begin, add, lambda own: F.struct(own["at"].alias("at"), F.concat(acc["outs"], F.array(own["out"])).alias("outs")))
+
+    def total(parts: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("outs"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts), F.lit(STEP)), begin, lambda acc, first: some(parts, acc, first), lambda acc: F.flatten(acc["outs"]))
+
+    found = F.get(F.transform(F.array(F.split(marked, MARK, -1)), total), F.lit(0))  # a lambda's argument is computed once
+    return F.when(text.rlike(needs), found).otherwise(none)
 
 
 def _digits(t: Column) -> Column:
@@ -146,28 +162,24 @@ def proposals(docs: DataFrame) -> DataFrame:
     return found.withColumns({"base": base, "more": F.concat(*[one(i, k) for i, k in enumerate(KINDS)])}).drop(*[f"_{p}_{k}" for p in ("base", "more") for k in KINDS])
 
 
-def _grow(rows: list[tuple], gradients: list[float], weights: list[float], depth: int) -> tuple:
-    """A regression tree over (features, ...) rows: (feature, cut, low, high) or a leaf's value."""
-    g, h = sum(gradients), sum(weights)
+def _grow(rows: np.ndarray, gradients: np.ndarray, weights: np.ndarray, depth: int) -> tuple:
+    """A regression tree over rows of features: (feature, cut, low, high) or a leaf's value."""
+    g, h = float(gradients.sum()), float(weights.sum())
     leaf = g / (h + 1.0)
     if not depth or len(rows) < 2:
         return (leaf,)
     best, split = g * g / (h + 1.0) + 1e-6, None
     for f in range(len(FEATURES)):
-        for cut in sorted({r[f] for r in rows})[1:]:
-            gl = sum(x for r, x in zip(rows, gradients, strict=True) if r[f] < cut)
-            hl = sum(x for r, x in zip(rows, weights, strict=True) if r[f] < cut)
+        for cut in np.unique(rows[:, f])[1:].tolist():
+            low = rows[:, f] < cut
+            gl, hl = float(gradients[low].sum()), float(weights[low].sum())
             gain = gl * gl / (hl + 1.0) + (g - gl) ** 2 / (h - hl + 1.0)
             if gain > best:
                 best, split = gain, (f, cut)
     if split is None:
         return (leaf,)
-    f, cut = split
-    sides = []
-    for low in (True, False):
-        at = [i for i, r in enumerate(rows) if (r[f] < cut) == low]
-        sides.append(_grow([rows[i] for i in at], [gradients[i] for i in at], [weights[i] for i in at], depth - 1))
-    return (f, cut, *sides)
+    low = rows[:, split[0]] < split[1]
+    return (*split, *(_grow(rows[side], gradients[side], weights[side], depth - 1) for side in (low, ~low)))
 
 
 def _value(tree: tuple, row: tuple) -> float:
@@ -183,14 +195,13 @@ def _sql(tree: tuple, c: str) -> str:
 def boosted(rows: list[tuple], good: list[int], bad: list[int], rounds: int = ROUNDS, depth: int = 2) -> tuple[float, list[tuple]]:
     """Second-order boosting of the log loss over feature patterns with counts."""
     prior = math.log((sum(good) + 1) / (sum(bad) + 1))
-    scores, trees = [prior] * len(rows), []
+    x, a, b = np.array(rows), np.array(good, float), np.array(bad, float)
+    scores, trees = np.full(len(rows), prior), []
     for _ in range(rounds):
-        p = [1 / (1 + math.exp(-max(-30.0, min(30.0, s)))) for s in scores]
-        grads = [a * (1 - q) - b * q for a, b, q in zip(good, bad, p, strict=True)]
-        hess = [(a + b) * q * (1 - q) for a, b, q in zip(good, bad, p, strict=True)]
-        tree = _grow(rows, grads, hess, depth)
+        p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
+        tree = _grow(x, a * (1 - p) - b * p, (a + b) * p * (1 - p), depth)
         trees.append(tree)
-        scores = [s + RATE * _value(tree, r) for s, r in zip(scores, rows, strict=True)]
+        scores = scores + RATE * np.array([_value(tree, r) for r in rows])
     return prior, trees
 
 
@@ -236,14 +247,15 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
-    found = detect(docs.drop("base", "spans", "more"))
+    found = detect(docs.select(F.struct("*").alias("row"), "text"))
     names = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1)"
     cut = F.expr(
-        "aggregate(array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind))), struct(0 as at, '' as out), "
-        f"(acc, x) -> struct(greatest(acc.at, x.e) as at, if(x.s < acc.at, acc.out, concat(acc.out, substring(text, acc.at + 1, x.s - acc.at), {names})) as out), "
-        "acc -> concat(acc.out, substring(text, acc.at + 1)))"
-    )
-    return found.withColumn("text", F.when(F.size("spans") > 0, cut).otherwise(F.col("text"))).drop("base", "spans")
+        "aggregate(array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind))), struct(0 as at, cast(array() as array<string>) as out), "
+        f"(acc, x) -> struct(greatest(acc.at, x.e) as at, if(x.s < acc.at, acc.out, concat(acc.out, array(concat(substring(text, acc.at + 1, x.s - acc.at), {names})))) as out), "
+        "acc -> concat(array_join(acc.out, ''), substring(text, acc.at + 1)))"
+    ).alias("text")
+    clean = F.when(F.size("spans") > 0, cut).otherwise(F.col("text")).alias("text")
+    return found.select(*[clean if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def _listed(spans: str) -> str:
