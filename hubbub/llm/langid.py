@@ -7,10 +7,12 @@ than almost all of that language's own sample is marked `rejected`; lang_pred st
 the nearest language.
 
 Document frequencies count every document that may teach. The centroids are fitted on at
-most about SAMPLE documents in all, shared by the languages and chosen by a hash of the
-text. A null text or one without a letter is `und` with score 0 and rejected. Without any
-labelled document everything is `und`. Repeated rows repeat their result; ties go to the
-first language by name; other columns are ignored; an empty table gives no rows.
+most SAMPLE distinct texts, shared evenly by the languages (at least CENTROIDS each): of
+every language those of the smallest hashes, so that no language is lost to its copies. A
+null text or one without a letter is `und` with score 0 and rejected; a long text counts
+whole. Without any labelled document everything is `und`. Repeated rows repeat their result;
+ties go to the first language by name; other columns are ignored; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import is_held_out, table
@@ -28,6 +30,7 @@ from .common import is_held_out, table
 SIZE = 4096
 SAMPLE = 1600
 CENTROIDS = 4
+SPLITS = 64
 UND = "und"
 _LETTERS_ONLY = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
@@ -82,10 +85,6 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
 
 def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Centroids | None:
     taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out("doc_id")).select("lang", "text")
-    sizes = {r.lang: r.n for r in taught.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
-    if not sizes:
-        return None
-
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(SIZE + 1, np.int64), 0
         for batch in batches:
@@ -101,20 +100,35 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Centroids
         df[r.gram] = r.df
     idf = np.log((1 + df[SIZE]) / (1 + df[:SIZE])) + 1
 
-    each = max(1, sample // len(sizes))
-    share = F.lit(0.0)
-    for lang, n in sizes.items():
-        share = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(share)
-    chosen = taught.dropDuplicates(["lang", "text"]) if sum(sizes.values()) <= sample else taught.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000)
+    # for every language its texts of the smallest hashes, copies once: as many distinct texts as there are, `each` at most
+    key = F.xxhash64("text").alias("key")
+    langs = taught.select("lang").distinct().count()
+    if not langs:
+        return None
+    each = max(k, sample // langs)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, keys = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            for lang in set(names):
+                held[lang] = np.unique(np.concatenate((held.get(lang, keys[:0]), keys[names == lang])))[:each]
+        for lang, keys in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys, pa.int64())], names=["lang", "key"])
+
+    least = taught.where(F.col("text").rlike(r"\p{L}")).select("lang", key).mapInArrow(smallest, "lang string, key long").distinct()
+    place = F.row_number().over(Window.partitionBy("lang", F.pmod("key", F.lit(SPLITS))).orderBy("key"))
+    least = least.withColumn("place", place).where(F.col("place") <= each).groupBy("lang").agg(F.slice(F.array_sort(F.collect_list("key")), 1, each).alias("key"))
+    chosen = taught.withColumn("key", F.xxhash64("text")).join(F.broadcast(least.select("lang", F.explode("key").alias("key"))), ["lang", "key"]).groupBy("lang", "key").agg(F.any_value("text").alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [(lang, key, vector(t, idf).astype("<f2").tobytes()) for lang, t, key in zip(*(c.to_pylist() for c in batch.columns), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.binary())], names=["lang", "key", "v"])
 
-    rows = chosen.select("lang", "text", F.xxhash64("text").alias("key")).mapInArrow(vectors, "lang string, key long, v binary")
+    rows = chosen.select("lang", "text", "key").mapInArrow(vectors, "lang string, key long, v binary")
     by: dict[str, dict[int, np.ndarray]] = {}
-    for r in rows.groupBy("lang", "key").agg(F.first("v").alias("v")).collect():  # copies of a text count once: about `sample` rows
+    for r in rows.collect():  # `each` rows a language at most
         by.setdefault(r.lang, {})[r.key] = np.frombuffer(r.v, "<f2").astype(np.float32)
     langs, owner, centres, least = sorted(by), [], [], []
     for i, lang in enumerate(langs):
