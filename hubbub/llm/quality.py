@@ -165,11 +165,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Quality | N
     return model
 
 
-def score(docs: DataFrame, model: Quality | None) -> DataFrame:
-    """docs with `score` (0 to 1) added; every other column passes through, one named score goes."""
-    rows = docs.drop("score")
-    schema = rows.withColumn("score", F.lit(0.0)).schema
-    at = rows.columns.index("text")
+def score(docs: DataFrame, model: Quality | None, name: str = "score") -> DataFrame:
+    """docs with a column `name` (0 to 1) behind the others, which all pass through; a column of that name is an error."""
+    if name in docs.columns:
+        raise ValueError(f"documents have a column {name}; choose another name")
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,9 +178,9 @@ def score(docs: DataFrame, model: Quality | None) -> DataFrame:
                 scores = np.full(batch.num_rows, 0.5)
             else:
                 scores = model.score(np.array([statistics(t.as_py()) for t in batch.column(at)]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
