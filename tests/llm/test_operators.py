@@ -103,13 +103,54 @@ def test_language(spark, odd):
     got = [r.lang_pred for r in langid.predict(odd, langid.fit(odd)).where("doc_id in (1, 2, 5, 8)").orderBy("doc_id").collect()]
     assert got == ["und", "und", "en", "und"]
     assert langid.predict(odd, None).where("lang_pred <> 'und'").count() == 0
+    assert langid.predict(odd.where("false"), langid.fit(odd.where("false"))).count() == 0
+
+
+def test_language_by_brute_force(spark):
+    """Whole documents frequencies, vectors and cosines once more, with plain counting, from the fitted centroids."""
+    docs = table(spark, SF, "documents").where("lang is not null")
+    model, rows = langid.fit(docs), docs.collect()
+    grams = lambda t: Counter(w[i : i + 3] for w in [b" " + b" ".join(re.findall(rb"[a-z\x80-\xff]+", t.lower().encode())) + b" "] for i in range(len(w) - 2))
+    place = lambda g: (int.from_bytes(g, "big") * 2654435761 % 2**32) >> 20
+    bags = {r.doc_id: {} for r in rows}
+    for r in rows:
+        for g, n in grams(r.text).items():
+            bags[r.doc_id][place(g)] = bags[r.doc_id].get(place(g), 0) + n
+    teach = [r for r in rows if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    df = Counter(g for r in teach for g in bags[r.doc_id])
+    idf = np.array([np.log((1 + len(teach)) / (1 + df[g])) + 1 for g in range(langid.SIZE)])
+    assert np.allclose(idf, model.idf)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    for r in rows:
+        v = np.zeros(langid.SIZE)
+        for g, n in bags[r.doc_id].items():
+            v[g] = (1 + np.log(n)) * idf[g]
+        if v.any():
+            cosines = model.centres @ (v / np.linalg.norm(v))
+            assert abs(got[r.doc_id].score - cosines.max()) < 1e-4
+            near = {model.langs[o] for o, c in zip(model.owner, cosines, strict=True) if c > cosines.max() - 1e-5}
+            assert got[r.doc_id].lang_pred in near
+    own = {langid.spherical_kmeans(np.eye(3, dtype=np.float32), 3).argmax(1).tobytes()}
+    assert len(own) == 1
+
+
+def test_language_of_copies(spark):
+    texts = {"en": "the house and the garden", "de": "das haus und der garten"}
+    docs = spark.range(6000).selectExpr("id doc_id", "if(id % 2 = 0, 'en', 'de') lang").join(spark.createDataFrame(list(texts.items()), "lang string, text string"), "lang")
+    got = langid.predict(docs, langid.fit(docs, sample=100)).join(docs, "doc_id").groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred, r["count"]) for r in got} == {("en", "en", 3000), ("de", "de", 3000)}
 
 
 def test_quality(spark, odd):
     sf = "/root/testdata/sf0.1"
     rows = quality.op10_quality(spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) >= 0.98 * len(rows)
+    odd = odd.withColumnRenamed("score", "points")
     assert {r.score for r in quality.score(odd, None).collect()} == {0.5}
+    with pytest.raises(ValueError, match="points"):
+        quality.score(odd, None, "points")
+    kept = quality.score(odd, None, "own score").drop("own score")
+    assert Counter(map(tuple, kept.collect())) == Counter(map(tuple, odd.collect())) and quality.score(odd.where("false"), None).count() == 0
     model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
     assert quality.score(odd, model).where("score between 0 and 1").count() == 12
     assert quality.fit(odd, table(spark, SF, "labels").where("false")) is None
@@ -122,6 +163,26 @@ def _text(page):
 WORDS = ("plain words of the article " * 6).strip()
 
 
+def test_quality_by_brute_force(spark, docs):
+    """The same sample, fitted by numpy in one piece: ridge weights from the stacked rows, isotonic by its min-max form."""
+    model = quality.fit(table(spark, SF, "documents"), table(spark, SF, "labels"))
+    labels = {r.doc_id: r.quality for r in table(spark, SF, "labels").collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in docs}
+    role = {r.doc_id: r.role for r in spark.createDataFrame([(d,) for d in labels], "doc_id long").selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 4) role").collect()}
+    stats = {d: quality.statistics(docs[d]) for d in labels}
+    every = np.array(list(stats.values()))
+    assert np.allclose(model.mean, every.mean(0)) and np.allclose(model.scale, np.where(every.std(0) < 1e-9, 1, every.std(0)))
+    taught = [d for d in labels if role[d]]
+    x = quality.fourier(np.array([stats[d] for d in taught]), model.mean, model.scale)
+    penalty = np.diag([quality.RIDGE] * quality.FEATURES + [1e-9])
+    weights = np.linalg.solve(x.T @ x + penalty, x.T @ np.array([labels[d] for d in taught]))
+    assert np.allclose(x @ model.weights, x @ weights, atol=1e-6)
+    rest = [d for d in labels if not role[d]]
+    raw = model.raw(np.array([stats[d] for d in rest]))
+    y = np.array([labels[d] for d in rest], float)[np.argsort(raw)]
+    fitted = [max(min(y[i : j + 1].mean() for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+    assert np.allclose(sorted(set(np.round(fitted, 9))), sorted(set(np.round(model.values, 9))))
+
+
 def test_html():
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Home</a></nav><article><h1>Title &amp; more</h1><p>One  <b>bo</b>ld\n text<p>Two &lt;3<div class='share'>Share me</div><div id=comments><p>first!</p></div></article><footer>(c)</footer>"
     assert _text(page) == "Title & more\n\nOne bold text\n\nTwo <3"
@@ -296,7 +357,10 @@ def test_personal_data(spark, docs, odd):
     tricky = spark.createDataFrame([(1, "a@b.c_d@e.f x@y.z 1.2.3.4.5.6.7.8 300.1.1.1 +1 (017) 555-7713x 4111 1111 1111 1111"), (2, "😀 1" * 3000 + " a@b.cc"), (3, "9" * 20_000 + "@" + "a" * 20_000 + ".b")], "doc_id long, text string")
     for r in pii.proposals(tricky).collect():
         assert [f"{pii.KINDS[b.kind]}:{b.s}:{b.e}" for b in r.base] == _personal(r.text)
-    clean = {r.doc_id: r.text for r in pii.redact(odd.drop("spans")).collect()}
+    odd = odd.selectExpr("*", "'own' base", "'own' more", "'own' `row`", "'own' _base_email", "1.5 kind")
+    clean = pii.redact(odd)
+    assert clean.columns == odd.columns and Counter(map(tuple, clean.drop("text").collect())) == Counter(map(tuple, odd.drop("text").collect()))
+    clean = {r.doc_id: r.text for r in clean.collect()}
     assert clean[9] == "mail [EMAIL] now" and clean[1] is None and clean[4] == LONG
     assert pii.redact(odd.where("false")).count() == 0
 
