@@ -4,14 +4,16 @@ Both vocabularies split a text before white space, between a letter and the punc
 behind it, and after a single line feed or tab. So a text's ids are the ids of the pieces
 cut there, one after another. A batch's texts are cut at once: offsets over the batch's own
 bytes, no strings. Arrow's dictionary encoding finds the distinct pieces; only those are
-looked up or encoded, and numpy lays their ids out again. Each worker keeps the packed ids
-of the first MAX_KEPT pieces it has met; frequent ones come early.
+looked up or encoded, and numpy lays their ids out again. New words of letters alone are
+encoded JOINED at a time, with a text between them that always is one id of its own. Each
+worker keeps the packed ids of the first MAX_KEPT pieces it has met; frequent ones come early.
 """
 
 from __future__ import annotations
 
 import array
 import os
+import re
 import sys
 from collections.abc import Iterator
 
@@ -22,7 +24,8 @@ import pyarrow as pa
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 MAX_KEPT = 1_000_000
 LONGEST_KEPT = 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+JOINED = 500
 
 _WHITE_BYTE = np.zeros(256, bool)
 _WHITE_BYTE[[ord(c) for c in WHITE if ord(c) < 128]] = True
@@ -37,6 +40,9 @@ _PUNCTUATION[list(b'!"#$%&()*+,-./:;=?@[\\]^_`{}~')] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
 
+#: A word of letters, with the space before it.
+_WORD = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -110,10 +116,30 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kept: dict[str, bytes] = {}
+        self.between = next(((t, ids[0]) for t in ("\n", " 0 ") if len(ids := self._encode([t])[0]) == 1 and self._encode([f"a{t}b{t} c"]) == [sum(self._encode(["a", t, "b", t, " c"]), [])]), None)
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Packed ids of each piece."""
+        if self.between is None:
+            return dict(zip(pieces, map(_pack, self._encode(pieces)), strict=True))
+        text, mark = self.between
+        words = [p for p in pieces if _WORD.fullmatch(p)]
+        others = [p for p in pieces if not _WORD.fullmatch(p)]
+        out = dict(zip(others, map(_pack, self._encode(others)), strict=True))
+        for k, ids in zip(range(0, len(words), JOINED), self._encode([text.join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]), strict=True):
+            packed, begin = np.array(ids, "<u4"), 0
+            data = packed.tobytes()
+            for p, end in zip(words[k : k + JOINED], [*np.flatnonzero(packed == mark).tolist(), len(ids)], strict=True):
+                out[p] = data[4 * begin : 4 * end]
+                begin = end + 1
+        return out
 
     def _packed(self, pieces: list[str]) -> list[bytes]:
         new = [p for p in pieces if p not in self.kept]
-        ids = {p: _pack(e.ids) for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        ids = self._new(new)
         if len(self.kept) < MAX_KEPT:
             self.kept.update((p, v) for p, v in ids.items() if len(p) <= LONGEST_KEPT)
         return [ids.get(p) or self.kept.get(p, b"") for p in pieces]
