@@ -4,7 +4,12 @@ Each stage works on what its predecessor kept, written as Parquet and read again
 quality (rejected documents go), near-duplicates (one document of each group stays),
 benchmark leaks (documents that hold a benchmark item go), personal data (spans are
 replaced by their kind) and packing (pieces of sequences). All but the last return the
-columns of documents; rows with null ids or texts pass as each operator defines.
+columns of documents, whatever their names (those of KEY, GROUP and the score are reserved).
+
+Rows: a null or empty text is judged by its statistics, never a copy or a leak, and packed
+as an end id; long texts count whole; rows that repeat a document are copies of it; rows of
+one doc_id with different texts, and rows without an id, are documents of their own in every
+stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,23 +23,33 @@ from hubbub.llm.common import stored, table
 
 #: Copies of one document share this percentage of their word shingles; op7_near_dedup's own contract is 85.
 NEAR_PERCENT = 80
+KEY, GROUP = "row key of the pipeline", "group of the pipeline"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
+    own = "quality score of the pipeline"
+    return quality.score(docs, model, own).where(F.col(own) >= 0.5).drop(own)
+
+
+def keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a key for each row, stored: rows without an id, or with one id and several texts, are told apart."""
+    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each group, and one row where rows repeat it."""
-    found = near_dedup.near_duplicates(docs, NEAR_PERCENT).where("not kept").select("doc_id").distinct()
-    left = docs.join(found, "doc_id", "left_anti").select(docs.columns)
-    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Keeps the row of the smallest doc_id of each group (a null one last)."""
+    rows = keyed(docs, "near-dedup-rows")
+    groups = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(KEY), F.col("component_id").alias(GROUP))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
+    kept = rows.select("doc_id", KEY).join(groups, KEY).groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
+    return rows.join(kept, KEY, "left_semi").select(docs.columns)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontam.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    rows = keyed(docs, "decontam-rows")
+    found = decontam.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
+    return rows.join(found, KEY, "left_anti").select(docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
