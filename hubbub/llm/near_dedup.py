@@ -10,14 +10,15 @@ share no band with a chance of at most MISS (24 bands of 6 at 0.85, 29 of 5 at 0
 Equal sets are one class, found by a 128-bit hash of the set, so copies are never paired.
 Classes that share a band are candidates. First each band's classes are compared with the
 band's hub (the class whose bands are shared most); links are grouped; then every pair of a
-band that is still in two groups is compared, unless signatures (4 bits a slot) differ in
-more slots than a pair of that similarity does (chance at most MISS again). All links are
-confirmed on full sets and grouped by union-find (graph.py).
+band that is still in two groups is compared, unless sizes rule it out or signatures (4 bits
+a slot) differ in more slots than a pair of that similarity does (chance at most MISS
+again). A band with many such classes is dealt over tasks in blocks of PAIR_BLOCK. All links
+are confirmed on full sets and grouped by union-find (graph.py).
 
 Rows: a null, empty or word-free text has an empty set and no links; fewer words than five
 are one shingle; rows that repeat a doc_id are one vertex (linked if any of them is); a
-null doc_id is not linked, has a null component and is kept; other columns are ignored; an
-empty table gives no rows.
+null doc_id is not linked, has a null component and is kept; a long text counts whole; other
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ SLOTS = 288
 BAND_SLOTS = 172  # the bands take about half of the slots
 PERCENT = 85
 MISS = 1.2e-5
+PAIR_BLOCK = 1024
 STEP = np.uint64(40)
 _GOLD, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -190,12 +192,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     # pairs of a band whose classes are still in two groups
     grouped = rows.join(groups.withColumnsRenamed({"node": "rep", "component": "found"}), "rep", "left").withColumn("found", F.coalesce("found", "rep"))
-    open_keys = grouped.groupBy("key").agg(F.min("found").alias("x"), F.max("found").alias("y")).where("x < y").select("key")
-    left = grouped.join(open_keys, "key").join(classes.select("rep", "s1", "bands"), ["rep", "s1"]).select("key", "band", "rep", "n", "bits", "found", "bands")
-    left = stored(left, "open")
-    other = left.drop("band").withColumnsRenamed({"rep": "rep2", "n": "m", "bits": "others", "found": "found2", "bands": "bands2"})
+    open_keys = grouped.groupBy("key").agg(F.min("found").alias("x"), F.max("found").alias("y"), F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks")).where("x < y").select("key", "blocks")
+    left = grouped.join(open_keys, "key").join(classes.select("rep", "s1", "bands"), ["rep", "s1"])
+    scale = math.log(1.0001 * 100 / percent)  # sets that are alike are of one step of sizes or of neighbouring ones
+    left = stored(left.select("key", "band", "rep", "n", "bits", "found", "bands", "blocks", F.floor(F.log("n") / scale).alias("step")), "open")
+    # the smaller set of a pair is dealt to one block of its band and step, the larger one goes to all of them
+    other = left.select("key", F.explode(F.array("step", F.col("step") - 1)).alias("step"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("found").alias("found2"), F.col("bands").alias("bands2"))
+    left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     once = "not exists(sequence(0, band), i -> i < band and bands[i] = bands2[i])"  # each pair in its first shared band
-    more = left.join(other, "key").where("found < found2").where(close).where(once).selectExpr("least(rep, rep2) a", "greatest(rep, rep2) b").distinct()
+    more = left.join(other, ["key", "step", "block"]).where("found <> found2 and (n < m or n = m and rep < rep2)").where(close).where(once).selectExpr("least(rep, rep2) a", "greatest(rep, rep2) b").distinct()
     more = stored(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
     groups = stored(components(edges.unionAll(confirmed(more, texts, percent))), "groups")
 
