@@ -272,7 +272,7 @@ def test_repeats(spark, docs, odd):
                 gone[i : i + 200] = True
         assert (r.n_bytes, r.n_removed) == (len(d), gone.sum()) and r.kept_sha256 == hashlib.sha256(bytes(np.frombuffer(d, np.uint8)[~gone])).hexdigest()
     rows = repeats.remove_repeats(odd).collect()
-    assert len(rows) == 12 and {r.n_removed for r in rows if r.doc_id == 4} == {len(LONG) - 4} or {r.n_removed for r in rows if r.doc_id == 4} <= {len(LONG) - 3, len(LONG) - 2, len(LONG) - 4, len(LONG) - 1}
+    assert len(rows) == 12 and {r.n_removed for r in rows if r.doc_id == 4} == {len(LONG) - 3}
     assert repeats.remove_repeats(odd.where("false")).count() == 0
 
 
@@ -305,6 +305,27 @@ def test_near_duplicates(spark, docs, odd):
     assert near_dedup.near_duplicates(odd.where("false")).count() == 0
 
 
+def test_near_duplicates_of_a_template(spark, monkeypatch):
+    """One band that many unlinked classes share, dealt over blocks: no link is lost or added."""
+    monkeypatch.setattr(near_dedup, "PAIR_BLOCK", 7)
+    rng = random.Random(5)
+    common = [f"c{k}" for k in range(120)]
+    texts = {i: " ".join(common + [f"x{rng.randrange(9)}" for _ in range(rng.choice([5, 12, 26, 34]))]) for i in range(150)}
+    sets, parent = _sets(texts), {d: d for d in texts}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a in texts:
+        for b in range(a + 1, 150):
+            i = len(sets[a] & sets[b])
+            if 100 * i >= 85 * len(sets[a] | sets[b]):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {d: root(d) for d in texts} and 1 < len(set(got.values())) < 150
+
+
 def test_near_duplicate_signatures():
     x = near_dedup.shingles(" ".join(map(str, range(900))))
     y = np.unique(np.concatenate([x[60:], near_dedup.shingles("other " + " ".join(map(str, range(2000, 2060))))]))
@@ -379,12 +400,58 @@ def test_media(spark, docs, odd):
     assert media.write_archives(odd.where("false"), empty) == 0 and spark.read.format("media_archive").load(empty).count() == 0
 
 
+def _kept(before, after):
+    """Rows that a stage kept, each as often as it has it, must be rows that it was given."""
+    given, got = (Counter(map(tuple, f.collect())) for f in (before, after))
+    assert not got - given
+    return got
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
     docs = table(spark, SF, "documents")
+    items = [set(_sets({0: r.text})[0]) for r in table(spark, SF, "benchmark").collect()]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
+        out = stored(stage(spark, docs, SF), f"test-{name}")
         assert out.columns == docs.columns
-        docs = stored(out, f"test-{name}")
-    assert corpus_pipeline.run(spark, SF).count() > 0
+        given, got = ({r.doc_id: r.text for r in f.collect()} for f in (docs, out))
+        if name == "quality":
+            model = quality.fit(docs, table(spark, SF, "labels"))
+            assert got.keys() == {d for d, t in given.items() if model.score(np.array([quality.statistics(t)]))[0] >= 0.5}
+        if name == "near_dedup":
+            sets = _sets(given)
+            like = lambda a, b: bool(a) and 100 * len(a & b) >= 80 * len(a | b)
+            assert not any(like(sets[a], sets[b]) for a in got for b in got if a < b)
+            assert all(any(like(sets[d], sets[o]) for o in given if o != d) for d in given.keys() - got.keys())
+        if name == "decontam":
+            assert given.keys() - got.keys() and all(any(len(i & _sets({0: given[d]})[0]) >= 0.6 * len(i) for i in items) for d in given.keys() - got.keys())
+        if name == "pii":
+            assert got.keys() == given.keys() and not any(_personal(t) for t in got.values())
+        docs = out
+    pieces = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in pieces} == got.keys()
+
+
+def test_pipeline_odd(spark, odd):
+    import corpus_pipeline
+
+    leak = table(spark, SF, "benchmark").where("length(text) > 100").first().text
+    more = [(None, leak), (20, leak), (21, f"{LONG} {leak}"), (22, "one text of some words"), (22, "and another one with other words"), (None, "a copy without an id"), (None, "a copy without an id")]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, "en", "x", "y", 1, 2, "z") for i, t in more], SCHEMA)).selectExpr("*", "'own' base", "'own' more", "'own' KIND", "1 n_chars")
+    stages = dict(corpus_pipeline.STAGES)
+    for rows in (docs, docs.where("false")):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, rows, SF).columns == docs.columns, name
+        assert stages["packing"](spark, rows, SF).select("doc_id").distinct().count() == rows.select("doc_id").distinct().count()
+    assert all(stage(spark, docs.where("false"), SF).count() == 0 for stage in stages.values())
+    got = _kept(docs, stages["near_dedup"](spark, docs, SF))
+    texts = Counter((r[0], r[1]) for r in got.elements())
+    assert texts[5, "a b c"] == 1 and texts[6, "a b c"] == 0 and texts[7, "A B  C"] == 0 and texts[None, "a b c"] == 0
+    assert texts[22, "one text of some words"] == texts[22, "and another one with other words"] == texts[None, "a copy without an id"] == 1
+    assert texts[20, leak] == 1 and texts[None, leak] == 0 and texts[1, None] == texts[2, ""] == texts[None, None] == texts[4, LONG] == 1
+    got = _kept(docs, stages["decontam"](spark, docs, SF))
+    assert got.total() == docs.count() - 3 and not any(r[1] and leak in r[1] for r in got)
+    clean = stages["pii"](spark, docs, SF).collect()
+    assert len(clean) == docs.count() and {r.n_chars for r in clean if r.doc_id == 9} == {len("mail [EMAIL] now")}
+    assert _kept(docs, stages["quality"](spark, docs, SF))
