@@ -7,6 +7,16 @@ STOPWORDS = (
     "which who why will with would you your yours yeah yes yep nah nope ok okay omg pls plz thanks "
     "bro bruh man dude guys chat stream streamer twitch"
 ).split()
+THEME_STOPWORDS = "the and for you this that with but not are was или что как это там тут все они она его ещё еще".split()
+SECTIONS = (
+    ("audience_answer", "Audience answers"),
+    ("unanswered_question", "Questions chat asked that were never answered"),
+    ("reaction", "Reaction waves"),
+    ("warning", "Warnings"),
+    ("clip", "Clip candidates"),
+    ("theme", "Recurring themes"),
+)
+COSINES = (0.30, 0.40, 0.45, 0.50, 0.55, 0.60, 0.65, 0.70, 0.80)
 WH_WORDS = "who whos what whats when whens where wheres why whys how hows which".split()
 AUX_WORDS = "is are do does did can could would should will has have was were any anyone".split()
 LAUGHTER = r"^(?:l+o+l+(?:ol)*|lmf?ao|rofl|kekw?|xd+|(?:a?ha){2,}h?|(?:he){2,}|(?:а?ха){2,}х?|(?:хе){2,})$"

@@ -10,7 +10,7 @@ from ..functions.fixed import PREFIX_CHARS, REACTION_KEY
 from ..plans.store import stored
 from ..sources.events import CHAT
 from .grouping import group_chat
-from .windows import SCOPE
+from .windows import SCOPE, all_tiles
 
 MAX_ROWS = 6
 
@@ -41,13 +41,34 @@ def attributed(events: DataFrame) -> DataFrame:
     return found.withColumn("trigger", F.coalesce("matched", "preceding")).withColumn("link", link).drop("matched", "preceding")
 
 
-def board(events: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """Rows of each window: groups with one trigger merged, matched first, the first max_rows."""
-    rows = attributed(events).where("trigger is not null")
+def merged_rows(groups: DataFrame) -> DataFrame:
+    """Attributed groups with one trigger as one row, `rank`ed within their window: matched first, then by count."""
+    rows = groups.where("trigger is not null")
     lead = F.min(F.struct((-F.col("count")).alias("n"), "first_ts_ms", "key"))
     merged = rows.groupBy(*SCOPE, F.col("trigger.event_id").alias("trigger_id")).agg(
         F.min("trigger.ts_ms").alias("trigger_ts_ms"), F.max((F.col("link") == "matched").cast("int")).alias("is_matched"), F.sum("count").alias("count"), F.count("*").alias("groups"), lead.alias("lead")
     )
     w = Window.partitionBy(*SCOPE).orderBy(F.desc("is_matched"), F.desc("count"), "lead.first_ts_ms", "lead")
-    ranked = merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rows)
+    return merged.withColumn("rank", F.row_number().over(w))
+
+
+def board(events: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Rows of each window: groups with one trigger merged, matched first, the first max_rows."""
+    ranked = merged_rows(attributed(events)).where(F.col("rank") <= max_rows)
     return ranked.select(*SCOPE, "rank", "trigger_id", "trigger_ts_ms", F.when(F.col("is_matched") == 1, "matched").otherwise("preceding").alias("link"), "count", "groups", F.col("lead.first_ts_ms").alias("first_ts_ms"), F.col("lead.key").alias("lead_key"))
+
+
+def unattributed(groups: DataFrame) -> DataFrame:
+    """Groups of each window that no event precedes, most messages first."""
+    w = Window.partitionBy(*SCOPE).orderBy(F.desc("count"), "first_ts_ms", "key")
+    return groups.where("trigger is null").withColumn("rank", F.row_number().over(w)).select(*SCOPE, "rank", "key", "label", "count", "first_ts_ms")
+
+
+def board_footer(events: DataFrame, groups: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """messages, rows shown, rows hidden, unattributed groups and singletons of every tile of a channel, empty ones included."""
+    messages = events.where(F.col("type") == CHAT).groupBy(*SCOPE).agg(F.count("*").alias("messages"))
+    rows = merged_rows(groups).groupBy(*SCOPE).agg(F.count("*").alias("merged"))
+    grouped = groups.groupBy(*SCOPE).agg(F.sum("count").alias("grouped"), F.count_if(F.col("trigger").isNull()).alias("unattributed"))
+    found = all_tiles(events).join(messages, SCOPE, "left").join(rows, SCOPE, "left").join(grouped, SCOPE, "left").fillna(0)
+    shown = F.least("merged", F.lit(max_rows))
+    return found.select(*SCOPE, "messages", shown.alias("rows"), (F.col("merged") - shown).alias("rows_hidden"), "unattributed", (F.col("messages") - F.col("grouped")).alias("singletons"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fixed import STOPWORDS
+from ..functions.fixed import SECTIONS, THEME_STOPWORDS
 from ..sources.events import CHAT
 
 TYPES = ("audience_answer", "reaction", "unanswered_question", "warning", "none")
@@ -21,16 +21,22 @@ KEY = ["channel", "signal_id"]
 
 
 def parse_cards(replies: DataFrame) -> DataFrame:
-    """Replies (channel, reply) as cards with `place`; a reply that is no JSON object with cards has one row with parse_error."""
-    parsed = replies.withColumn("r", F.from_json("reply", f"cards array<struct<{CARD}>>"))
-    bad = F.col("r.cards").isNull()
-    rows = parsed.withColumn("parse_error", F.when(bad, "no cards in reply")).select("channel", "parse_error", F.posexplode_outer("r.cards").alias("place", "card"))
+    """Replies (channel, reply) as cards with `place`; a reply that is no JSON object with cards has one row with parse_error.
+
+    Elements that are no object are left out, good ones beside them stay; a field of another
+    type than CARD's is null.
+    """
+    parsed = replies.withColumn("c", F.get_json_object("reply", "$.cards"))
+    parsed = parsed.withColumn("r", F.from_json("c", "array<string>"))
+    bad = ~F.coalesce(F.ltrim("c").startswith("["), F.lit(False)) | F.col("r").isNull()
+    rows = parsed.withColumn("parse_error", F.when(bad, "no cards in reply")).select("channel", "parse_error", F.posexplode_outer(F.when(~bad, F.col("r"))).alias("place", "element"))
+    rows = rows.withColumn("card", F.from_json("element", CARD)).where(F.col("parse_error").isNotNull() | F.coalesce(F.ltrim("element").startswith("{"), F.lit(False)))
     return rows.select("channel", "parse_error", "place", "card.*")
 
 
 def capped(cards: DataFrame, scope: list[str], n: int = MAX_CARDS) -> DataFrame:
-    """The first n cards of known type of each scope by `place`; `dropped` counts the others of known type."""
-    known = cards.where(F.col("type").isin(*TYPES) & F.col("signal_id").isNotNull())
+    """The first n cards of known type of each scope by `place`; `dropped` counts the others of known type. A card needs no signal_id."""
+    known = cards.where(F.col("type").isin(*TYPES))
     w = Window.partitionBy(*scope)
     ranked = known.withColumn("_k", F.row_number().over(w.orderBy("place", "signal_id"))).withColumn("dropped", F.greatest(F.lit(0), F.count("*").over(w) - n))
     return ranked.where(F.col("_k") <= n).drop("_k")
@@ -87,11 +93,12 @@ def check_cards(cards: DataFrame, events: DataFrame, version: str = "reaction-v2
 
 
 def gate_ledger(checked: DataFrame) -> DataFrame:
-    """Verified, abstained and rejected cards of each channel, and violations by code."""
-    counts = checked.groupBy("channel").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "abstained", "rejected")], F.avg((~F.col("ok")).cast("int")).alias("unsupported_rate"))
-    codes = checked.select("channel", F.explode("violations").alias("code")).groupBy("channel", "code").agg(F.count("*").alias("n"))
-    codes = codes.groupBy("channel").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("code", "n")))).alias("codes"))
-    return counts.join(codes, "channel", "left")
+    """Verified, abstained and rejected cards of each window (of its start), and violations by code."""
+    rows = checked.withColumn("win", F.get("window_ms", F.lit(0)))
+    counts = rows.groupBy("channel", "win").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("verified", "abstained", "rejected")], F.avg((~F.col("ok")).cast("int")).alias("unsupported_rate"))
+    codes = rows.select("channel", "win", F.explode("violations").alias("code")).groupBy("channel", "win", "code").agg(F.count("*").alias("n"))
+    codes = codes.groupBy(F.col("channel").alias("c"), F.col("win").alias("w")).agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("codes"))
+    return counts.join(codes, F.col("channel").eqNullSafe(F.col("c")) & F.col("win").eqNullSafe(F.col("w")), "left").drop("c", "w")
 
 
 def gate_rescore(cards: DataFrame, events: DataFrame) -> DataFrame:
@@ -113,13 +120,17 @@ def cited_events(cards: DataFrame, events: DataFrame, n: int = 6) -> DataFrame:
 
 
 def debrief_sections(verified: DataFrame, events: DataFrame) -> DataFrame:
-    """Cards filed by type in the order of their time (the trigger's, else the window's start), with its timecode."""
+    """Cards filed by type in the order of their time, with its timecode; ts_source says whether that is the trigger's or the window's start."""
     times = events.select("channel", F.col("event_id").alias("tid"), F.col("ts_ms").alias("at"))
     start = events.groupBy("channel").agg(F.min("ts_ms").alias("origin"))
     rows = verified.where("type <> 'none'").withColumn("tid", _trigger_id()).join(times, ["channel", "tid"], "left").join(start, "channel", "left")
     rows = rows.withColumn("ts_ms", F.coalesce("at", F.get("window_ms", F.lit(0))))
-    place = F.row_number().over(Window.partitionBy("channel", "type").orderBy("ts_ms", "signal_id"))
-    return rows.select(*KEY, "type", place.alias("place"), "ts_ms", T.timecode(F.col("ts_ms") - F.col("origin")).alias("timecode"), F.size("evidence").alias("cited"), F.col("tid").alias("trigger_id"), "title")
+    source = F.when(F.col("at").isNotNull(), "trigger").when(F.col("ts_ms").isNotNull(), "window").otherwise("none")
+    place = F.row_number().over(Window.partitionBy("channel", "type").orderBy(F.coalesce("ts_ms", F.lit(0)), "signal_id"))
+    return rows.select(
+        *KEY, "type", place.alias("place"), "ts_ms", source.alias("ts_source"), T.timecode(F.col("ts_ms") - F.col("origin")).alias("timecode"), F.size("evidence").alias("cited"), F.col("tid").alias("trigger_id"),
+        "title", F.col("trigger.kind").alias("kind"), F.col("trigger.quote").alias("quote"), F.slice("evidence", 1, 6).alias("ids"), "distribution",
+    )
 
 
 def clip_candidates(sections: DataFrame, n: int = 5) -> DataFrame:
@@ -128,7 +139,7 @@ def clip_candidates(sections: DataFrame, n: int = 5) -> DataFrame:
     return sections.where("trigger_id is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def recurring_themes(verified: DataFrame, stopwords: list[str] = STOPWORDS, min_cards: int = 2) -> DataFrame:
+def recurring_themes(verified: DataFrame, stopwords: list[str] = THEME_STOPWORDS, min_cards: int = 2) -> DataFrame:
     """Words of quotes and answers that two or more cards carry; titles do not count."""
     said = F.concat(F.array(F.coalesce("trigger.quote", F.lit(""))), F.coalesce(F.map_keys("distribution"), F.array().cast("array<string>")))
     words = verified.select(*KEY, F.explode(said).alias("said")).select(*KEY, F.explode(T.words(T.normalize_quote(F.col("said")))).alias("term"))
@@ -136,12 +147,31 @@ def recurring_themes(verified: DataFrame, stopwords: list[str] = STOPWORDS, min_
     return words.groupBy("channel", "term").agg(F.count("*").alias("cards"), F.array_sort(F.collect_list("signal_id")).alias("signal_ids")).where(F.col("cards") >= min_cards)
 
 
-def debrief_markdown(sections: DataFrame) -> DataFrame:
-    """One document for each channel."""
-    line = F.concat(F.lit("- "), "timecode", F.lit(" "), F.coalesce("title", F.lit("")), F.lit(" ("), F.col("cited").cast("string"), F.lit(")"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"])
-    parts = sections.groupBy("channel", "type").agg(F.concat(F.lit("## "), F.first("type"), F.lit("\n"), F.array_join(lines, "\n")).alias("part"))
-    return parts.groupBy("channel").agg(F.concat(F.lit("# "), F.first("channel"), F.lit("\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("type", "part"))), lambda x: x["part"]), "\n\n")).alias("document"))
+def debrief_markdown(sections: DataFrame, themes: DataFrame, channels: DataFrame) -> DataFrame:
+    """One document for each of channels (channel): every section under its title, empty ones too, or that nothing was verified."""
+    votes = F.map_entries(F.coalesce("distribution", F.create_map().cast("map<string, double>")))
+    total = F.aggregate(votes, F.lit(0.0), lambda n, v: n + F.coalesce(v["value"], F.lit(0.0)))
+    shares = F.array_join(F.transform(F.array_sort(votes), lambda v: F.concat(F.lit("**"), v["key"], F.lit("** "), F.format_string("%.0f", v["value"]), F.when(total != 0, F.format_string(" (%.0f%%)", 100 * v["value"] / total)).otherwise(""))), " · ")
+    cause = F.when(F.col("trigger_id").isNull(), "- Cause: **not established**").otherwise(F.concat(F.lit("- Cause ("), F.coalesce("kind", F.lit("event")), F.lit(" `"), "trigger_id", F.lit("`): "), F.when(F.coalesce("quote", F.lit("")) != "", F.concat(F.lit("“"), "quote", F.lit("”"))).otherwise("—")))
+    ids = F.array_join(F.transform("ids", lambda i: F.concat(F.lit("`"), i, F.lit("`"))), ", ")
+    entry = F.array_join(
+        F.array_compact(F.array(
+            F.concat(F.lit("### `"), F.coalesce("timecode", F.lit("--:--:--")), F.lit("` "), F.coalesce(F.when(F.col("title") != "", F.col("title")), F.col("type")), F.when(F.col("ts_source") == "window", " *(window start)*").otherwise("")),
+            F.when(F.size(votes) > 0, F.concat(F.lit("- "), shares)), cause, F.concat(F.lit("- Evidence: "), F.col("cited").cast("string"), F.lit(" messages ("), ids, F.when(F.col("cited") > 6, ", …").otherwise(""), F.lit(")")),
+        )), "\n",
+    )
+    entries = sections.select("channel", "type", "place", entry.alias("line")).unionByName(clip_candidates(sections).select("channel", F.lit("clip").alias("type"), F.col("rank").alias("place"), entry.alias("line")))
+    row = F.row_number().over(Window.partitionBy("channel").orderBy(F.desc("cards"), "term"))
+    entries = entries.unionByName(themes.select("channel", F.lit("theme").alias("type"), row.alias("place"), F.concat(F.lit("| "), "term", F.lit(" | "), F.col("cards").cast("string"), F.lit(" |")).alias("line")))
+    texts = entries.groupBy("channel", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    titles = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("type"), F.lit(title).alias("heading")) for k, (t, title) in enumerate(SECTIONS)]))
+    parts = channels.select("channel", titles.alias("t")).select("channel", "t.*").join(texts, ["channel", "type"], "left")
+    part = F.concat(F.lit("## "), "heading", F.lit("\n"), F.coalesce("lines", F.lit("_Nothing in this run._")))
+    bodies = parts.groupBy("channel").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part.alias("part")))), lambda x: x["part"]), "\n\n").alias("body"))
+    counts = sections.groupBy("channel").agg(F.count("*").alias("verified_cards"))
+    found = bodies.join(counts, "channel", "left").fillna(0, ["verified_cards"])
+    body = F.when(F.col("verified_cards") > 0, F.concat(F.col("verified_cards").cast("string"), F.lit(" verified signals\n\n"), "body")).otherwise("## No verified signals")
+    return found.select("channel", "verified_cards", F.concat(F.lit("# Post-stream debrief: "), "channel", F.lit("\n\n"), body).alias("document"))
 
 
 def distribution_shares(cards: DataFrame) -> DataFrame:

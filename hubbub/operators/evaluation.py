@@ -8,6 +8,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..functions.fixed import COSINES
+from ..plans.store import stored
+from . import cards as gate
+from .grouping import assigned
+
 
 def candidate_matches(cards: DataFrame, gold: DataFrame) -> DataFrame:
     """Card and gold signal pairs of one case and type whose evidence overlaps, by an equi-join on the cited ids."""
@@ -86,6 +92,15 @@ def pair_scores(labels: DataFrame, predicted: DataFrame, scope: list[str]) -> Da
     return base.select(*[F.col(f"scope.{c}").alias(c) for c in scope], "tp", precision.alias("precision"), recall.alias("recall"), F.try_divide(2 * F.col("tp"), F.col("said") + F.col("true")).alias("f1"))
 
 
+def score_arms(labels: DataFrame, arms: dict[str, DataFrame], scope: list[str]) -> DataFrame:
+    """pair_scores of several groupings (scope, event_id, key) of the same labelled messages, by arm."""
+    out = None
+    for name, predicted in arms.items():
+        rows = pair_scores(labels, predicted, scope).withColumn("arm", F.lit(name))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def case_overlap(cases: DataFrame) -> DataFrame:
     """Overlapping case windows (case_id, fixture, start, end) of one capture, with the share of the shorter one."""
     minute = 60_000
@@ -97,11 +112,11 @@ def case_overlap(cases: DataFrame) -> DataFrame:
 
 
 def trigger_census(checked: DataFrame, events: DataFrame) -> DataFrame:
-    """Cards of each channel by where their trigger lies: abstained, unknown, missing or an event type."""
+    """Cards of each channel by where their trigger lies (abstained, unknown, missing or an event type), and how many of them passed."""
     tid = F.coalesce("trigger.event_id", F.lit("unknown"))
-    rows = checked.select("channel", "type", tid.alias("event_id")).join(events.select("channel", "event_id", F.col("type").alias("kind")), ["channel", "event_id"], "left")
+    rows = checked.select("channel", "type", "ok", tid.alias("event_id")).join(events.select("channel", "event_id", F.col("type").alias("kind")), ["channel", "event_id"], "left")
     source = F.when(F.col("type") == "none", "abstained").when(F.col("event_id") == "unknown", "unknown").otherwise(F.coalesce("kind", F.lit("missing")))
-    return rows.groupBy("channel", source.alias("source")).agg(F.count("*").alias("n"))
+    return rows.groupBy("channel", source.alias("source")).agg(F.count("*").alias("n"), F.count_if("ok").alias("passed"))
 
 
 def trajectory_counts(runs: DataFrame) -> DataFrame:
@@ -116,7 +131,7 @@ def usage_ledger(calls: DataFrame) -> DataFrame:
 
 
 def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block: int = 1024) -> DataFrame:
-    """Pairs (a, b) of one scope's vectors (id, vector) with cosine of threshold or more.
+    """Pairs (scope, a, b, cosine) of one scope's vectors (id, vector) with cosine of threshold or more.
 
     A scope is cut into blocks and each task multiplies two of them, so none holds a whole
     scope; all of a scope's vectors are compared, as single-link clusters need. A zero
@@ -140,10 +155,61 @@ def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block:
             return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
         if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []})
-        i, j = np.nonzero(unit(left["vector"]) @ unit(right["vector"]).T >= threshold)
+            return group.iloc[:0][scope].assign(a=0, b=0, cosine=0.0)
+        cosines = unit(left["vector"]) @ unit(right["vector"]).T
+        i, j = np.nonzero(cosines >= threshold)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         keep = a < b if x == y else a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+        found = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": cosines[i, j][keep]})
+        for k, c in enumerate(scope):
+            found.insert(k, c, group[c].iloc[0])
+        return found
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*scope).schema)
+    return dealt.groupBy(*scope, "x", "y").applyInPandas(compare, f"{kinds}, a long, b long, cosine double")
+
+
+def arm_exact(chat: DataFrame, scope: list[str]) -> DataFrame:
+    """A grouping by equal canonical texts; an empty one is a group of its own."""
+    canon = T.canonical(F.col("text"))
+    return chat.select(*scope, "event_id", F.when(canon != "", canon).otherwise(F.concat(F.lit("~"), F.col("event_id").cast("string"))).alias("key"))
 
-    return dealt.groupBy(*scope, "x", "y").applyInPandas(compare, "a long, b long")
+
+def arm_token_prefix(chat: DataFrame, scope: list[str]) -> DataFrame:
+    """The grouping by reaction, prefix and token; messages outside are groups of one, without a row."""
+    return assigned(chat, scope).select(*scope, "event_id", "key")
+
+
+def arm_embeddings(vectors: DataFrame, scope: list[str], thresholds: tuple[float, ...] = COSINES, rounds: int = 60) -> DataFrame:
+    """threshold, scope, id, key: single-link clusters of each scope's vectors at every threshold; key is the smallest id.
+
+    Each round every vector takes the smallest label among its neighbours and then its
+    label's own label; rounds are written out, so a lost executor costs one of them.
+    """
+    edges = cluster_edges(vectors, scope, min(thresholds))
+    each = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("cosine") >= t))
+    edges = stored(edges.withColumn("threshold", each).select("threshold", *scope, "a", "b"), "edges")
+    by = ["threshold", *scope]
+    both = edges.unionAll(edges.select(*by, F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = vectors.select(*scope, F.col("id")).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).select(*by, "id", F.col("id").alias("key"))
+    for _ in range(rounds):
+        near = both.join(labels.withColumnRenamed("id", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("id")).agg(F.min("key").alias("near"))
+        found = labels.join(near, [*by, "id"], "left").select(*by, "id", "key", F.least("key", "near").alias("low"))
+        own = found.select(*by, F.col("id").alias("low"), F.least("low", "key").alias("lower"))
+        after = stored(found.join(own, [*by, "low"], "left").select(*by, "id", F.least("low", "lower").alias("key"), (F.least("low", "lower") < F.col("key")).alias("moved")), "labels")
+        labels = after.drop("moved")
+        if after.where("moved").isEmpty():
+            return labels
+    raise RuntimeError(f"clusters are not settled after {rounds} rounds")
+
+
+def gold_selfcheck(gold: DataFrame, cases: DataFrame, events: DataFrame) -> DataFrame:
+    """Gold signals as cards of their case's window through the gate: case_id, gold_no, ok, violations, trigger_is_chat.
+
+    gold: case_id, gold_no, type, trigger_event_id, relevant_message_ids; cases: case_id, channel, start, end.
+    """
+    rows = gold.join(cases.select("case_id", "channel", "start", "end"), "case_id")
+    trigger = F.struct(F.lit("speech").alias("kind"), F.col("trigger_event_id").alias("event_id"), F.lit(None).cast("string").alias("quote"))
+    made = rows.select("channel", F.concat("case_id", F.lit("/"), F.col("gold_no").cast("string")).alias("signal_id"), "type", F.lit("").alias("title"), F.array("start", "end").alias("window_ms"), trigger.alias("trigger"), F.col("relevant_message_ids").alias("evidence"), F.lit(None).cast("map<string, double>").alias("distribution"), "case_id", "gold_no")
+    checked = gate.check_cards(made, events)
+    return checked.select("case_id", "gold_no", "ok", "violations", F.coalesce(F.col("trigger_event.type") == "chat_message", F.lit(False)).alias("trigger_is_chat"))

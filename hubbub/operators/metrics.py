@@ -37,12 +37,15 @@ def concentration(chat: DataFrame, share: float = 0.1) -> DataFrame:
 def rail(events: DataFrame) -> DataFrame:
     """The measured facts of every window that has an event."""
     chat = events.where(F.col("type") == CHAT)
-    base = events.groupBy(*SCOPE).agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in ((CHAT, "messages"), (SPEECH, "speech_segments"), (FRAME, "frame_captions"))], F.count_if(T.is_reaction(T.canonical(F.col("text"))) & (F.col("type") == CHAT)).alias("reaction_wave"))
-    rows = base.join(rate_buckets(chat), SCOPE, "left").join(concentration(chat), SCOPE, "left").join(new_chatters(chat), SCOPE, "left")
+    base = events.groupBy(*SCOPE).agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in ((CHAT, "messages"), (SPEECH, "speech_segments"), (FRAME, "frame_captions"))])
+    # equal texts are folded once: they are counted before canonical() sees them
+    texts = chat.groupBy(*SCOPE, "text").agg(F.count("*").alias("n"))
+    waves = texts.groupBy(*SCOPE).agg(F.sum(F.when(T.is_reaction(T.canonical(F.col("text"))), F.col("n")).otherwise(0)).alias("reaction_wave"))
+    rows = base.join(waves, SCOPE, "left").join(rate_buckets(chat), SCOPE, "left").join(concentration(chat), SCOPE, "left").join(new_chatters(chat), SCOPE, "left")
     peak = F.coalesce(F.array_max("rate"), F.lit(0))
     return rows.select(
         *SCOPE, "messages", "rate", peak.alias("peak_burst"), F.bround(peak / (BUCKET_MS / 1000), 2).alias("peak_per_second"), F.coalesce("unique_chatters", F.lit(0)).alias("unique_chatters"), F.coalesce("new_chatters", F.lit(0)).alias("new_chatters"),
-        F.coalesce(F.bround(F.try_divide("messages", "unique_chatters"), 2), F.lit(0.0)).alias("messages_per_chatter"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), "reaction_wave", "speech_segments", (F.col("speech_segments") == 0).alias("silent"), "frame_captions",
+        F.coalesce(F.bround(F.try_divide("messages", "unique_chatters"), 2), F.lit(0.0)).alias("messages_per_chatter"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), F.coalesce("reaction_wave", F.lit(0)).alias("reaction_wave"), "speech_segments", (F.col("speech_segments") == 0).alias("silent"), "frame_captions",
     )
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fixed import COORDINATED_MS
+from ..plans.store import stored
 
+RULES = (("link", "Links and invites"), ("coordinated", "Coordinated repeats"), ("injection", "Prompt injection"))
 MIN_AUTHORS, MIN_WORDS, MIN_CHARS, MAX_ROWS = 4, 4, 20, 5
 
 
@@ -27,15 +29,33 @@ def injection(chat: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
 
 
 def coordinated(chat: DataFrame, max_rows: int = MAX_ROWS, span_ms: int = COORDINATED_MS) -> DataFrame:
-    """Long texts that MIN_AUTHORS or more authors post within span_ms: the first such stretch of each text.
+    """Long texts that MIN_AUTHORS or more authors post within span_ms: the first such stretch of each text, with its event_ids.
 
-    Texts with too few authors in all go before any window is opened.
+    Posts are first counted by author and time. A stretch lies in two time slots at most, so
+    each slot of a text is looked at by itself, however long and often the text is repeated.
     """
-    rows = chat.select("channel", "event_id", "ts_ms", F.coalesce("author", F.lit("")).alias("author"), T.canonical(F.col("text")).alias("key"))
-    rows = rows.where((F.length("key") >= MIN_CHARS) & (F.size(T.words(F.col("key"))) >= MIN_WORDS))
-    many = rows.groupBy("channel", "key").agg(F.countDistinct("author").alias("n")).where(F.col("n") >= MIN_AUTHORS).drop("n")
-    ahead = Window.partitionBy("channel", "key").orderBy("ts_ms").rangeBetween(0, span_ms)
-    starts = rows.join(many, ["channel", "key"]).select("channel", "key", "ts_ms", F.size(F.collect_set("author").over(ahead)).alias("authors"), F.count("*").over(ahead).alias("count"))
-    first = starts.where(F.col("authors") >= MIN_AUTHORS).groupBy("channel", "key").agg(F.min(F.struct("ts_ms", "authors", "count")).alias("s")).select("channel", "key", F.col("s.ts_ms").alias("first_ts_ms"), "s.authors", "s.count")
+    rows = chat.where(F.length("text") >= MIN_CHARS).select("channel", "event_id", "ts_ms", F.coalesce("author", F.lit("")).alias("author"), T.canonical(F.col("text")).alias("key"))
+    rows = stored(rows.where((F.length("key") >= MIN_CHARS) & (F.size(T.words(F.col("key"))) >= MIN_WORDS)), "long-texts")
+    many = rows.groupBy("channel", "key").agg(F.countDistinct("author").alias("n")).where(F.col("n") >= MIN_AUTHORS).select("channel", "key")
+    posts = rows.join(many, ["channel", "key"]).groupBy("channel", "key", "author", "ts_ms").agg(F.count("*").alias("n"))
+    own = F.floor(F.col("ts_ms") / span_ms)
+    ahead = Window.partitionBy("channel", "key", "slot").orderBy("ts_ms").rangeBetween(0, span_ms)
+    starts = posts.withColumn("slot", F.explode(F.array(own, own - 1))).withColumns({"authors": F.size(F.collect_set("author").over(ahead)), "count": F.sum("n").over(ahead)})
+    starts = starts.where((F.col("authors") >= MIN_AUTHORS) & (F.col("slot") == own))
+    first = starts.groupBy("channel", "key").agg(F.min(F.struct("ts_ms", "authors", "count")).alias("s")).select("channel", "key", F.col("s.ts_ms").alias("first_ts_ms"), "s.authors", "s.count")
     w = Window.partitionBy("channel").orderBy(F.desc("authors"), "first_ts_ms", "key")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rows)
+    top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rows)
+    members = rows.join(top, ["channel", "key"]).where((F.col("ts_ms") >= F.col("first_ts_ms")) & (F.col("ts_ms") <= F.col("first_ts_ms") + span_ms))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id"))), lambda x: x["event_id"])
+    return top.join(members.groupBy("channel", "key").agg(ids.alias("event_ids")), ["channel", "key"])
+
+
+def needs_a_look(chat: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """Every rule of every channel with its number of rows: a rule that found nothing has 0, not no row."""
+    messages = chat.groupBy("channel").agg(F.count("*").alias("messages"))
+    rules = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), F.lit(kind).alias("kind"), F.lit(label).alias("label")) for k, (kind, label) in enumerate(RULES)]))
+    found = [f(chat, max_rows).groupBy("channel").agg(F.count("*").alias("hits")).withColumn("kind", F.lit(kind)) for (kind, _), f in zip(RULES, (links, coordinated, injection), strict=True)]
+    hits = found[0].unionByName(found[1]).unionByName(found[2])
+    rows = messages.withColumn("r", rules).select("channel", "messages", "r.*").join(hits, ["channel", "kind"], "left")
+    rows = rows.withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return rows.withColumn("total", F.sum("hits").over(Window.partitionBy("channel")))

@@ -70,7 +70,7 @@ def rolling_groups(chat: DataFrame, span_ms: int = TILE_MS, tick_ms: int = TICK_
 
 def tick_changes(ticks: DataFrame) -> DataFrame:
     """Ticks whose list of (label, count) differs from the tick before."""
-    lists = ticks.groupBy("channel", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "count"))), lambda x: F.struct(x["label"], x["count"])).alias("groups"))
+    lists = ticks.groupBy("channel", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "count"))), lambda x: F.struct(x["label"].alias("label"), x["count"].alias("count"))).alias("groups"))
     before = F.lag("groups").over(Window.partitionBy("channel").orderBy("tick"))
     return lists.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("groups"))).select("channel", "tick", "groups")
 

@@ -21,6 +21,12 @@ def tiled(events: DataFrame, size_ms: int = TILE_MS) -> DataFrame:
     return events.join(first, "channel").withColumn("win", F.expr(f"origin + (ts_ms - origin) div {size_ms} * {size_ms}")).drop("origin")
 
 
+def all_tiles(tiled_events: DataFrame, size_ms: int = TILE_MS) -> DataFrame:
+    """Every tile from a channel's first event to its last, those without events too."""
+    ends = tiled_events.groupBy("channel").agg(F.min("win").alias("lo"), F.max("win").alias("hi"))
+    return ends.select("channel", F.explode(F.sequence("lo", "hi", F.lit(size_ms).cast("long"))).alias("win"))
+
+
 def window_filter(events: DataFrame, start: int, end: int, types: list[str] | None = None, final_only: bool = False) -> DataFrame:
     rows = events.where((F.col("ts_ms") >= start) & (F.col("ts_ms") < end))
     rows = rows.where(F.col("type").isin(types)) if types else rows

@@ -36,7 +36,19 @@ def _cards(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     first = member.withColumn("k", F.row_number().over(Window.partitionBy(*windows.SCOPE, "key").orderBy("ts_ms", "event_id"))).where("k <= 6")
     ids = first.groupBy(*windows.SCOPE, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "event_id"))), lambda x: x["event_id"]).alias("evidence"))
     found = board.attributed(events).where("trigger is not null").join(ids, [*windows.SCOPE, "key"])
-    return stored(cards.cards_of_groups(found), "cards"), events
+    return stored(_broken(cards.cards_of_groups(found)), "cards"), events
+
+
+def _broken(made: DataFrame) -> DataFrame:
+    """Cards as a model might give them: the first digit of the id's hash says which rule, if any, a card breaks."""
+    m, evidence, trigger = F.substring(F.md5("signal_id"), 1, 1), F.col("evidence"), F.col("trigger")
+    ghost = F.array(F.lit("ghost"))
+    cited = F.when(m == "1", F.concat(evidence, ghost)).when(m == "5", F.array().cast("array<string>")).when(m == "8", F.concat(evidence, F.array(trigger["event_id"]))).otherwise(evidence)
+    cause = F.when(m == "2", "ghost").when(m == "9", cards.UNKNOWN).when(m == "6", F.get(evidence, F.lit(0))).when(m == "a", F.element_at(evidence, -1)).otherwise(trigger["event_id"])
+    quote = F.when(m == "3", "nothing of the sort was said").otherwise(trigger["quote"])
+    window = F.when(m == "7", F.transform("window_ms", lambda t: t - 60_000)).otherwise(F.col("window_ms"))
+    kind = F.when(m.isin("0", "6"), "reaction").when(m == "4", "none").otherwise(F.col("type"))
+    return made.withColumns({"evidence": cited, "trigger": F.struct(trigger["kind"].alias("kind"), cause.alias("event_id"), quote.alias("quote")), "window_ms": window, "type": kind})
 
 
 def _checked(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -104,21 +116,21 @@ QUERIES = {
     "pending_messages": lambda s, d: context.pending_messages(_of(s, d, E.CHAT), _of(s, d, E.CHAT).where("text like '%?'"), 600_000, 600_000).select("channel", "event_id"),
     "render_window": lambda s, d: context.render_window(_tiled(s, d)).select("channel", "win", F.md5("lines").alias("lines_md5")),
     "inspect": lambda s, d: context.inspect(_events(s, d)),
-    "questions": lambda s, d: questions.questions(_of(s, d, E.CHAT)),
-    "stream_questions": lambda s, d: questions.stream_questions(_events(s, d)),
-    "rolling_groups": lambda s, d: questions.rolling_groups(_of(s, d, E.CHAT)),
-    "tick_changes": lambda s, d: questions.tick_changes(stored(questions.rolling_groups(_of(s, d, E.CHAT)), "ticks")),
+    "questions": lambda s, d: questions.questions(_of(s, d, E.CHAT)).withColumn("variants", F.array_join("variants", "\n")),
+    "stream_questions": lambda s, d: questions.stream_questions(_events(s, d)).withColumn("shared", F.array_join("shared", ",")),
+    "rolling_groups": lambda s, d: questions.rolling_groups(_of(s, d, E.CHAT)).withColumn("samples", F.array_join("samples", "\n")),
+    "tick_changes": lambda s, d: questions.tick_changes(stored(questions.rolling_groups(_of(s, d, E.CHAT)), "ticks")).withColumn("groups", F.array_join(F.transform("groups", lambda g: F.concat_ws(" ", g["label"], g["count"].cast("string"))), ",")),
     "tile_cli": lambda s, d: questions.tile_cli(_events(s, d).groupBy("channel").agg(F.min("ts_ms").alias("start"), (F.max("ts_ms") + 1).alias("end"))),
-    "check_card": lambda s, d: _checked(s, d)[0].select("channel", "signal_id", "type", "ok", "status", "violations"),
-    "gate_ledger": lambda s, d: cards.gate_ledger(_checked(s, d)[0]),
+    "check_card": lambda s, d: _checked(s, d)[0].select("channel", "signal_id", "type", "ok", "status", F.array_join("violations", ",").alias("violations")),
+    "gate_ledger": lambda s, d: cards.gate_ledger(_checked(s, d)[0]).withColumn("codes", F.array_join(F.transform("codes", lambda c: F.concat_ws(" ", c["code"], c["n"].cast("string"))), ",")),
     "gate_rescore": lambda s, d: cards.gate_rescore(*_cards(s, d)),
     "cited_events": lambda s, d: cards.cited_events(*_cards(s, d)),
     "grounded_cards": lambda s, d: cards.grounded(_checked(s, d)[0]).select("channel", "signal_id"),
     "trigger_census": lambda s, d: evaluation.trigger_census(*_checked(s, d)),
-    "debrief_sections": _sections,
-    "clip_candidates": lambda s, d: cards.clip_candidates(_sections(s, d)),
-    "debrief_markdown": lambda s, d: cards.debrief_markdown(_sections(s, d)),
-    "recurring_themes": lambda s, d: cards.recurring_themes(_verified(s, d)),
+    "debrief_sections": lambda s, d: _sections(s, d).drop("kind", "quote", "ids", "distribution"),
+    "clip_candidates": lambda s, d: cards.clip_candidates(_sections(s, d)).drop("kind", "quote", "ids", "distribution"),
+    "debrief_markdown": lambda s, d: cards.debrief_markdown(stored(_sections(s, d), "sections"), cards.recurring_themes(_verified(s, d)), _events(s, d).select("channel").distinct()),
+    "recurring_themes": lambda s, d: cards.recurring_themes(_verified(s, d)).withColumn("signal_ids", F.array_join("signal_ids", ",")),
     "distribution_shares": lambda s, d: cards.distribution_shares(_cards(s, d)[0]),
     "poll_drafts": lambda s, d: cards.poll_drafts(_verified(s, d)),
     "score_cases": _scores,

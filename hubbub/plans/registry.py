@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators import board, grouping, metrics, moderation, windows
 from ..sources import events as E
-from . import context_queries
+from . import chat_sql, context_queries
+from .store import stored
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,15 +23,32 @@ def _chat(df: DataFrame) -> DataFrame:
     return df.where(F.col("type") == E.CHAT)
 
 
+def _lined(df: DataFrame, by: str = "\n") -> DataFrame:
+    """Arrays of texts as one text each, as all engines compare those alike."""
+    return df.withColumns({f.name: F.array_join(F.col(f.name).cast("array<string>"), by) for f in df.schema if f.dataType.typeName() == "array"})
+
+
+def _attributed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    events = stored(_tiled(s, d), "tiled")
+    return events, stored(board.attributed(events), "attributed")
+
+
+def _footer(s: SparkSession, d: str) -> DataFrame:
+    return board.board_footer(*_attributed(s, d))
+
+
 QUERIES = {
+    "unattributed": lambda s, d: board.unattributed(_attributed(s, d)[1]),
+    "board_footer": _footer,
+    "needs_a_look": lambda s, d: moderation.needs_a_look(_chat(_events(s, d))),
     "board": lambda s, d: board.board(_tiled(s, d)),
-    "group_chat": lambda s, d: grouping.group_chat(_chat(_tiled(s, d))),
+    "group_chat": lambda s, d: _lined(grouping.group_chat(_chat(_tiled(s, d)))),
     "grouped_summary": lambda s, d: grouping.grouped_summary(_chat(_tiled(s, d))),
-    "top_groups": lambda s, d: grouping.top_groups(grouping.group_chat(_chat(_tiled(s, d)))),
-    "reduce_chat": lambda s, d: grouping.reduce_chat(_chat(_tiled(s, d))),
+    "top_groups": lambda s, d: _lined(grouping.top_groups(grouping.group_chat(_chat(_tiled(s, d))))),
+    "reduce_chat": lambda s, d: _lined(grouping.reduce_chat(_chat(_tiled(s, d))), ","),
     "compression_ratio": lambda s, d: grouping.compression_ratio(_chat(_tiled(s, d))),
-    "rail": lambda s, d: metrics.rail(_tiled(s, d)),
-    "coordinated": lambda s, d: moderation.coordinated(_chat(_events(s, d))),
+    "rail": lambda s, d: _lined(metrics.rail(_tiled(s, d)), ","),
+    "coordinated": lambda s, d: _lined(moderation.coordinated(_chat(_events(s, d))), ","),
     "union_modalities": lambda s, d: _events(s, d).groupBy("channel", "type").agg(F.count("*").alias("n"), F.min("ts_ms").alias("first_ts_ms"), F.max("ts_ms").alias("last_ts_ms")),
     "duplicate_ids": lambda s, d: E.duplicate_ids(_events(s, d)),
     "tile_board": lambda s, d: _tiled(s, d).groupBy("channel", "win").agg(F.count("*").alias("n")),
@@ -66,4 +84,4 @@ ORACLE_SQL: dict[str, str] = {
 }
 
 QUERIES |= context_queries.QUERIES
-ORACLE_SQL |= context_queries.ORACLE_SQL
+ORACLE_SQL |= context_queries.ORACLE_SQL | chat_sql.ORACLE_SQL

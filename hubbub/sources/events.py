@@ -23,12 +23,9 @@ _FEEDS = (
 def read_captures(spark: SparkSession, root: str) -> DataFrame:
     """Feeds under root/<channel>/; a feed that no channel has gives no rows; missing ids come from content."""
     out = None
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*")
-    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for name, prefix, kind, schema in _FEEDS:
-        if not len(system.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/*/{name}.jsonl")) or []):
-            continue
-        rows = spark.read.schema(schema).json(f"{root}/*/{name}.jsonl")
+        # a filter by name instead of a glob: it may match no file
+        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.jsonl").json(root)
         text = F.coalesce(F.col("caption" if kind == FRAME else "text"), F.lit(""))
         rows = rows.where("ts_ms is not null").select(
             F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("channel"),
@@ -41,7 +38,17 @@ def read_captures(spark: SparkSession, root: str) -> DataFrame:
             (F.coalesce("final", F.lit(True)) if kind == SPEECH else F.lit(True)).alias("final"),
         )
         out = rows if out is None else out.unionByName(rows)
-    return out if out is not None else spark.createDataFrame([], "channel string, event_id string, type string, ts_ms long, end_ms long, author string, text string, final boolean")
+    return out
+
+
+META = "fixture_id string, channel string, captured_utc string, duration_s double, chat_messages long, enriched boolean, provenance string"
+
+
+def load_meta(spark: SparkSession, root: str, name: str = "meta.json") -> DataFrame:
+    """META of each capture folder that has a file of this name; fixture_id is the folder's name where the file has none."""
+    rows = spark.read.schema(META).option("multiLine", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", name).json(root)
+    folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return rows.select(F.coalesce("fixture_id", folder).alias("fixture_id"), *[c.split()[0] for c in META.split(", ")[1:-2]], F.coalesce("enriched", F.lit(False)).alias("enriched"), "provenance")
 
 
 def duplicate_ids(events: DataFrame) -> DataFrame:
