@@ -195,10 +195,23 @@ def poll_drafts(verified: DataFrame, max_options: int = 5, option_chars: int = 2
     return rows.select(*KEY, T.truncated(F.coalesce("source", F.when(F.col("title") != "", F.col("title")), F.lit("Chat, which one?")), question_chars).alias("question"), "options", "total_votes", warnings.alias("warnings"))
 
 
+WITHHELD = ("text", "title", "quote", "detail", "distribution")
+
+
 def mask_export(rows: DataFrame) -> DataFrame:
-    """Without authors, with texts withheld."""
-    held = {c: F.lit("[withheld]") for c in ("text", "title", "quote", "detail", "distribution") if c in rows.columns}
-    return rows.drop("author", "login", "trace_path").withColumns(held)
+    """Without authors, with texts withheld; those inside structs too."""
+
+    def masked(field, column: Column) -> Column | None:
+        if field.name in ("author", "login", "trace_path"):
+            return None
+        if field.name in WITHHELD:
+            return F.lit("[withheld]").alias(field.name)
+        if field.dataType.typeName() == "struct":
+            inner = [c for f in field.dataType if (c := masked(f, column[f.name])) is not None]
+            return F.when(column.isNotNull(), F.struct(*inner)).alias(field.name)
+        return column.alias(field.name)
+
+    return rows.select(*[c for f in rows.schema if (c := masked(f, F.col(f"`{f.name}`"))) is not None])
 
 
 def cards_of_groups(attributed: DataFrame) -> DataFrame:

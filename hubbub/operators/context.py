@@ -141,9 +141,10 @@ def interim_replacement(speech: DataFrame, slack_ms: int = 2000) -> DataFrame:
     return speech.join(gone, ["channel", "event_id"], "left_anti")
 
 
-def pending_messages(chat: DataFrame, reasons: DataFrame, as_of: int, age_ms: int = PENDING_MS) -> DataFrame:
-    """Messages of the last age_ms, as of a time, that have no reason row."""
-    recent = chat.where((F.col("ts_ms") > as_of - age_ms) & (F.col("ts_ms") <= as_of))
+def pending_messages(chat: DataFrame, reasons: DataFrame, as_of: DataFrame | int, age_ms: int = PENDING_MS) -> DataFrame:
+    """Messages of the last age_ms that have no reason row, as of a time, or of each channel's own (channel, as_of)."""
+    rows = chat.withColumn("as_of", F.lit(as_of)) if isinstance(as_of, int) else chat.join(as_of.select("channel", "as_of"), "channel")
+    recent = rows.where((F.col("ts_ms") > F.col("as_of") - age_ms) & (F.col("ts_ms") <= F.col("as_of"))).drop("as_of")
     return recent.join(reasons.select("channel", "event_id").distinct(), ["channel", "event_id"], "left_anti")
 
 
@@ -152,6 +153,12 @@ def cache_misses(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("key").distinct(), "key", "left_anti")
 
 
+def cache_counts(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """How many requests (key) have a recorded response and how many have none."""
+    rows = requests.join(cache.select("key").distinct().withColumn("hit", F.lit(True)), "key", "left")
+    return rows.agg(F.count("hit").alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"))
+
+
 def render_window(events: DataFrame, chat_only: bool = False) -> DataFrame:
     """Each window's final events as lines of tag, id, time, speaker and text."""
     rows = events.where("final")

@@ -121,8 +121,20 @@ def trigger_census(checked: DataFrame, events: DataFrame) -> DataFrame:
 
 def trajectory_counts(runs: DataFrame) -> DataFrame:
     """Tool calls, model calls and gate results of runs (agent, trace_id, steps array<struct<kind, tool, ok>>), by agent."""
-    each = runs.select("agent", *[F.size(F.filter("steps", lambda s, k=k: s["kind"] == k)).alias(n) for k, n in (("tool", "tools"), ("model", "models"))], F.size(F.filter("steps", lambda s: (s["kind"] == "gate") & s["ok"])).alias("ok"), F.size(F.filter("steps", lambda s: (s["kind"] == "gate") & ~s["ok"])).alias("rejected"))
-    return each.groupBy("agent").agg(F.count("*").alias("runs"), F.sum("tools").alias("tool_calls"), F.sum("models").alias("model_calls"), F.sum("ok").alias("gate_ok"), F.sum("rejected").alias("gate_rejected"), F.mode("tools").alias("usual_tools"))
+
+    def steps(kind: str):
+        return F.size(F.filter("steps", lambda s: s["kind"] == kind))
+
+    each = runs.select("agent", steps("tool").alias("tools"), steps("model").alias("models"), F.size(F.filter("steps", lambda s: (s["kind"] == "gate") & s["ok"])).alias("ok"), F.size(F.filter("steps", lambda s: (s["kind"] == "gate") & ~s["ok"])).alias("rejected"))
+    return each.groupBy("agent").agg(F.count("*").alias("runs"), F.sum("tools").alias("tool_calls"), F.sum("models").alias("model_calls"), F.sum("ok").alias("gate_ok"), F.sum("rejected").alias("gate_rejected"))
+
+
+def tool_calls(runs: DataFrame) -> DataFrame:
+    """By agent: calls of each tool (what: tool), and the number of runs with so many calls (what: calls)."""
+    tools = F.filter("steps", lambda s: s["kind"] == "tool")
+    by_tool = runs.select("agent", F.explode(F.transform(tools, lambda s: s["tool"])).alias("value")).select("agent", F.lit("tool").alias("what"), "value")
+    rows = by_tool.unionByName(runs.select("agent", F.lit("calls").alias("what"), F.size(tools).cast("string").alias("value")))
+    return rows.groupBy("agent", "what", "value").agg(F.count("*").alias("n"))
 
 
 def usage_ledger(calls: DataFrame) -> DataFrame:

@@ -33,6 +33,15 @@ def window_filter(events: DataFrame, start: int, end: int, types: list[str] | No
     return rows.where("final") if final_only else rows
 
 
+def slices(events: DataFrame, windows: DataFrame, size_ms: int = TILE_MS) -> DataFrame:
+    """Events of requested windows (channel, start, end), half-open, with the window's start and end.
+
+    A window is cut into time slots, so that the join is on (channel, slot).
+    """
+    asked = windows.where("end > start").withColumn("_slot", F.explode(F.sequence(F.floor(F.col("start") / size_ms), F.floor((F.col("end") - 1) / size_ms))))
+    return events.withColumn("_slot", F.floor(F.col("ts_ms") / size_ms)).join(asked, ["channel", "_slot"]).where("ts_ms >= start and ts_ms < end").drop("_slot")
+
+
 def total_order(events: DataFrame) -> DataFrame:
     """`place` of each event in its channel, by (ts_ms, type, event_id)."""
     return events.withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy("ts_ms", "type", "event_id")))

@@ -92,7 +92,7 @@ def _irc(s: SparkSession, d: str) -> DataFrame:
 def _turn_spans(s: SparkSession, d: str) -> DataFrame:
     spans = s.read.parquet(f"{d}/conversations.parquet").groupBy("conv_id").agg((F.min("turn") * 1500).alias("lo"), (F.max("turn") * 1500 + 200_000).alias("hi"))
     base = F.col("conv_id") * 7000
-    return spans.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("case_id"), F.concat(F.lit("f"), (F.col("conv_id") % 50).cast("string")).alias("fixture"), (base + F.col("lo")).alias("start"), (base + F.col("hi")).alias("end"))
+    return spans.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("case_id"), F.concat(F.lit("f"), F.floor(F.col("conv_id") / 50).cast("string")).alias("fixture"), (base + F.col("lo")).alias("start"), (base + F.col("hi")).alias("end"))
 
 
 def _labelled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -112,8 +112,8 @@ QUERIES = {
     "overlap_speech": lambda s, d: context.overlap_speech(_of(s, d, E.SPEECH), 1000).select("channel", "event_id", "end"),
     "summary_counts": lambda s, d: context.summary_counts(_events(s, d)),
     "hierarchical_prev": lambda s, d: context.hierarchical_prev(stored(context.summary_counts(_events(s, d)).select("channel", "window_s", "end_ms"), "summaries")),
-    "interim_replacement": lambda s, d: context.interim_replacement(_of(s, d, E.SPEECH).withColumn("final", F.crc32("event_id") % 2 == 0).withColumn("arrival", F.col("ts_ms"))).select("channel", "event_id", "final"),
-    "pending_messages": lambda s, d: context.pending_messages(_of(s, d, E.CHAT), _of(s, d, E.CHAT).where("text like '%?'"), 600_000, 600_000).select("channel", "event_id"),
+    "interim_replacement": lambda s, d: context.interim_replacement(_of(s, d, E.SPEECH).withColumn("final", F.length("event_id") % 2 == 0).withColumn("arrival", F.col("ts_ms"))).select("channel", "event_id", "final"),
+    "pending_messages": lambda s, d: context.pending_messages(_of(s, d, E.CHAT), _of(s, d, E.CHAT).where("text like '%?'"), _of(s, d, E.CHAT).groupBy("channel").agg(F.max("ts_ms").alias("as_of"))).select("channel", "event_id"),
     "render_window": lambda s, d: context.render_window(_tiled(s, d)).select("channel", "win", F.md5("lines").alias("lines_md5")),
     "inspect": lambda s, d: context.inspect(_events(s, d)),
     "questions": lambda s, d: questions.questions(_of(s, d, E.CHAT)).withColumn("variants", F.array_join("variants", "\n")),
@@ -132,7 +132,7 @@ QUERIES = {
     "debrief_markdown": lambda s, d: cards.debrief_markdown(stored(_sections(s, d), "sections"), cards.recurring_themes(_verified(s, d)), _events(s, d).select("channel").distinct()),
     "recurring_themes": lambda s, d: cards.recurring_themes(_verified(s, d)).withColumn("signal_ids", F.array_join("signal_ids", ",")),
     "distribution_shares": lambda s, d: cards.distribution_shares(_cards(s, d)[0]),
-    "poll_drafts": lambda s, d: cards.poll_drafts(_verified(s, d)),
+    "poll_drafts": lambda s, d: cards.poll_drafts(_verified(s, d)).drop("options").withColumn("warnings", F.array_join("warnings", "; ")),
     "score_cases": _scores,
     "score_systems": lambda s, d: evaluation.score_systems(_scores(s, d)),
     "pair_scores": lambda s, d: evaluation.pair_scores(*_labelled(s, d), ["source"]),
@@ -166,14 +166,14 @@ ORACLE_SQL = {
     "summary_counts": f"WITH {_LEVELS} SELECT * FROM counts",
     "hierarchical_prev": f"WITH {_LEVELS}, pr AS (SELECT * FROM (VALUES (300, 60), (1800, 300), (7200, 1800)) AS p(window_s, prev_s)), j AS (SELECT u.channel, u.window_s, u.end_ms, prev_s, l.end_ms AS prev_end, row_number() OVER (PARTITION BY u.channel, u.window_s, u.end_ms ORDER BY l.end_ms DESC) AS k FROM counts u JOIN pr USING (window_s) "
     "JOIN counts l ON l.channel = u.channel AND l.window_s = prev_s AND l.end_ms > u.end_ms - u.window_s * 1000 AND l.end_ms <= u.end_ms) SELECT channel, window_s, end_ms, prev_s, prev_end FROM j WHERE k <= greatest(1, window_s // prev_s)",
-    "pending_messages": f"WITH {_EVENTS} SELECT channel, event_id FROM ev WHERE type = 'chat_message' AND ts_ms > 0 AND ts_ms <= 600000 AND NOT text LIKE '%?'",
+    "pending_messages": f"WITH {_EVENTS}, c AS (SELECT *, max(ts_ms) OVER (PARTITION BY channel) AS as_of FROM ev WHERE type = 'chat_message') SELECT channel, event_id FROM c WHERE ts_ms > as_of - 120000 AND NOT text LIKE '%?'",
     "render_window": f"WITH {_TILED} SELECT channel, win, md5(string_agg(concat('[', CASE type WHEN 'chat_message' THEN 'chat' WHEN 'transcript_segment' THEN 'speech' ELSE 'screen' END, '] ', event_id, ' ', ts_ms, ' ', coalesce(author, ''), ': ', coalesce(text, '')), chr(10) ORDER BY ts_ms, type, event_id)) AS lines_md5 FROM tiled GROUP BY ALL",
     "tile_cli": f"WITH {_EVENTS}, s AS (SELECT channel, min(ts_ms) AS a, max(ts_ms) + 1 AS b FROM ev GROUP BY ALL), t AS (SELECT *, unnest(range(a, b, 60000)) AS lo FROM s) SELECT channel, lo, least(lo + 60000, b) AS hi FROM t",
     "pair_scores": "WITH r AS (SELECT source, lang AS intent, CASE WHEN n_chars > 0 THEN floor(log10(n_chars)) END AS key FROM documents WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND lang <> 'unsure'), "
     "tp AS (SELECT source, sum(n * (n - 1) / 2) AS tp FROM (SELECT source, intent, key, count(*) AS n FROM r WHERE key IS NOT NULL GROUP BY ALL) GROUP BY ALL), sa AS (SELECT source, sum(n * (n - 1) / 2) AS sa FROM (SELECT source, key, count(*) AS n FROM r WHERE key IS NOT NULL GROUP BY ALL) GROUP BY ALL), "
     "tr AS (SELECT source, sum(n * (n - 1) / 2) AS tr FROM (SELECT source, intent, count(*) AS n FROM r GROUP BY ALL) GROUP BY ALL), a AS (SELECT tr.source AS source, coalesce(tp, 0) AS tp, coalesce(sa, 0) AS sa, tr FROM tr LEFT JOIN tp USING (source) LEFT JOIN sa USING (source)), "
     "u AS (SELECT * FROM a UNION ALL SELECT NULL, sum(tp), sum(sa), sum(tr) FROM a) SELECT source, tp, tp / nullif(sa, 0) AS precision, tp / nullif(tr, 0) AS recall, 2 * tp / nullif(sa + tr, 0) AS f1 FROM u",
-    "case_overlap": "WITH c AS (SELECT concat('c', conv_id) AS case_id, concat('f', conv_id % 50) AS fixture, conv_id * 7000 + min(turn) * 1500 AS s, conv_id * 7000 + max(turn) * 1500 + 200000 AS e FROM conversations GROUP BY conv_id) "
+    "case_overlap": "WITH c AS (SELECT concat('c', conv_id) AS case_id, concat('f', conv_id // 50) AS fixture, conv_id * 7000 + min(turn) * 1500 AS s, conv_id * 7000 + max(turn) * 1500 + 200000 AS e FROM conversations GROUP BY conv_id) "
     "SELECT x.fixture, x.case_id, y.case_id AS other, (least(x.e, y.e) - greatest(x.s, y.s)) / least(x.e - x.s, y.e - y.s) AS share FROM c x JOIN c y ON x.fixture = y.fixture AND x.case_id < y.case_id AND x.s < y.e AND y.s < x.e",
     "parse_irc": f"WITH {_EVENTS} SELECT event_id, ts_ms, lower(author) AS login, regexp_replace(replace(text, chr(13), ' '), '[\\r\\n]+$', '') AS text FROM ev WHERE type = 'chat_message'",
     "dedupe_rows": f"WITH {_EVENTS} SELECT channel, min(event_id) AS event_id FROM ev WHERE type = 'chat_message' GROUP BY channel, ts_ms, text",

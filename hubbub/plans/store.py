@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df under spark.checkpoint.dir (a temporary folder only where that is unset) and read it back."""
-    spark, schema = df.sparkSession, df.schema
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where that is unset, in local mode, a temporary folder, which is then set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="hubbub-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nobody has used before."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table in the shared folder and read it back: lineage ends there.
+
+    A later loss of executors reads the files again instead of recomputing.
+    """
+    spark, schema = df.sparkSession, df.schema
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
