@@ -4,7 +4,7 @@ Each stage works on what its predecessor kept, written as Parquet and read again
 quality (rejected documents go), near-duplicates (one document of each group stays),
 benchmark leaks (documents that hold a benchmark item go), personal data (spans are
 replaced by their kind) and packing (pieces of sequences). All but the last return the
-columns of documents, whatever their names (those of KEY, GROUP and the score are reserved).
+columns of documents, whatever their names (those of KEY, ODD, GROUP and the score are reserved).
 
 Rows: a null or empty text is judged by its statistics, never a copy or a leak, and packed
 as an end id; long texts count whole; rows that repeat a document are copies of it; rows of
@@ -23,7 +23,7 @@ from hubbub.llm.common import stored, table
 
 #: Copies of one document share this percentage of their word shingles; op7_near_dedup's own contract is 85.
 NEAR_PERCENT = 80
-KEY, GROUP = "row key of the pipeline", "group of the pipeline"
+KEY, ODD, GROUP = "row key of the pipeline", "odd id of the pipeline", "group of the pipeline"
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +32,33 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model, own).where(F.col(own) >= 0.5).drop(own)
 
 
-def keyed(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a key for each row, stored: rows without an id, or with one id and several texts, are told apart."""
-    return stored(docs.withColumn(KEY, F.monotonically_increasing_id()), name)
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY, equal for equal rows alone: the doc_id, but a hash of (doc_id, text) where ids are missing or repeated (ODD).
+
+    Nothing is numbered or stored, so a lost executor's rows get their keys again.
+    """
+    own = F.xxhash64("doc_id", "text")
+    known = docs.where("doc_id is not null")
+    again = known.groupBy("doc_id").agg(F.count("*").alias(ODD)).where(F.col(ODD) > 1)
+    known = known.join(again, "doc_id", "left").select(*docs.columns, F.col(ODD).isNotNull().alias(ODD))
+    rows = known.unionByName(docs.where("doc_id is null").withColumn(ODD, F.lit(True)))
+    return rows.withColumn(KEY, F.when(F.col(ODD), own).otherwise(F.col("doc_id")))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id of each group (a null one last)."""
-    rows = keyed(docs, "near-dedup-rows")
+    rows = keyed(docs)
     groups = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(KEY), F.col("component_id").alias(GROUP))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", KEY)
-    kept = rows.select("doc_id", KEY).join(groups, KEY).groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
-    return rows.join(kept, KEY, "left_semi").select(docs.columns)
+    odd = rows.where(F.col(ODD)).select(KEY, F.col("doc_id").alias("own")).distinct()
+    first = F.struct((F.col(ODD).isNotNull() & F.col("own").isNull()).alias("missing"), F.coalesce("own", KEY).alias("own"), KEY)
+    kept = groups.distinct().join(odd.withColumn(ODD, F.lit(True)), KEY, "left").groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
+    left = rows.join(kept, KEY, "left_semi")
+    copies = F.col(ODD) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return left.where(~copies).unionByName(left.where(copies).dropDuplicates([KEY])).select(docs.columns)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rows = keyed(docs, "decontam-rows")
+    rows = keyed(docs)
     found = decontam.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
     return rows.join(found, KEY, "left_anti").select(docs.columns)
 
