@@ -1,42 +1,15 @@
-"""Shared helpers: places that all executors see, and tables that cut lineage."""
+"""Shared helpers; tables that cut lineage are the library's own."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD_SPLIT = r"[\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir).
-
-    Only where it is unset, as in local tests, a temporary one is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="hubbub-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from ..plans.store import new_path, stored
 
+__all__ = ["WORD_SPLIT", "is_held_out", "new_path", "stored", "table", "utf8"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nobody has used before."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there.
-
-    A later loss of executors reads the files again instead of recomputing.
-    """
-    spark, schema = df.sparkSession, df.schema
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
