@@ -1,4 +1,4 @@
-"""Live feeds with Structured Streaming: deduplication, closed tiles, new chatters, upserts.
+"""Live feeds with Structured Streaming: deduplication, closed tiles and their boards, segments, timers, new chatters, upserts.
 
 Events have a `time` column (the source's time, a timestamp); rows later than the watermark
 are dropped by the engine, which counts them in the query's progress.
@@ -6,10 +6,17 @@ are dropped by the engine, which counts them in the query's progress.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.board import board
+from ..operators.grouping import group_chat, top_groups
+from ..sources.parsing import SEGMENT_GAP_MS
 
 LATENESS = "2 minutes"
 
@@ -35,9 +42,10 @@ def sliding_counts(events: DataFrame, size: str = "60 seconds", every: str = "2
     return rows.select("channel", F.unix_millis("window.end").alias("tick"), "n")
 
 
-def stream_new_chatters(chat: DataFrame) -> DataFrame:
-    """The first message of each author of a channel; authors stay in the state."""
-    return chat.withColumn("author", F.coalesce("author", F.lit(""))).dropDuplicates(["channel", "author"])
+def stream_new_chatters(chat: DataFrame, forget: str = "12 hours") -> DataFrame:
+    """The first message of each author of a channel. The state forgets an author `forget` after it, so that it is bounded; then they are new again."""
+    rows = timed(chat).withColumn("author", F.coalesce("author", F.lit("")))
+    return rows.withWatermark("time", forget).dropDuplicatesWithinWatermark(["channel", "author"])
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -59,3 +67,132 @@ def upsert_batches(folder: str, keys: list[str]) -> Callable[[DataFrame, int], N
 def latest(folder_rows: DataFrame, keys: list[str]) -> DataFrame:
     """The current row of each key in a folder that upsert_batches writes."""
     return upsert(folder_rows.where("false"), folder_rows, keys, "version")
+
+
+def buffered_batches(folder: str, closed, lateness_ms: int = 120_000, size_ms: int = 60_000) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: `closed(events)` of every tile once it has closed, written under folder/closed.
+
+    Batches of events are kept under folder/events. A tile has closed when the latest event
+    is lateness_ms past its end; later events of closed tiles are counted under folder/late
+    and change nothing. A repeated batch overwrites itself. Tiles start at the channel's
+    first event; only tiles since the last closed one are read again.
+    """
+
+    def read(spark, name: str, schema: str) -> DataFrame:
+        try:
+            return spark.read.parquet(f"{folder}/{name}")
+        except AnalysisException:  # nothing is written yet
+            return spark.createDataFrame([], schema)
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        done = read(spark, "marks", "channel string, origin long, until long, batch int").where(F.col("batch") < number)
+        marks = done.groupBy("channel").agg(F.min("origin").alias("origin"), F.max("until").alias("until"))
+        kept = batch.drop("time").join(marks, "channel", "left").withColumn("late", F.coalesce(F.col("ts_ms") < F.col("until"), F.lit(False)))
+        kept.where("late").groupBy("channel").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        kept.where("not late").drop("origin", "until", "late").write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+        events = spark.read.parquet(f"{folder}/events").where(F.col("batch") <= number).drop("batch").join(marks, "channel", "left")
+        spans = events.groupBy("channel").agg(F.coalesce(F.min("origin"), F.min("ts_ms")).alias("start"), F.max("ts_ms").alias("last"))
+        until = F.greatest(F.col("start"), F.col("start") + F.floor((F.col("last") - lateness_ms - F.col("start")) / size_ms) * size_ms)
+        now = spans.select("channel", "start", until.alias("stop"))
+        ready = events.join(now, "channel").where((F.col("ts_ms") >= F.coalesce("until", "start")) & (F.col("ts_ms") < F.col("stop")))
+        ready = ready.withColumn("win", F.col("start") + F.floor((F.col("ts_ms") - F.col("start")) / size_ms) * size_ms).drop("origin", "until", "start", "stop")
+        closed(ready).write.mode("overwrite").parquet(f"{folder}/closed/batch={number}")
+        now.select("channel", F.col("start").alias("origin"), F.col("stop").alias("until")).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
+
+    return write
+
+
+def tumbling_board(folder: str, lateness_ms: int = 120_000) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: the board of each tile, once, when it has closed."""
+    return buffered_batches(folder, board, lateness_ms)
+
+
+def live_snapshot(events: DataFrame, span_ms: int = 60_000, k: int = 6) -> DataFrame:
+    """The first k groups of each channel's last span_ms, with the window's messages and chatters; for foreachBatch over a recent slice."""
+    last = events.groupBy("channel").agg(F.max("ts_ms").alias("at"))
+    recent = events.join(last, "channel").where(F.col("ts_ms") > F.col("at") - span_ms)
+    chat = recent.where(F.col("type") == "chat_message").withColumn("win", F.col("at"))
+    counts = chat.groupBy("channel").agg(F.first("at").alias("at"), F.count("*").alias("messages"), F.countDistinct(F.coalesce("author", F.lit(""))).alias("chatters"))
+    groups = top_groups(group_chat(chat), k=k).select("channel", "rank", "key", "label", "count", "samples")
+    return counts.join(groups, "channel", "left")
+
+
+SEGMENT = "ts_ms long, end_ms long, speaker string, said string"
+
+
+def close_words(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, gap_ms: int = SEGMENT_GAP_MS) -> Iterator[pd.DataFrame]:
+    """Words of one channel in order as segments: one closes when the speaker changes, the pause is too long, or the watermark has passed it."""
+    out = []
+    now = list(state.get) if state.exists else None
+
+    def close() -> None:
+        text = " ".join(now[3].split())
+        if text:
+            out.append((key[0], now[0], max(now[0], now[1]), text, now[2]))
+
+    rows = pd.concat(list(batches), ignore_index=True) if not state.hasTimedOut else pd.DataFrame()
+    if state.hasTimedOut and now:
+        close()
+        now = None
+    if len(rows):
+        for r in rows.sort_values(["start_ms", "pos"]).itertuples():
+            speaker = None if pd.isna(r.speaker) else r.speaker
+            if now and now[2] == speaker and r.start_ms - now[1] <= gap_ms:
+                now = [now[0], int(r.end_ms), speaker, f"{now[3]} {r.word}"]
+            else:
+                if now:
+                    close()
+                now = [int(r.start_ms), int(r.end_ms), speaker, r.word]
+    if now:
+        state.update(tuple(now))
+        state.setTimeoutTimestamp(max(now[1] + gap_ms + 1, state.getCurrentWatermarkMs() + 1))
+    else:
+        state.remove()
+    yield pd.DataFrame(out, columns=["channel", "ts_ms", "end_ms", "text", "speaker"])
+
+
+def stream_words_to_segments(words: DataFrame, lateness: str = "5 seconds") -> DataFrame:
+    """Words (channel, pos, start_ms, end_ms, speaker, word), in order within a channel, as closed segments; one open segment a channel is state."""
+    rows = words.withColumn("time", F.timestamp_millis("start_ms")).withWatermark("time", lateness)
+    return rows.groupBy("channel").applyInPandasWithState(close_words, "channel string, ts_ms long, end_ms long, text string, speaker string", SEGMENT, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def note_quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, after_ms: int = 12_000) -> Iterator[pd.DataFrame]:
+    """One row `quiet` for a channel without a message for after_ms since it was joined; its first message ends the watch."""
+    if state.hasTimedOut:
+        state.update((True,))
+        yield pd.DataFrame({"channel": [key[0]], "status": ["quiet"]})
+        return
+    spoke = any((b["type"] == "chat_message").any() for b in batches)
+    done = bool(state.get[0]) if state.exists else False
+    state.update((done or spoke,))
+    if not done and not spoke:
+        state.setTimeoutDuration(after_ms)
+    yield pd.DataFrame({"channel": [], "status": []})
+
+
+def quiet_channels(events: DataFrame) -> DataFrame:
+    """events with a row of type `join` for each channel that is joined."""
+    return events.groupBy("channel").applyInPandasWithState(note_quiet, "channel string, status string", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def flush_messages(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size: int = 3, age_ms: int = 1000) -> Iterator[pd.DataFrame]:
+    """Messages of one channel in batches of `size`; what is left goes out age_ms after the last call. Batch numbers go on."""
+    number, held = (state.get[0], list(state.get[1])) if state.exists else (0, [])
+    out = []
+    if not state.hasTimedOut:
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts_ms", "event_id"])
+        held += rows["event_id"].tolist()
+    while len(held) >= size or held and state.hasTimedOut:
+        out += [(key[0], number, k + 1, i) for k, i in enumerate(held[:size])]
+        number, held = number + 1, held[size:]
+    state.update((number, held))
+    if held:
+        state.setTimeoutDuration(age_ms)
+    yield pd.DataFrame(out, columns=["channel", "batch", "number", "event_id"])
+
+
+def micro_batches(chat: DataFrame) -> DataFrame:
+    """channel, batch, number, event_id; at most size - 1 ids a channel are state."""
+    return chat.groupBy("channel").applyInPandasWithState(flush_messages, "channel string, batch long, number long, event_id string", "number long, held array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,11 +1,12 @@
 """Parsing, questions, cards, scores and streams against hand-made cases."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from hubbub.operators import cards, context, evaluation, questions
 from hubbub.sources import parsing
-from hubbub.sources.events import CHAT, FRAME, SPEECH
+from hubbub.sources.events import CHAT, FRAME, SPEECH, load_meta, read_captures
 from hubbub.streaming import feeds
 
 EVENT = "channel string, event_id string, type string, ts_ms long, end_ms long, author string, text string, final boolean"
@@ -43,7 +44,7 @@ def test_gate(spark):
 
 
 def test_cards_are_parsed_and_capped(spark):
-    good = '{"cards": [{"signal_id": "a", "type": "reaction"}, {"signal_id": "b", "type": "odd"}, {"signal_id": "d", "type": "none"}]}'
+    good = '{"cards": [{"signal_id": "a", "type": "reaction"}, 7, {"signal_id": "b", "type": "odd", "distribution": "one"}, {"type": "none"}]}'
     rows = cards.parse_cards(spark.createDataFrame([("c", good), ("e", "no json"), ("f", None)], "channel string, reply string"))
     assert {r.channel for r in rows.where("parse_error is not null").collect()} == {"e", "f"}
     assert [(r.signal_id, r.dropped) for r in cards.capped(rows, ["channel"], 1).collect()] == [("a", 1)]
@@ -126,3 +127,95 @@ def test_streams_equal_batches(spark, tmp_path):
     for number in (0, 1, 1):
         write(rows.select("channel", F.lit(number).alias("n")), number)
     assert [r.n for r in feeds.latest(spark.read.parquet(folder).select("channel", "n", "version"), ["channel"]).collect()] == [1]
+
+
+def _stream(spark, tmp_path, name, rows, make, mode="append"):
+    rows.write.parquet(str(tmp_path / name))
+    source = spark.readStream.schema(rows.schema).parquet(str(tmp_path / name))
+    query = make(source).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"{name}-state")).start()
+    query.awaitTermination(120)
+    return spark.table(name).collect()
+
+
+def test_stream_of_words(spark, tmp_path):
+    words = [("c", 0, 0, 100, "a", "one"), ("c", 1, 200, 300, "a", "two"), ("c", 2, 350, 400, "b", "three"), ("c", 3, 450, 500, "a", "four"), ("c", 4, 3500, 3600, "a", "five"), ("d", 0, 90_000, 90_100, "a", "late")]
+    words = [(c, k, a + 1000, b + 1000, s, w) for c, k, a, b, s, w in words]  # a stream's watermark starts at 0
+    rows = spark.createDataFrame(words, "channel string, pos int, start_ms long, end_ms long, speaker string, word string")
+    found = _stream(spark, tmp_path, "segments", rows, feeds.stream_words_to_segments)
+    batch = parsing.words_to_segments(rows).where("channel = 'c'").collect()
+    assert sorted((r.ts_ms, r.end_ms, r.text, r.speaker) for r in found if r.channel == "c") == sorted((r.ts_ms, r.end_ms, r.text, r.speaker) for r in batch)
+
+
+class FakeState:
+    def __init__(self):
+        self.value, self.hasTimedOut, self.timeout = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_timers():
+    state, frame = FakeState(), lambda *ids: iter([pd.DataFrame({"ts_ms": range(len(ids)), "event_id": list(ids), "type": ["chat_message"] * len(ids)})])
+    rows = lambda *a: [tuple(r[1:]) for r in pd.concat(list(feeds.flush_messages(("c",), *a))).itertuples(index=False)]
+    assert rows(frame("a", "b"), state) == [] and state.timeout == 1000
+    assert rows(frame("c", "d"), state) == [(0, 1, "a"), (0, 2, "b"), (0, 3, "c")]
+    state.hasTimedOut = True
+    assert rows(iter([]), state) == [(1, 1, "d")] and state.value == (2, [])
+    for spoken, after in ((False, ["quiet"]), (True, None)):
+        state, joined = FakeState(), iter([pd.DataFrame({"type": ["chat_message" if spoken else "join"]})])
+        assert len(pd.concat(list(feeds.note_quiet(("c",), joined, state)))) == 0 and (state.timeout == 12_000) is not spoken
+        if after:
+            state.hasTimedOut = True
+            assert list(next(feeds.note_quiet(("c",), iter([]), state))["status"]) == after and state.value == (True,)
+
+
+def test_boards_come_once_when_their_tile_has_closed(spark, tmp_path):
+    chat = lambda name, ts: ("c", name, CHAT, ts, ts, name, "LOL", True)
+    batches = [[("c", "s", SPEECH, 0, 500, None, "hello there", True), chat("a", 1000), chat("b", 61_000)], [chat("d", 2000), chat("e", 185_000)], [chat("f", 3000), chat("g", 260_000)]]
+    folder = str(tmp_path / "boards")
+    write = feeds.tumbling_board(folder)
+    for number, rows in enumerate(batches):
+        for _ in range(2):  # a repeated batch changes nothing
+            write(spark.createDataFrame(rows, EVENT), number)
+    found = {(r.batch, r.win, r["count"]) for r in spark.read.parquet(f"{folder}/closed").collect()}
+    assert found == {(1, 0, 2)}  # f is late
+    assert sum(r.n for r in spark.read.parquet(f"{folder}/late").collect()) == 1
+    assert {r.until for r in spark.read.parquet(f"{folder}/marks").collect()} == {0, 60_000, 120_000}
+    snap = feeds.live_snapshot(spark.createDataFrame(batches[0], EVENT)).collect()
+    assert [(r.messages, r.chatters, r.label, r["count"]) for r in snap] == [(1, 1, "reaction wave", 1)]
+
+
+def test_appended_counts_and_forgetful_chatters(spark, tmp_path):
+    rows = events(spark, ("a", CHAT, 1000, "x"), ("b", CHAT, 61_000, "y"), ("c", CHAT, 400_000, "z"))
+    assert {(r.win, r.n) for r in _stream(spark, tmp_path, "appended", rows, feeds.tumbling_counts)} == {(0, 1), (60_000, 1)}
+    ticks = {(r.tick, r.n) for r in _stream(spark, tmp_path, "ticks", rows, feeds.sliding_counts)}
+    assert {t for t, _ in ticks} == {*range(2000, 61_001, 2000), *range(62_000, 121_001, 2000)} and {n for _, n in ticks} == {1}
+
+
+def test_captures(spark, tmp_path):
+    (tmp_path / "cap" / "ch").mkdir(parents=True)
+    (tmp_path / "cap" / "other").mkdir()
+    (tmp_path / "cap" / "ch" / "chat.jsonl").write_text('{"id": "m1", "ts_ms": 5, "author": "a", "text": "hi"}\n\n{"ts_ms": 6, "text": "yo"}\n')
+    (tmp_path / "cap" / "ch" / "transcript.jsonl").write_text('{"ts_ms": 7, "text": "said"}\n')
+    (tmp_path / "cap" / "ch" / "meta.json").write_text('{"channel": "c",\n "enriched": true, "duration_s": 9.5}')
+    found = {r.event_id: r for r in read_captures(spark, str(tmp_path / "cap")).collect()}
+    assert len(found) == 3 and found["m1"].channel == "ch" and {r.type for r in found.values()} == {CHAT, SPEECH}
+    assert all(r.end_ms == r.ts_ms and r.final for r in found.values())
+    (meta,) = load_meta(spark, str(tmp_path / "cap")).collect()
+    assert (meta.fixture_id, meta.channel, meta.enriched, meta.duration_s, meta.provenance) == ("ch", "c", True, 9.5, None)
+
+
+def test_debrief_documents(spark):
+    rows = [("c", "s1", "reaction", "wave", [0, 5000], ("speech", "tr_1", "which word"), ["msg_1", "msg_2"], {"forest": 3.0, "base": 1.0}), ("c", "s2", "warning", None, [0, 5000], None, ["msg_1"], None)]
+    made, happened = spark.createDataFrame(rows, CARD), events(spark, *GATE)
+    sections = cards.debrief_sections(made, happened)
+    texts = {r.channel: r.document for r in cards.debrief_markdown(sections, cards.recurring_themes(made, min_cards=1), spark.createDataFrame([("c",), ("quiet",)], "channel string")).collect()}
+    assert "## Reaction waves\n### `00:00:00` wave\n- **base** 1 (25%) · **forest** 3 (75%)\n- Cause (speech `tr_1`): “which word”\n- Evidence: 2 messages (`msg_1`, `msg_2`)" in texts["c"]
+    assert "## Audience answers\n_Nothing in this run._" in texts["c"] and "warning *(window start)*\n- Cause: **not established**" in texts["c"] and "| forest | 1 |" in texts["c"]
+    assert "## No verified signals" in texts["quiet"]
