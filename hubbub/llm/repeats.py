@@ -7,16 +7,19 @@ a run of windows with one owner) can hold repeats.
 
 1. Prefix polynomial hashes give every gram's hash; units are (gram hash, hash of the
    unit's whole context, place). Grams that occur once are dropped by a count.
-2. Contexts that occur twice or more are repeated as a whole.
+2. Contexts that occur twice or more are repeated as a whole: told by the gram's hash and a
+   hash of all their bytes, 128 bits in all.
 3. The windows of contexts that occur once, where other contexts share the gram, are
    compared with those contexts' windows: suffixes are sorted by mergesort; two are
    compared by binary search for their common extension over prefix hashes, eight steps
    for 200 bytes; neighbours that agree on 200 bytes are verified byte by byte.
 4. Each document unites its repeated windows and drops the bytes they cover.
 
-Contexts meet by the hash of the CORE bytes that all windows of a block of offsets share.
+Contexts meet by the hash of the CORE bytes that all windows of a block of offsets share. A
+core that more than HOT_CORE contexts have would be too much for one task: its windows are
+counted one by one by a 128-bit hash of their bytes instead, wherever they lie.
 
-Rows: a null text is empty; texts shorter than 200 bytes keep everything; rows that repeat
+Rows: a null text is empty; a long one counts whole; texts shorter than 200 bytes keep everything; rows that repeat
 a document repeat its bytes and so remove them from each; a null doc_id is carried as null;
 other columns are ignored; an empty table gives no rows.
 """
@@ -192,7 +195,7 @@ def repeated_windows(contexts: list[bytes], offsets: list[int], grams: list[int]
 
 def _rows(docs: DataFrame) -> DataFrame:
     """id, tag (tells texts of one id apart) and text."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.hash("text").alias("tag"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("tag"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,13 +209,13 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if found is not None:
                     h, place, lo, hi = found
                     whole = [xxhash.xxh3_64_intdigest(data[a : b + LENGTH], int(g - a)) for a, b, g in zip(lo.tolist(), hi.tolist(), place.tolist(), strict=True)]
-                    for c, v in zip(cols, (h, np.array(whole, np.uint64).view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int32), lo << 12 | hi - lo), strict=True):
+                    for c, v in zip(cols, (h, np.array(whole, np.uint64).view(np.int64), np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int64), lo << 12 | hi - lo), strict=True):
                         c.append(v)
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "whole", "id", "tag", "span"])
 
 
-UNITS = "h long, whole long, id long, tag int, span long"
+UNITS = "h long, whole long, id long, tag long, span long"
 
 
 def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +247,13 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     core = place - block * BLOCK, place - (block + 1) * BLOCK + 1 + LENGTH
                     key = xxhash.xxh3_64_intdigest(data[core[0] : core[1]], block) - 2**63
                     rows.append((key, w["h"], doc, tag, w["single"], first, last - first, place - first, data[first : last + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for k in range(0, len(rows), 4096):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096], strict=True), kinds, strict=True)], names=["core", "h", "id", "tag", "single", "first", "more", "place", "data"])
 
 
-CONTEXTS = "core long, h long, id long, tag int, single boolean, first long, more int, place int, data binary"
+HOT_CORE = 1024
+CONTEXTS = "core long, h long, id long, tag long, single boolean, first long, more int, place int, data binary"
 SORT_BYTES = 24 << 20
 
 
@@ -266,7 +270,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                 out += [(r[2], r[3], r[5] + int(a), r[5] + int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["id", "tag", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "tag", "lo", "hi"])
 
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -279,6 +283,19 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush()
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of contexts one by one, as 128-bit hashes of their bytes."""
+    for batch in batches:
+        rows = []
+        for doc, tag, single, first, more, data in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "single", "first", "more", "data")), strict=True):
+            for i in range(more + 1):
+                digest = xxhash.xxh3_128_digest(data[i : i + LENGTH])
+                rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, tag, single, first + i))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+        for k in range(0, len(rows), 65536):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 65536], strict=True), kinds, strict=True)], names=["w1", "w2", "id", "tag", "single", "lo"])
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols: list[list] = [[] for _ in range(6)]
@@ -312,10 +329,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     single = kinds.where("n = 1")
     wanted = kinds.join(single.select("h").distinct(), "h", "left_semi").select("at.id", "at.tag", F.struct("at.span", "h", (F.col("n") == 1).alias("single")).alias("w"))
     wanted = wanted.groupBy("id", "tag").agg(F.collect_list("w").alias("wanted"))
-    texts = rows.mapInArrow(_squeezed, "id long, tag int, data binary")
+    texts = rows.mapInArrow(_squeezed, "id long, tag long, data binary")
     one = texts.join(wanted, ["id", "tag"]).groupBy("id", "tag").agg(F.first("data").alias("data"), F.first("wanted").alias("wanted"))
-    blocks = one.select("id", "tag", "data", "wanted").mapInArrow(_contexts, CONTEXTS)
-    parts = stored(blocks.repartition("core").sortWithinPartitions("core").mapInArrow(_compared, "id long, tag int, lo long, hi long"), "parts")
+    blocks = stored(one.select("id", "tag", "data", "wanted").mapInArrow(_contexts, CONTEXTS), "blocks")
+    hot = stored(blocks.groupBy("core").agg(F.count("*").alias("n")).where(F.col("n") > HOT_CORE).select("core"), "hot-cores")
+    cool = blocks.join(hot, "core", "left_anti").repartition("core").sortWithinPartitions("core").mapInArrow(_compared, "id long, tag long, lo long, hi long")
+    each = stored(blocks.join(hot, "core", "left_semi").select("id", "tag", "single", "first", "more", "data").mapInArrow(_windows, "w1 long, w2 long, id long, tag long, single boolean, lo long"), "windows")
+    shared = each.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
+    warm = each.where("single").join(shared, ["w1", "w2"], "left_semi").selectExpr("id", "tag", "lo", "lo hi")
+    parts = stored(cool.unionByName(warm), "parts")
     marks = found.select("id", "tag", F.col("span").alias("whole"), F.lit(None).cast("long").alias("single"), F.lit(None).cast("struct<lo:long,hi:long>").alias("part"))
     marks = marks.unionAll(single.selectExpr("at.id", "at.tag", "cast(null as long)", "at.span", "cast(null as struct<lo:long,hi:long>)"))
     marks = marks.unionAll(parts.selectExpr("id", "tag", "cast(null as long)", "cast(null as long)", "struct(lo, hi)"))
