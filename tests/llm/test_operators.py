@@ -262,7 +262,9 @@ def test_html_query(spark):
         assert r.text == "\n\n".join(x for p in parts if (x := " ".join(html.unescape(p).split())))
 
 
-def test_repeats(spark, docs, odd):
+@pytest.mark.parametrize("hot", [1024, 2])
+def test_repeats(spark, docs, odd, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT_CORE", hot)
     seen = Counter(d[i : i + 200] for d in (t.encode() for t in docs.values()) for i in range(len(d) - 199))
     for r in repeats.op4_repeats(spark, SF).collect():
         d = docs[r.doc_id].encode()
