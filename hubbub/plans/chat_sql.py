@@ -119,7 +119,7 @@ CARDS = (
     f"{ATTRIBUTED}, ids AS (SELECT channel, win, key, list(event_id ORDER BY ts_ms, event_id) [1:6] AS evidence FROM g_x GROUP BY ALL), "
     "made AS (SELECT *, concat(channel, '/', win, '/', key) AS signal_id, substring(md5(concat(channel, '/', win, '/', key)), 1, 1) AS m FROM att JOIN ids USING (channel, win, key) WHERE trigger IS NOT NULL), "
     f"cards AS (SELECT channel, win, key, signal_id, {_KIND} AS type, label AS title, CASE WHEN m = '7' THEN win - 60000 ELSE win END AS lo, CASE WHEN m = '7' THEN win ELSE win + 60000 END AS hi, "
-    "CASE m WHEN '2' THEN 'ghost' WHEN '9' THEN 'unknown' WHEN '6' THEN evidence[1] WHEN 'a' THEN evidence[len(evidence)] ELSE trigger[3] END AS tid, trigger[2] AS kind, CASE WHEN m = '3' THEN 'nothing of the sort was said' ELSE substring(trigger[4], 1, 40) END AS quote, "
+    "CASE m WHEN '2' THEN 'ghost' WHEN '9' THEN 'unknown' WHEN '6' THEN evidence[1] WHEN 'a' THEN evidence[len(evidence)] ELSE trigger[3] END AS tid, trigger[2] AS kind, CASE WHEN m = '3' THEN 'nothing of the sort was said' WHEN m = '6' THEN '' ELSE substring(trigger[4], 1, 40) END AS quote, "
     "CASE m WHEN '1' THEN list_append(evidence, 'ghost') WHEN '5' THEN [] WHEN '8' THEN list_append(evidence, trigger[3]) ELSE evidence END AS evidence, samples, count FROM made), "
     "cite AS (SELECT signal_id, unnest(evidence) AS id, unnest(range(len(evidence))) AS place FROM cards), "
     "ev1 AS (SELECT channel, event_id, type, ts_ms, text FROM tiled), "

@@ -45,7 +45,7 @@ def _broken(made: DataFrame) -> DataFrame:
     ghost = F.array(F.lit("ghost"))
     cited = F.when(m == "1", F.concat(evidence, ghost)).when(m == "5", F.array().cast("array<string>")).when(m == "8", F.concat(evidence, F.array(trigger["event_id"]))).otherwise(evidence)
     cause = F.when(m == "2", "ghost").when(m == "9", cards.UNKNOWN).when(m == "6", F.get(evidence, F.lit(0))).when(m == "a", F.element_at(evidence, -1)).otherwise(trigger["event_id"])
-    quote = F.when(m == "3", "nothing of the sort was said").otherwise(trigger["quote"])
+    quote = F.when(m == "3", "nothing of the sort was said").when(m == "6", "").otherwise(trigger["quote"])
     window = F.when(m == "7", F.transform("window_ms", lambda t: t - 60_000)).otherwise(F.col("window_ms"))
     kind = F.when(m.isin("0", "6"), "reaction").when(m == "4", "none").otherwise(F.col("type"))
     return made.withColumns({"evidence": cited, "trigger": F.struct(trigger["kind"].alias("kind"), cause.alias("event_id"), quote.alias("quote")), "window_ms": window, "type": kind})

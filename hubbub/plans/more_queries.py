@@ -253,6 +253,18 @@ _META = f"{S.EVENTS}, meta AS (SELECT concat('f_', channel) AS fixture_id, chann
 _RUNS = "WITH r AS (SELECT concat('agent', conv_id % 4) AS agent, conv_id, turn, CASE role WHEN 'user' THEN 'tool' WHEN 'assistant' THEN 'model' ELSE 'gate' END AS kind, conv_id % 3 > 0 AS ok FROM conversations)"
 _CASES = f"{S.CARDS}, gold AS (SELECT *, concat(channel, '/', lo) AS case_id, CAST(row_number() OVER (PARTITION BY channel, lo ORDER BY signal_id) AS INTEGER) AS gold_no FROM cards)"
 _PAIRS = "n * (n - 1) / 2"
+#: Cards take, in the order of their ids, the gold signal with most overlap that none took before.
+_MATCHED = (
+    f"{_CASES}, want AS (SELECT case_id, gold_no, type, tid, evidence [2:10] AS evidence FROM gold), has_ids AS (SELECT concat(channel, '/', lo) AS case_id, signal_id, type, evidence FROM cards), "
+    "cand AS (SELECT c.case_id, signal_id, gold_no, len(list_intersect(c.evidence, w.evidence)) AS overlap FROM has_ids c JOIN want w ON w.case_id = c.case_id AND w.type = c.type WHERE len(list_intersect(c.evidence, w.evidence)) > 0), "
+    "opts AS (SELECT case_id, signal_id, list((-overlap, gold_no) ORDER BY -overlap, gold_no) AS o, row_number() OVER (PARTITION BY case_id ORDER BY signal_id) AS k FROM cand GROUP BY case_id, signal_id), "
+    "turns AS (SELECT case_id, CAST(0 AS BIGINT) AS k, CAST([] AS INTEGER[]) AS taken, CAST(NULL AS VARCHAR) AS signal_id, CAST(NULL AS INTEGER) AS gold_no FROM (SELECT DISTINCT case_id FROM opts) UNION ALL "
+    "SELECT case_id, k, CASE WHEN p IS NULL THEN taken ELSE list_append(taken, p) END, signal_id, p FROM (SELECT o.case_id, o.k, t.taken, o.signal_id, list_filter(o.o, lambda x: NOT list_contains(t.taken, x[2])) [1][2] AS p FROM turns t JOIN opts o ON o.case_id = t.case_id AND o.k = t.k + 1)), "
+    f"gates AS (SELECT 'reaction-v2' AS system, signal_id, len(violations) = 0 AS ok FROM ({S._checked(True)}) UNION ALL SELECT 'strict-v1', signal_id, len(violations) = 0 FROM ({S._checked(False)})), "
+    "per AS (SELECT concat(c.channel, '/', c.lo) AS case_id, b.system, count(*) AS n_cards, count(*) FILTER (t.gold_no IS NOT NULL AND c.tid = w.tid) AS trigger_correct, count(t.gold_no) AS trigger_scored, count(*) FILTER (t.gold_no IS NULL) AS unmatched, count(*) FILTER (NOT ok) AS unsupported, count(DISTINCT t.gold_no) AS recall_hits "
+    "FROM cards c JOIN gates b USING (signal_id) LEFT JOIN (SELECT * FROM turns WHERE gold_no IS NOT NULL) t ON t.signal_id = c.signal_id LEFT JOIN want w ON w.case_id = t.case_id AND w.gold_no = t.gold_no GROUP BY ALL), "
+    "scored AS (SELECT per.*, n_gold, false AS must_abstain, CAST(NULL AS BOOLEAN) AS abstain_correct FROM per JOIN (SELECT case_id, count(*) AS n_gold FROM want GROUP BY ALL) USING (case_id))"
+)
 
 
 def _scored(arm: str, predicted: str) -> str:
@@ -338,4 +350,7 @@ ORACLE_SQL = {
     "p AS (SELECT channel, signal_id, string_agg(concat(short, '=', round_even(votes / total, 3)), chr(10) ORDER BY rank) FILTER (rank <= 5) AS options, any_value(total) AS total_votes, coalesce(string_agg(label, ', ' ORDER BY rank) FILTER (rank > 5), '') AS dropped, count(*) FILTER (rank <= 5 AND short <> label) AS shortened FROM k GROUP BY ALL), "
     f"a AS (SELECT channel, signal_id, title, CASE WHEN has AND coalesce(quote, '') <> '' THEN quote END AS source FROM verified WHERE type = 'audience_answer'), x AS (SELECT *, {_one('coalesce(source, nullif(title, ' + repr('') + '), ' + repr('Chat, which one?') + ')')} AS line FROM a JOIN p USING (channel, signal_id)) "
     "SELECT channel, signal_id, CASE WHEN length(line) > 60 THEN concat(rtrim(substring(line, 1, 59)), '…') ELSE line END AS question, total_votes, array_to_string(list_filter([CASE WHEN dropped <> '' THEN concat('options left out: ', dropped) END, CASE WHEN shortened > 0 THEN 'options shortened' END, CASE WHEN source IS NULL THEN 'the question is the card''s title' END], lambda w: w IS NOT NULL), '; ') AS warnings FROM x",
+    "gold_selfcheck": f"{_CASES}, unquoted AS (SELECT * REPLACE (false AS misquoted) FROM rules), g2 AS ({S._checked(True).replace('FROM rules', 'FROM unquoted')}) SELECT gold.case_id, gold_no, len(violations) = 0 AS ok, array_to_string(violations, ',') AS violations, coalesce(ttype = 'chat_message', false) AS trigger_is_chat FROM g2 JOIN gold USING (signal_id)",
+    "score_cases": f"{_MATCHED} SELECT * FROM scored",
+    "score_systems": f"{_MATCHED} SELECT system, count(*) AS cases, CAST(sum(n_cards) AS BIGINT) AS cards, sum(trigger_correct) / nullif(sum(trigger_scored), 0) AS trigger_accuracy, sum(unmatched) / nullif(sum(n_cards), 0) AS unmatched_rate, sum(unsupported) / nullif(sum(n_cards), 0) AS unsupported_rate, sum(recall_hits) / nullif(sum(n_gold), 0) AS signal_recall, count(*) FILTER (abstain_correct) AS abstention_correct, count(*) FILTER (must_abstain) AS abstention_cases FROM scored GROUP BY ALL",
 }
