@@ -157,17 +157,18 @@ class MediaReader(DataSourceReader):
         if not isinstance(partition, ByteRange):  # a folder without archives has no ranges
             return
         system, name = filesystem(partition.path)
-        with system.open_input_file(name) as data, zipfile.ZipFile(data) as archive:
-            own = [i for i in archive.infolist() if partition.start <= i.header_offset < partition.stop]
-        rows, held = [], 0
-        for info in own:
-            rows.append((partition.path, info.header_offset, info.filename, _doc_id(info.filename), read_member(partition.path, info)))
-            held += len(rows[-1][4])
-            if held >= BATCH_BYTES:
+        with system.open_input_file(name) as data:  # one handle for the directory and all members of the range
+            with zipfile.ZipFile(data) as archive:
+                own = [i for i in archive.infolist() if partition.start <= i.header_offset < partition.stop]
+            rows, held = [], 0
+            for info in own:
+                rows.append((partition.path, info.header_offset, info.filename, _doc_id(info.filename), read_member(partition.path, info, data=data)))
+                held += len(rows[-1][4])
+                if held >= BATCH_BYTES:
+                    yield _batch(rows)
+                    rows, held = [], 0
+            if rows:
                 yield _batch(rows)
-                rows, held = [], 0
-        if rows:
-            yield _batch(rows)
 
 
 def _doc_id(name: str) -> int | None:
@@ -180,25 +181,32 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["archive", "offset", "name", "doc_id", "media"])
 
 
-def read_member(path: str, info: zipfile.ZipInfo, tries: int = TRIES) -> bytes:
-    """One stored member from its offset; a short read, a wrong checksum or an I/O error is tried again, alone."""
+def _member(data, path: str, info: zipfile.ZipInfo) -> bytes:
+    data.seek(info.header_offset)
+    head = data.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise OSError(f"no member at {info.header_offset} of {path}")
+    n, extra = struct.unpack_from("<HH", head, 26)
+    data.seek(info.header_offset + 30 + n + extra)
+    body = data.read(info.compress_size)
+    if len(body) != info.file_size or zlib.crc32(body) != info.CRC:
+        raise OSError(f"damaged member {info.filename} of {path}")
+    return body
+
+
+def read_member(path: str, info: zipfile.ZipInfo, tries: int = TRIES, data=None) -> bytes:
+    """One stored member from its offset, from an open file if one is given; a short read, a wrong checksum or an I/O error is tried again, alone and by a file opened anew."""
     for left in range(tries - 1, -1, -1):
         try:
+            if data is not None:
+                return _member(data, path, info)
             system, name = filesystem(path)
-            with system.open_input_file(name) as data:
-                data.seek(info.header_offset)
-                head = data.read(30)
-                if head[:4] != b"PK\x03\x04":
-                    raise OSError(f"no member at {info.header_offset} of {path}")
-                n, extra = struct.unpack_from("<HH", head, 26)
-                data.seek(info.header_offset + 30 + n + extra)
-                body = data.read(info.compress_size)
-            if len(body) != info.file_size or zlib.crc32(body) != info.CRC:
-                raise OSError(f"damaged member {info.filename} of {path}")
-            return body
+            with system.open_input_file(name) as fresh:
+                return _member(fresh, path, info)
         except OSError:
             if not left:
                 raise
+            data = None
             time.sleep(0.1)
     raise AssertionError
 

@@ -5,6 +5,7 @@ import html
 import random
 import re
 import time
+import zipfile
 import zlib
 from collections import Counter
 
@@ -398,6 +399,25 @@ def test_media(spark, docs, odd):
     spark.dataSource.register(media.MediaArchive)
     back = media.digests(spark.read.format("media_archive").option("rangebytes", 64).load(folder)).collect()
     assert Counter(r.doc_id for r in back) == Counter([1, 2, 3, 4, 5, 6, 7, 7, 8, 9, None, None])
+    path, _ = media.list_files(folder, ".zip")[0]
+    with zipfile.ZipFile(path.removeprefix("file://")) as archive:
+        info, body = archive.infolist()[0], archive.read(archive.infolist()[0])
+    tries = []
+
+    class Broken:
+        def seek(self, at):
+            tries.append(at)
+            raise OSError("gone")
+
+    assert media.read_member(path, info, data=Broken()) == body and tries == [info.header_offset]
+    with pytest.raises(OSError):
+        media.read_member(path, info, tries=1, data=Broken())
+    for r in rows:
+        payload = media.padded(docs[r.doc_id].encode())
+        x, step = np.frombuffer(payload, np.uint8).astype(int), np.abs(np.diff(np.frombuffer(payload, np.uint8).astype(int))).sum()
+        image = media.to_image(docs[r.doc_id].encode())
+        assert r.feature == f"{len(x)}:{1000 * x.sum() // len(x)}:{1000 * (len(x) * (x * x).sum() - x.sum() ** 2) // len(x) ** 2}:{1000 * step // len(x)}"
+        assert (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
     empty = new_path(spark, "m")
     assert media.write_archives(odd.where("false"), empty) == 0 and spark.read.format("media_archive").load(empty).count() == 0
 
