@@ -42,6 +42,8 @@ def assigned(chat: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     """scope, event_id, key for each message that belongs to a signal: reaction, shared prefix or shared token."""
     c = F.col("canon")
     rows = prepared(chat, scope).select(*scope, "event_id", "canon")
+    if len(scope) > 1:  # a window's messages are few: dealt once by window, every step below stays in its task
+        rows = rows.repartition(*scope)
     single = ~c.contains(" ") & (F.length(c) >= PREFIX_CHARS) & c.rlike(WORDISH)
     rows = rows.withColumn("reaction", T.is_reaction(c)).withColumn("prefix", F.when(~F.col("reaction") & single, F.concat(F.lit("p:"), F.substring(c, 1, PREFIX_CHARS))))
     prefixes = rows.where("prefix is not null").groupBy(*scope, "prefix").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PREFIX).drop("n").withColumn("shared", F.lit(True))
