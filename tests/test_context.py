@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hubbub.operators import cards, context, evaluation, questions
+from hubbub.operators import cards, context, evaluation, questions, windows
 from hubbub.sources import parsing
 from hubbub.sources.events import CHAT, FRAME, SPEECH, load_meta, read_captures
 from hubbub.streaming import feeds
@@ -219,3 +219,17 @@ def test_debrief_documents(spark):
     assert "## Reaction waves\n### `00:00:00` wave\n- **base** 1 (25%) · **forest** 3 (75%)\n- Cause (speech `tr_1`): “which word”\n- Evidence: 2 messages (`msg_1`, `msg_2`)" in texts["c"]
     assert "## Audience answers\n_Nothing in this run._" in texts["c"] and "warning *(window start)*\n- Cause: **not established**" in texts["c"] and "| forest | 1 |" in texts["c"]
     assert "## No verified signals" in texts["quiet"]
+
+
+def test_mute_systems_and_masked_exports(spark):
+    scores = spark.createDataFrame([("a", "x", 0), ("b", "x", 0), ("a", "y", 0), ("b", "y", 2)], "case_id string, system string, n_cards int")
+    assert [r.system for r in evaluation.mute_systems(scores).collect()] == ["x"]
+    rows = spark.createDataFrame([("me", "said", ("speech", "t1", "word", "me"))], "author string, text string, trigger struct<kind: string, event_id: string, quote: string, author: string>")
+    masked = cards.mask_export(rows)
+    assert masked.columns == ["text", "trigger"] and masked.first().asDict(True) == {"text": "[withheld]", "trigger": {"kind": "speech", "event_id": "t1", "quote": "[withheld]"}}
+
+
+def test_slices_are_half_open(spark):
+    asked = spark.createDataFrame([("c", 1000, 2000), ("c", 2000, 70_000), ("c", 5, 5), ("d", 0, 10**6)], "channel string, start long, end long")
+    rows = windows.slices(events(spark, ("a", CHAT, 999, "x"), ("b", CHAT, 1000, "x"), ("d", CHAT, 2000, "x"), ("e", CHAT, 69_999, "x"), ("f", CHAT, 70_000, "x")), asked)
+    assert sorted((r.start, r.event_id) for r in rows.collect()) == [(1000, "b"), (2000, "d"), (2000, "e")]
