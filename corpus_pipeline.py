@@ -35,11 +35,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with KEY, equal for equal rows alone: the doc_id, but a hash of (doc_id, text) where ids are missing or repeated (ODD).
 
-    Nothing is numbered or stored, so a lost executor's rows get their keys again.
+    No row is numbered, so a lost executor's rows get their keys again. Repeated ids are
+    stored: few ids are a small table, which Spark then joins without moving texts.
     """
     own = F.xxhash64("doc_id", "text")
     known = docs.where("doc_id is not null")
-    again = known.groupBy("doc_id").agg(F.count("*").alias(ODD)).where(F.col(ODD) > 1)
+    again = stored(known.groupBy("doc_id").agg(F.count("*").alias(ODD)).where(F.col(ODD) > 1), "repeated-ids")
     known = known.join(again, "doc_id", "left").select(*docs.columns, F.col(ODD).isNotNull().alias(ODD))
     rows = known.unionByName(docs.where("doc_id is null").withColumn(ODD, F.lit(True)))
     return rows.withColumn(KEY, F.when(F.col(ODD), own).otherwise(F.col("doc_id")))
@@ -52,9 +53,10 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     odd = rows.where(F.col(ODD)).select(KEY, F.col("doc_id").alias("own")).distinct()
     first = F.struct((F.col(ODD).isNotNull() & F.col("own").isNull()).alias("missing"), F.coalesce("own", KEY).alias("own"), KEY)
     kept = groups.distinct().join(odd.withColumn(ODD, F.lit(True)), KEY, "left").groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
-    left = rows.join(kept, KEY, "left_semi")
-    copies = F.col(ODD) & F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return left.where(~copies).unionByName(left.where(copies).dropDuplicates([KEY])).select(docs.columns)
+    kept = stored(kept, "kept-rows")
+    words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    plain, copies, empty = (rows.where(c).join(kept, KEY, "left_semi") for c in (~F.col(ODD), F.col(ODD) & words, F.col(ODD) & ~words))
+    return plain.unionByName(copies.dropDuplicates([KEY])).unionByName(empty).select(docs.columns)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
