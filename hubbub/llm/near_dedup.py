@@ -195,9 +195,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     open_keys = grouped.groupBy("key").agg(F.min("found").alias("x"), F.max("found").alias("y"), F.ceil(F.count("*") / PAIR_BLOCK).alias("blocks")).where("x < y").select("key", "blocks")
     left = grouped.join(open_keys, "key").join(classes.select("rep", "s1", "bands"), ["rep", "s1"])
     scale = math.log(1.0001 * 100 / percent)  # sets that are alike are of one step of sizes or of neighbouring ones
-    left = stored(left.select("key", "band", "rep", "n", "bits", "found", "bands", "blocks", F.floor(F.log("n") / scale).alias("step")), "open")
+    step = F.when(F.col("blocks") > 1, F.floor(F.log("n") / scale)).otherwise(0)  # small bands are one step, not two copies
+    left = stored(left.select("key", "band", "rep", "n", "bits", "found", "bands", "blocks", step.alias("step")), "open")
     # the smaller set of a pair is dealt to one block of its band and step, the larger one goes to all of them
-    other = left.select("key", F.explode(F.array("step", F.col("step") - 1)).alias("step"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("found").alias("found2"), F.col("bands").alias("bands2"))
+    steps = F.when(F.col("blocks") > 1, F.array("step", F.col("step") - 1)).otherwise(F.array("step"))
+    other = left.select("key", F.explode(steps).alias("step"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rep").alias("rep2"), F.col("n").alias("m"), F.col("bits").alias("others"), F.col("found").alias("found2"), F.col("bands").alias("bands2"))
     left = left.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
     once = "not exists(sequence(0, band), i -> i < band and bands[i] = bands2[i])"  # each pair in its first shared band
     more = left.join(other, ["key", "step", "block"]).where("found <> found2 and (n < m or n = m and rep < rep2)").where(close).where(once).selectExpr("least(rep, rep2) a", "greatest(rep, rep2) b").distinct()
