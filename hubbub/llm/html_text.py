@@ -11,7 +11,9 @@ Blocks of the region that stand aside are left out of its text: in elements that
 defines as navigation, footers, sidebars, forms or dialogs, and in elements one of whose
 classes, ids or roles is learned to lie outside. STARTING names begin with START words
 outside, and pages can teach otherwise. Names count as a whole (has-sidebar is not
-sidebar). An element that holds the article, or more than half of the page's words, does
+sidebar), but one whose first part is comment or the like begins as that part does. What a
+page hides (hidden, display:none) stands aside whatever is learned. Inline elements never cut
+a block; the words of one that stands aside are left out of its block. An element that holds the article, or more than half of the page's words, does
 not stand aside, but for reader comments, which do unless they hold `main`.
 
 The fit reads at most SAMPLE distinct pages, those of the smallest hashes. A null or empty
@@ -41,7 +43,11 @@ START = 50
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The rest of a tag: quotes count only behind an equals sign.
 REST = re.compile(r"""(?>[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+>""")
-ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|aria-hidden)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![^\s/"'])(class|id|role|aria-hidden|style)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+QUOTED = re.compile(r"""=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)""")
+HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b")
+#: The name that what a page hides has; no class can be called so.
+HIDDEN = "hidden attribute"
 RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "object", "canvas", "title", "select", "audio", "video")
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -51,6 +57,8 @@ CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset"
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
 ASIDE_TAGS = {"nav", "footer", "aside", "form", "button", "menu", "dialog", "head"}
 COMMENTS = {"comment", "comments", "comment-list", "commentlist", "comment-body", "comments-area", "comment-form", "reply", "replies", "response", "responses", "respond", "disqus_thread", "discussion"}
+#: First parts of names of comment containers, and last parts of names that only tell of comments.
+COMMENT_HEADS, COMMENT_TELLS = {"comment", "comments", "disqus", "replies", "responses"}, {"open", "opened", "closed", "enabled", "disabled", "on", "off", "count", "allowed"}
 #: Classes, ids and roles that begin with START words outside the article.
 STARTING = COMMENTS | {
     "ad", "ads", "advert", "advertisement", "adsbygoogle", "sponsored", "sponsor", "banner", "promo", "promotion", "cookie", "cookies", "cookie-banner", "cookie-notice", "consent", "gdpr", "notice", "notification", "alert",
@@ -65,31 +73,53 @@ class Element:
     parent: int
     block: int  # the innermost element that is not inline: itself or one above
     names: tuple[str, ...]  # classes, ids and roles
-    words: int = 0  # in it and below
+    words: int = 0  # in it and below; of an inline element those of its block's share are in own
+    own: int = 0
     holds: str = ""  # "main" or "article", if one stands in it and has no name of comments
     article: bool = False
+    hidden: bool = False
     aside: bool = False
 
 
 @dataclass(slots=True)
 class Block:
-    element: int
+    element: int  # the innermost that is not inline
     parts: list[str] = field(default_factory=list)
+    owners: list[int] = field(default_factory=list)  # the innermost element of each part
     tags: list[str] = field(default_factory=list)
     text: str = ""
     n: int = 0
 
 
 def _names(attributes: str) -> tuple[str, ...]:
+    found = [HIDDEN] if _hidden(attributes) else []
     if "=" not in attributes:
-        return ()
-    found: list[str] = []
+        return tuple(found)
     for name, *values in ATTRIBUTE.findall(attributes):
         value = "".join(values).lower()
-        found += ["hidden"] if name.lower() == "aria-hidden" and value == "true" else value.split() if name.lower() != "aria-hidden" else []
+        match name.lower():
+            case "aria-hidden":
+                found += ["hidden"] if value == "true" else []
+            case "style":
+                found += [HIDDEN] if HIDES.search(value) else []
+            case _:
+                found += value.split()
     return tuple(dict.fromkeys(found))
 
 
+def _hidden(attributes: str) -> bool:
+    """Whether the attribute `hidden` is set, with or without a value."""
+    return "hidden" in attributes.lower() and "hidden" in QUOTED.sub(" ", attributes).lower().replace("/", " ").split()
+
+
+def comments_name(name: str) -> bool:
+    """Whether a class, id or role names a container of reader comments, as a whole or by its first part."""
+    if name in COMMENTS:
+        return True
+    parts = re.split(r"[-_]+", name)
+    return len(parts) > 1 and parts[0] in COMMENT_HEADS and parts[-1] not in COMMENT_TELLS
+
+
 def blocks(page: str) -> tuple[list[Block], list[Element]]:
     """The page's blocks in order, and its elements (parents first) with the words that each holds."""
     elements = [Element("body", -1, 0, ())]
@@ -102,9 +132,13 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         nonlocal now
         if now.parts:
             out.append(now)
-            now = Block(stack[-1])
+            now = Block(elements[stack[-1]].block)
         else:
-            now.element = stack[-1]
+            now.element = elements[stack[-1]].block
+
+    def add(text: str) -> None:
+        now.parts.append(text)
+        now.owners.append(stack[-1])
 
     def close(at: int) -> None:
         while len(stack) > at:
@@ -116,7 +150,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         if end > pos:
             text = entities.unescape(page[pos:end])
             if now.parts or not text.isspace():
-                now.parts.append(text)
+                add(text)
         if at < 0:
             break
         if page.startswith("<!--", at):
@@ -134,18 +168,18 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
                 end = page.find(">", at)
                 pos = end + 1 if end >= 0 else n
             else:
-                now.parts.append("<")
+                add("<")
                 pos = at + 1
             continue
         rest = REST.match(page, named.end())
         if not rest:  # no tag ends from here on: the rest is text
-            now.parts.append(entities.unescape(page[at:]))
+            add(entities.unescape(page[at:]))
             break
         pos, tag = rest.end(), named[0].lower()
         attributes = page[named.end() : pos - 1]
         empty = attributes.endswith("/")
         if tag == "br":
-            now.parts.append(" ")
+            add(" ")
             now.tags.append(tag)
             continue
         if tag in RAW_END and not closing:
@@ -169,7 +203,7 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
             elements.append(Element(tag, stack[-1], above.block if inline else k, _names(attributes)))
             places.setdefault(tag, []).append(len(stack))
             stack.append(k)
-        if not inline or now.element != stack[-1] and elements[stack[-1]].names + elements[now.element].names:
+        if not inline:
             fresh()
         now.tags.append(tag)
     fresh()
@@ -177,13 +211,17 @@ def blocks(page: str) -> tuple[list[Block], list[Element]]:
         b.text = " ".join("".join(b.parts).split())
         b.n = len(b.text.split())
         elements[b.element].words += b.n
+        for k, part in zip(b.owners, b.parts, strict=True):
+            if k != b.element and elements[k].block == b.element:  # words of inline elements are the block's, too
+                elements[k].own += len(part.split())
     for e in elements[1:]:
         e.article = elements[e.parent].article or e.tag in ("article", "main")
+        e.hidden = elements[e.parent].hidden or HIDDEN in e.names
     for e in reversed(elements[1:]):
         above = elements[e.parent]
         above.words += e.words
         holds = "main" if "main" in (e.tag, e.holds) or "main" in e.names else "article" if e.tag == "article" or e.holds else ""
-        if holds and (holds == "main" or not COMMENTS.intersection(e.names)):
+        if holds and (holds == "main" or not any(map(comments_name, e.names))):
             above.holds = max(above.holds, holds)  # main before article
     return out, elements
 
@@ -197,7 +235,7 @@ class Weights:
     tags: dict[str, float]
 
     def name(self, name: str) -> float:
-        return self.names.get(name, math.log(1 / (START + 1)) if name in STARTING else 0.0)
+        return self.names.get(name, math.log(1 / (START + 1)) if name in STARTING or comments_name(name) else 0.0)
 
     def mark(self, elements: list[Element]) -> list[float]:
         """Sets which elements stand aside; the weight of a word in each."""
@@ -206,15 +244,17 @@ class Weights:
         for e in elements[1:]:
             above = elements[e.parent]
             names = [self.name(x) for x in e.names]
-            comments = not COMMENTS.isdisjoint(e.names) and min(names) < -1
-            if e.tag in ("html", "body"):
+            comments = any(map(comments_name, e.names)) and min(names) < -1
+            if e.hidden:
+                own = True
+            elif e.tag in ("html", "body"):
                 own = False
             elif comments:
                 own = e.holds != "main"
             elif e.tag in ASIDE_TAGS - {"form"} or e.tag == "header" and not above.article:
                 own = not e.holds
             else:
-                own = (e.tag == "form" or bool(names) and min(names) < -2) and not e.holds and e.tag != "main" and 2 * e.words <= total
+                own = (e.tag == "form" or bool(names) and min(names) < -2) and not e.holds and e.tag != "main" and 2 * max(e.words, e.own) <= total
             e.aside = own or above.aside and not (e.tag == "main" and not comments)
             out.append(max(-3.0, min(3.0, out[e.parent] + self.elements.get(e.tag, 0.0) + max(-1.0, min(1.0, sum(names)))) if not e.aside else -1.0))
         return out
@@ -226,6 +266,8 @@ def main_text(page: str | None, weights: Weights) -> str:
         return ""
     found, elements = blocks(page)
     word = weights.mark(elements)
+    for b in found:
+        drop_aside(b, elements)
     best, best_range, total, start = 0.0, (0, 0), 0.0, 0
     for k, b in enumerate(found):
         words, tags = score(b, elements, word, weights)
@@ -238,10 +280,17 @@ def main_text(page: str | None, weights: Weights) -> str:
     return "\n\n".join(b.text for b in found[slice(*best_range)] if b.n and not elements[b.element].aside)
 
 
+def drop_aside(b: Block, elements: list[Element]) -> None:
+    """Leaves the words of inline elements that stand aside out of a block that does not."""
+    if not elements[b.element].aside and any(elements[k].aside for k in b.owners):
+        b.text = " ".join("".join(p for p, k in zip(b.parts, b.owners, strict=True) if not elements[k].aside).split())
+        b.n = len(b.text.split())
+
+
 def score(b: Block, elements: list[Element], word: list[float], weights: Weights) -> tuple[float, float]:
-    """Of a block's words and of the tags before them; what stands aside within an article costs nothing, so that it does not cut it in two."""
+    """Of a block's words and of the tags before them; what is hidden, or stands aside within an article, costs nothing, so that it does not cut it in two."""
     e = elements[b.element]
-    if e.aside and e.article:
+    if e.aside and (e.article or e.hidden):
         return 0.0, 0.0
     return b.n * word[b.element], sum(weights.tags.get(t, -0.5) for t in b.tags)
 
@@ -266,6 +315,9 @@ def learn(pages: DataFrame, sample: int = SAMPLE) -> Weights:
                     e = elements[b.element]
                     inside = e.article and not e.aside
                     own[b.element][inside]["n"] += b.n
+                    for k, part in zip(b.owners, b.parts, strict=True):
+                        for name in elements[k].names if k != b.element and elements[k].block == b.element else ():
+                            sums["name", name, inside and not elements[k].aside, 1] += len(part.split())
                     sums.update(("tag", t, inside, 1) for t in b.tags)
                 for k in range(len(elements) - 1, -1, -1):
                     e = elements[k]
