@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources.events import CHAT, FRAME, SPEECH
+from .scan import numbered, ranged, scanned
 from .windows import SCOPE, window_filter
 
 MAX_SPAN_MS, SPEECH_MS, SCREEN_MS, PENDING_MS = 180_000, 45_000, 60_000, 120_000
@@ -58,8 +59,8 @@ def latest_n(rows: DataFrame, scope: list[str], n: int) -> DataFrame:
 
 def message_batches(chat: DataFrame, size: int = 3) -> DataFrame:
     """Messages numbered in batches of `size`, in order: batch (from 0) and number (from 1)."""
-    place = F.row_number().over(Window.partitionBy("channel").orderBy("ts_ms", "event_id")) - 1
-    return chat.withColumn("_place", place).withColumn("batch", F.floor(F.col("_place") / size)).withColumn("number", F.col("_place") % size + 1).drop("_place")
+    rows = numbered(chat, ["channel"], ["ts_ms", "event_id"], "_place").withColumn("_place", F.col("_place") - 1)
+    return rows.withColumn("batch", F.floor(F.col("_place") / size)).withColumn("number", (F.col("_place") % size + 1).cast("int")).drop("_place")
 
 
 def numbered_chat(batches: DataFrame) -> DataFrame:
@@ -94,8 +95,8 @@ def screen_context(batches: DataFrame, frames: DataFrame, stale_ms: int = SCREEN
     spans = batches.groupBy("channel", "batch").agg(F.min("ts_ms").alias("lo"), F.max("ts_ms").alias("ts_ms"))
     marks = spans.select("channel", "ts_ms", F.lit(1).alias("side"), "batch", "lo", F.lit(None).cast("struct<ts_ms: bigint, text: string>").alias("frame"), F.lit("").alias("id"))
     shown = frames.select("channel", "ts_ms", F.lit(0).alias("side"), F.lit(None).cast("long").alias("batch"), F.lit(None).cast("long").alias("lo"), F.struct("ts_ms", "text").alias("frame"), F.col("event_id").alias("id"))
-    w = Window.partitionBy("channel").orderBy("ts_ms", "side", "id").rowsBetween(Window.unboundedPreceding, 0)
-    found = marks.unionByName(shown).withColumn("seen", F.last("frame", True).over(w)).where("side = 1")
+    both = ranged(marks.unionByName(shown), ["channel"], ["ts_ms", "side", "id"])
+    found = scanned(both, ["channel"], lasts={"seen": F.col("frame")}).where("side = 1")
     return found.select("channel", "batch", F.when(F.col("seen.ts_ms") >= F.col("lo") - stale_ms, F.col("seen.text")).otherwise(NO_SCREEN).alias("screen"))
 
 

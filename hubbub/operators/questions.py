@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixed import ANSWER_MS, TILE_MS
 from ..sources.events import CHAT, SPEECH
+from .scan import ranged, scanned
 from .grouping import assigned, group_chat, prepared, top_groups
 
 MIN_SHARED, MAX_ROWS, TICK_MS = 2, 12, 2000
@@ -71,8 +72,7 @@ def rolling_groups(chat: DataFrame, span_ms: int = TILE_MS, tick_ms: int = TICK_
 def tick_changes(ticks: DataFrame) -> DataFrame:
     """Ticks whose list of (label, count) differs from the tick before."""
     lists = ticks.groupBy("channel", "tick").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "count"))), lambda x: F.struct(x["label"].alias("label"), x["count"].alias("count"))).alias("groups"))
-    before = F.lag("groups").over(Window.partitionBy("channel").orderBy("tick"))
-    return lists.withColumn("before", before).where(~F.col("before").eqNullSafe(F.col("groups"))).select("channel", "tick", "groups")
+    return scanned(ranged(lists, ["channel"], ["tick"]), ["channel"], befores={"before": F.col("groups")}).where(~F.col("before").eqNullSafe(F.col("groups"))).select("channel", "tick", "groups")
 
 
 def tile_cli(spans: DataFrame, size_ms: int = TILE_MS) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import TILE_MS
+from .scan import numbered
 
 SCOPE = ["channel", "win"]
 
@@ -43,5 +44,5 @@ def slices(events: DataFrame, windows: DataFrame, size_ms: int = TILE_MS) -> Dat
 
 
 def total_order(events: DataFrame) -> DataFrame:
-    """`place` of each event in its channel, by (ts_ms, type, event_id)."""
-    return events.withColumn("place", F.row_number().over(Window.partitionBy("channel").orderBy("ts_ms", "type", "event_id")))
+    """`place` of each event in its channel, by (ts_ms, type, event_id); a hot channel is spread over tasks."""
+    return numbered(events, ["channel"], ["ts_ms", "type", "event_id"])

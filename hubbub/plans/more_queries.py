@@ -294,7 +294,7 @@ ORACLE_SQL = {
     "clean_caption": f"{_CAPTIONS} SELECT conv_id, turn, nullif(substring(t, 1, 500), '') AS caption FROM c",
     "clean_caption_legacy": f"{_CAPTIONS}, b AS (SELECT conv_id, turn, trim(regexp_replace(t, '(?i)^(?:the|this) (?:image|frame|screenshot) shows:?\\s*', '')) AS t FROM c) SELECT conv_id, turn, CASE WHEN t <> '' AND NOT regexp_matches(t, '^\\d+\\s*/\\s*\\d+$') THEN CASE WHEN length(t) > 500 THEN concat(regexp_replace(substring(t, 1, 499), '\\s+\\S*$', ''), '…') ELSE t END END AS caption FROM b",
     "stt_segments": f"WITH t AS (SELECT concat(conv_id, '/', turn) AS channel, conv_id * 1000 AS b, turn, {_one('text')} AS text, len(string_split(text, ' ')) AS n FROM conversations WHERE text IS NOT NULL) "
-    "SELECT channel, CAST(CASE WHEN turn % 2 = 0 THEN b + turn * 1500 ELSE b END AS BIGINT) AS ts_ms, CAST(CASE WHEN turn % 2 = 0 THEN b + floor((turn * 1.5 + 1.2) * 1000) ELSE b + floor(((n - 1) * 0.5 + 0.3) * 1000) END AS BIGINT) AS end_ms, text, CASE WHEN turn % 2 = 0 THEN '1' ELSE '2' END AS speaker FROM t WHERE text <> ''",
+    "SELECT channel, CAST(CASE WHEN turn % 2 = 0 THEN b + turn * 1500 ELSE b END AS BIGINT) AS ts_ms, CAST(CASE WHEN turn % 2 = 0 THEN b + floor((CAST(turn AS DOUBLE) * CAST(1.5 AS DOUBLE) + CAST(1.2 AS DOUBLE)) * 1000) ELSE b + floor((CAST(n - 1 AS DOUBLE) * CAST(0.5 AS DOUBLE) + CAST(0.3 AS DOUBLE)) * 1000) END AS BIGINT) AS end_ms, text, CASE WHEN turn % 2 = 0 THEN 'spk_1' ELSE 'spk_2' END AS speaker FROM t WHERE text <> ''",
     "words_to_segments": f"WITH {_WORDS}, b AS (SELECT *, lag(speaker) OVER o AS ps, lag(end_ms) OVER o AS pe FROM words WINDOW o AS (PARTITION BY channel ORDER BY turn, place)), s AS (SELECT *, sum(CASE WHEN coalesce(ps = speaker AND start_ms - pe <= 1500, false) THEN 0 ELSE 1 END) OVER (PARTITION BY channel ORDER BY turn, place) AS segment FROM b), "
     f"g AS (SELECT channel, segment, min(start_ms) AS ts_ms, last(end_ms ORDER BY turn, place) AS e, string_agg(word, ' ' ORDER BY turn, place) AS said, any_value(speaker) AS speaker FROM s GROUP BY ALL) SELECT channel, ts_ms, greatest(e, ts_ms) AS end_ms, {_one('said')} AS text, speaker FROM g WHERE {_one('said')} <> ''",
     "speaker_phrases": f"WITH {_WORDS} SELECT channel, turn AS response, CASE WHEN place % 3 > 0 THEN speaker ELSE '0' END AS speaker, string_agg(word, ' ' ORDER BY place) AS text, first(start_ms ORDER BY place) AS start_ms, last(end_ms ORDER BY place) AS end_ms FROM words GROUP BY channel, turn, CASE WHEN place % 3 > 0 THEN speaker ELSE '0' END",

@@ -77,7 +77,7 @@ ORACLE_SQL: dict[str, str] = {
     "union_modalities": f"WITH {_EVENTS} SELECT channel, type, count(*) AS n, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms FROM events_view GROUP BY ALL",
     "duplicate_ids": f"WITH {_EVENTS} SELECT channel, event_id, count(*) AS n FROM (SELECT channel, event_id FROM events_view UNION ALL SELECT channel, event_id FROM events_view WHERE text LIKE '%?') GROUP BY ALL HAVING count(*) > 1",
     "tile_board": f"WITH {_TILED}, every AS (SELECT channel, unnest(range(min(win), max(win) + 1, 60000)) AS win FROM tiled GROUP BY channel), n AS (SELECT channel, win, count(*) AS n FROM tiled GROUP BY ALL) SELECT channel, win, coalesce(n, 0) AS n FROM every LEFT JOIN n USING (channel, win)",
-    "total_order": f"WITH {_EVENTS} SELECT channel, event_id, CAST(row_number() OVER (PARTITION BY channel ORDER BY ts_ms, type, event_id) AS INTEGER) AS place FROM events_view",
+    "total_order": f"WITH {_EVENTS} SELECT channel, event_id, row_number() OVER (PARTITION BY channel ORDER BY ts_ms, type, event_id) AS place FROM events_view",
     "window_filter": f"WITH {_EVENTS}, o AS (SELECT channel, min(ts_ms) AS lo FROM events_view GROUP BY ALL), p AS (SELECT e.*, (ts_ms - lo) // 180000 * 180000 + lo + 45000 AS start FROM events_view e JOIN o USING (channel)) SELECT channel, start, event_id, ts_ms FROM p WHERE type = 'chat_message' AND ts_ms >= start AND ts_ms < start + 120000",
     "rate_buckets": f"WITH {_CHATS}, w AS (SELECT DISTINCT channel, win FROM chats) SELECT channel, win, CAST(b AS INTEGER) AS bucket, (SELECT count(*) FROM chats c WHERE c.channel = w.channel AND c.win = w.win AND least((c.ts_ms - c.win) // 10000, 5) = b) AS n FROM w, range(6) AS r(b)",
     "new_chatters": f"WITH {_CHATS}, f AS (SELECT channel, coalesce(author, '') AS author, min(win) AS win FROM chats GROUP BY ALL) SELECT channel, win, count(*) AS new_chatters FROM f GROUP BY ALL",

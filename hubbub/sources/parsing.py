@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import ranged, scanned
+
 SEGMENT_GAP_MS, CAPTION_CHARS = 1500, 500
 _SPACE = r"(?U)\s+"
 
@@ -43,16 +45,21 @@ def dedupe_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def words_to_segments(words: DataFrame, gap_ms: int = SEGMENT_GAP_MS) -> DataFrame:
-    """Words (channel, pos, start_ms, end_ms, speaker, word) merged while the speaker stays and the pause is short."""
-    w = Window.partitionBy("channel").orderBy("pos")
-    before = F.lag(F.struct("speaker", "end_ms")).over(w)
-    same = before["speaker"].eqNullSafe(F.col("speaker")) & (F.col("start_ms") - before["end_ms"] <= gap_ms)
-    rows = words.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("segment", F.sum("new").over(w))
+def words_to_segments(words: DataFrame, gap_ms: int = SEGMENT_GAP_MS, by: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """Words (channel, pos, start_ms, end_ms, speaker, word) merged while the speaker stays and the pause is short.
+
+    `by` may hold more columns than channel: words of unlike ones are never merged. A channel's
+    words are scanned in ranges, so none needs to fit a task; one segment's words do.
+    """
+    keys = list(by)
+    before = scanned(ranged(words, keys, ["pos"]), keys, befores={"before": F.struct("speaker", "end_ms")})
+    same = F.col("before.speaker").eqNullSafe(F.col("speaker")) & (F.col("start_ms") - F.col("before.end_ms") <= gap_ms)
+    fresh = before.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).drop("before")
+    rows = scanned(fresh, keys, sums={"segment": F.col("new")})
     ordered = F.array_sort(F.collect_list(F.struct("pos", "end_ms", "word")))
-    found = rows.groupBy("channel", "segment").agg(F.min("start_ms").alias("ts_ms"), ordered.alias("said"), F.first("speaker").alias("speaker"))
+    found = rows.groupBy(*keys, "segment").agg(F.min("start_ms").alias("ts_ms"), ordered.alias("said"), F.first("speaker").alias("speaker"))
     text = collapsed(F.array_join(F.transform("said", lambda x: x["word"]), " "))
-    return found.select("channel", "ts_ms", F.greatest(F.element_at("said", -1)["end_ms"], F.col("ts_ms")).alias("end_ms"), text.alias("text"), "speaker").where("text <> ''")
+    return found.select(*keys, "ts_ms", F.greatest(F.element_at("said", -1)["end_ms"], F.col("ts_ms")).alias("end_ms"), text.alias("text"), "speaker").where("text <> ''")
 
 
 def speaker_phrases(words: DataFrame) -> DataFrame:
@@ -72,19 +79,29 @@ RESPONSE = (
 
 
 def stt_segments(responses: DataFrame) -> DataFrame:
-    """Speech responses (channel, start_ms, json) as segments: utterances if any, else words merged."""
-    parsed = responses.select("channel", "start_ms", F.from_json("json", RESPONSE)["results"].alias("r")).withColumn("u", F.coalesce(F.col("r.utterances"), F.array().cast("array<struct<start: double, end: double, transcript: string, speaker: string>>")))
+    """Speech responses (channel, start_ms, json) as segments: utterances if any, else words merged; `speaker` is spk_N.
+
+    Words are merged within their response alone; pauses are compared in seconds as given,
+    and times cut to whole milliseconds at the end. Equal responses count as many.
+    """
+    own = responses.select("channel", "start_ms", F.monotonically_increasing_id().alias("response"), F.from_json("json", RESPONSE)["results"].alias("r"))
+    parsed = own.withColumn("u", F.coalesce(F.col("r.utterances"), F.array().cast("array<struct<start: double, end: double, transcript: string, speaker: string>>")))
 
     def ms(seconds: Column) -> Column:
-        return F.col("start_ms") + F.floor(F.coalesce(seconds, F.lit(0.0)) * 1000)
+        return F.coalesce(seconds, F.lit(0.0)) * 1000
+
+    def row(rows: DataFrame) -> DataFrame:
+        start, end = (F.col("start_ms") + F.col(c).cast("long") for c in ("from", "to"))
+        number = F.concat(F.lit("spk_"), F.col("speaker").cast("double").cast("long").cast("string"))
+        return rows.select("channel", start.alias("ts_ms"), F.greatest(end, start).alias("end_ms"), "text", number.alias("speaker")).where("text <> ''")
 
     spoken = parsed.select("channel", "start_ms", F.explode("u").alias("x"))
-    whole = spoken.select("channel", ms(F.col("x.start")).alias("ts_ms"), ms(F.coalesce("x.end", "x.start")).alias("end"), collapsed(F.col("x.transcript")).alias("text"), "x.speaker")
-    whole = whole.select("channel", "ts_ms", F.greatest("end", "ts_ms").alias("end_ms"), "text", "speaker").where("text <> ''")
+    whole = spoken.select("channel", "start_ms", ms(F.col("x.start")).alias("from"), ms(F.coalesce("x.end", "x.start")).alias("to"), collapsed(F.col("x.transcript")).alias("text"), "x.speaker")
     first = F.get(F.get(F.col("r.channels"), F.lit(0))["alternatives"], F.lit(0))["words"]
-    bare = parsed.where(F.size("u") == 0).select("channel", "start_ms", F.posexplode(first).alias("pos", "x"))
-    words = bare.select("channel", F.struct("start_ms", "pos").alias("pos"), ms(F.col("x.start")).alias("start_ms"), ms(F.coalesce("x.end", "x.start")).alias("end_ms"), "x.speaker", F.coalesce("x.punctuated_word", "x.word", F.lit("")).alias("word"))
-    return whole.unionByName(words_to_segments(words))
+    bare = parsed.where(F.size("u") == 0).select("channel", F.col("start_ms").alias("base"), "response", F.posexplode(first).alias("pos", "x"))
+    words = bare.select("channel", "base", "response", "pos", ms(F.col("x.start")).alias("start_ms"), ms(F.coalesce("x.end", "x.start")).alias("end_ms"), "x.speaker", F.coalesce("x.punctuated_word", "x.word", F.lit("")).alias("word"))
+    merged = words_to_segments(words, by=("channel", "base", "response")).withColumnsRenamed({"base": "start_ms", "ts_ms": "from", "end_ms": "to"})
+    return row(whole).unionByName(row(merged))
 
 
 def clean_caption(text: Column, n: int = CAPTION_CHARS) -> Column:

@@ -1,4 +1,4 @@
-"""Live feeds with Structured Streaming: deduplication, closed tiles and their boards, segments, timers, new chatters, upserts.
+"""Live feeds with Structured Streaming: deduplication, counts, segments, timers, new chatters, upserts. Boards and ticks are in live.
 
 Events have a `time` column (the source's time, a timestamp); rows later than the watermark
 are dropped by the engine, which counts them in the query's progress.
@@ -7,15 +7,13 @@ are dropped by the engine, which counts them in the query's progress.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.board import board
-from ..operators.grouping import group_chat, top_groups
 from ..sources.parsing import SEGMENT_GAP_MS
 
 LATENESS = "2 minutes"
@@ -69,55 +67,6 @@ def latest(folder_rows: DataFrame, keys: list[str]) -> DataFrame:
     return upsert(folder_rows.where("false"), folder_rows, keys, "version")
 
 
-def buffered_batches(folder: str, closed, lateness_ms: int = 120_000, size_ms: int = 60_000) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: `closed(events)` of every tile once it has closed, written under folder/closed.
-
-    Batches of events are kept under folder/events. A tile has closed when the latest event
-    is lateness_ms past its end; later events of closed tiles are counted under folder/late
-    and change nothing. A repeated batch overwrites itself. Tiles start at the channel's
-    first event; only tiles since the last closed one are read again.
-    """
-
-    def read(spark, name: str, schema: str) -> DataFrame:
-        try:
-            return spark.read.parquet(f"{folder}/{name}")
-        except AnalysisException:  # nothing is written yet
-            return spark.createDataFrame([], schema)
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = read(spark, "marks", "channel string, origin long, until long, batch int").where(F.col("batch") < number)
-        marks = done.groupBy("channel").agg(F.min("origin").alias("origin"), F.max("until").alias("until"))
-        kept = batch.drop("time").join(marks, "channel", "left").withColumn("late", F.coalesce(F.col("ts_ms") < F.col("until"), F.lit(False)))
-        kept.where("late").groupBy("channel").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
-        kept.where("not late").drop("origin", "until", "late").write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
-        events = spark.read.parquet(f"{folder}/events").where(F.col("batch") <= number).drop("batch").join(marks, "channel", "left")
-        spans = events.groupBy("channel").agg(F.coalesce(F.min("origin"), F.min("ts_ms")).alias("start"), F.max("ts_ms").alias("last"))
-        until = F.greatest(F.col("start"), F.col("start") + F.floor((F.col("last") - lateness_ms - F.col("start")) / size_ms) * size_ms)
-        now = spans.select("channel", "start", until.alias("stop"))
-        ready = events.join(now, "channel").where((F.col("ts_ms") >= F.coalesce("until", "start")) & (F.col("ts_ms") < F.col("stop")))
-        ready = ready.withColumn("win", F.col("start") + F.floor((F.col("ts_ms") - F.col("start")) / size_ms) * size_ms).drop("origin", "until", "start", "stop")
-        closed(ready).write.mode("overwrite").parquet(f"{folder}/closed/batch={number}")
-        now.select("channel", F.col("start").alias("origin"), F.col("stop").alias("until")).write.mode("overwrite").parquet(f"{folder}/marks/batch={number}")
-
-    return write
-
-
-def tumbling_board(folder: str, lateness_ms: int = 120_000) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the board of each tile, once, when it has closed."""
-    return buffered_batches(folder, board, lateness_ms)
-
-
-def live_snapshot(events: DataFrame, span_ms: int = 60_000, k: int = 6) -> DataFrame:
-    """The first k groups of each channel's last span_ms, with the window's messages and chatters; for foreachBatch over a recent slice."""
-    last = events.groupBy("channel").agg(F.max("ts_ms").alias("at"))
-    recent = events.join(last, "channel").where(F.col("ts_ms") > F.col("at") - span_ms)
-    chat = recent.where(F.col("type") == "chat_message").withColumn("win", F.col("at"))
-    counts = chat.groupBy("channel").agg(F.first("at").alias("at"), F.count("*").alias("messages"), F.countDistinct(F.coalesce("author", F.lit(""))).alias("chatters"))
-    groups = top_groups(group_chat(chat), k=k).select("channel", "rank", "key", "label", "count", "samples")
-    return counts.join(groups, "channel", "left")
-
-
 SEGMENT = "ts_ms long, end_ms long, speaker string, said string"
 
 
@@ -172,9 +121,9 @@ def note_quiet(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, a
     yield pd.DataFrame({"channel": [], "status": []})
 
 
-def quiet_channels(events: DataFrame) -> DataFrame:
+def quiet_channels(events: DataFrame, after_ms: int = 12_000) -> DataFrame:
     """events with a row of type `join` for each channel that is joined."""
-    return events.groupBy("channel").applyInPandasWithState(note_quiet, "channel string, status string", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("channel").applyInPandasWithState(partial(note_quiet, after_ms=after_ms), "channel string, status string", "done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def flush_messages(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, size: int = 3, age_ms: int = 1000) -> Iterator[pd.DataFrame]:

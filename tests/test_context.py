@@ -175,22 +175,6 @@ def test_timers():
             assert list(next(feeds.note_quiet(("c",), iter([]), state))["status"]) == after and state.value == (True,)
 
 
-def test_boards_come_once_when_their_tile_has_closed(spark, tmp_path):
-    chat = lambda name, ts: ("c", name, CHAT, ts, ts, name, "LOL", True)
-    batches = [[("c", "s", SPEECH, 0, 500, None, "hello there", True), chat("a", 1000), chat("b", 61_000)], [chat("d", 2000), chat("e", 185_000)], [chat("f", 3000), chat("g", 260_000)]]
-    folder = str(tmp_path / "boards")
-    write = feeds.tumbling_board(folder)
-    for number, rows in enumerate(batches):
-        for _ in range(2):  # a repeated batch changes nothing
-            write(spark.createDataFrame(rows, EVENT), number)
-    found = {(r.batch, r.win, r["count"]) for r in spark.read.parquet(f"{folder}/closed").collect()}
-    assert found == {(1, 0, 2)}  # f is late
-    assert sum(r.n for r in spark.read.parquet(f"{folder}/late").collect()) == 1
-    assert {r.until for r in spark.read.parquet(f"{folder}/marks").collect()} == {0, 60_000, 120_000}
-    snap = feeds.live_snapshot(spark.createDataFrame(batches[0], EVENT)).collect()
-    assert [(r.messages, r.chatters, r.label, r["count"]) for r in snap] == [(1, 1, "reaction wave", 1)]
-
-
 def test_appended_counts_and_forgetful_chatters(spark, tmp_path):
     rows = events(spark, ("a", CHAT, 1000, "x"), ("b", CHAT, 61_000, "y"), ("c", CHAT, 400_000, "z"))
     assert {(r.win, r.n) for r in _stream(spark, tmp_path, "appended", rows, feeds.tumbling_counts)} == {(0, 1), (60_000, 1)}
