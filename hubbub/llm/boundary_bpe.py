@@ -40,7 +40,7 @@ from .bpe import LONGEST_KEPT, WHITE, chunks, spread, text_bytes, vocabulary, wh
 from .common import table
 
 END = "</w>"
-MAX_KEPT = 400_000
+MAX_KEPT = 200_000
 #: The pre-tokenizer's pattern that word_starts() implements (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
@@ -53,6 +53,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _codecs: dict[str, "Codec"] = {}
+_names: dict[str, pa.Array] = {}
 
 
 def byte_characters() -> list[str]:
@@ -100,7 +101,7 @@ def laid_out(packed: list[bytes], which: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Codec:
-    """ids of texts and texts of ids, as the tokenizers library gives them for the vocabulary file at path."""
+    """ids of texts, as the tokenizers library gives them for the vocabulary file at path."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -124,8 +125,6 @@ class Codec:
         self.classes[:128] = _ASCII_CLASS
         self.special = {t["content"]: t["id"] for t in told["added_tokens"]}
         self.special_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        names = {i: t for t, i in model["vocab"].items()} | {i: t for t, i in self.special.items()}
-        self.names = pa.array([names.get(i) for i in range(max(names) + 1)], pa.string())
         self.fragments: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -249,17 +248,6 @@ class Codec:
         upto = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(starts, at)]
         return ids, np.diff(upto)
 
-    def decode(self, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
-        """The texts: tokens joined by a blank, ids that the vocabulary lacks left out."""
-        known = ids < len(self.names)
-        which = np.where(known, ids, 0).astype(np.int64)
-        tokens = self.names.take(pa.array(which, mask=~known))
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        if tokens.null_count:
-            ends = np.concatenate(([0], np.cumsum(tokens.is_valid().to_numpy(zero_copy_only=False))))[ends]
-            tokens = tokens.drop_null()
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " ")
-
 
 def codec(path: str) -> Codec:
     """One for each Python worker and vocabulary."""
@@ -268,8 +256,36 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row; path is a vocabulary file that every executor has."""
+def names(path: str) -> pa.Array:
+    """The token of each id of a vocabulary file, special ones included; decoding needs no more."""
+    if path not in _names:
+        with open(path, encoding="utf-8") as file:
+            told = json.load(file)
+        if told["decoder"]:
+            raise ValueError(f"{path} has a decoder of its own")
+        found = {i: t for t, i in told["model"]["vocab"].items()} | {t["id"]: t["content"] for t in told["added_tokens"]}
+        _names[path] = pa.array([found.get(i) for i in range(max(found) + 1)], pa.string())
+    return _names[path]
+
+
+def decoded(ids: np.ndarray, counts: np.ndarray, tokens: pa.Array) -> pa.Array:
+    """The texts: tokens joined by a blank, ids that the vocabulary lacks left out."""
+    known = ids < len(tokens)
+    which = np.where(known, ids, 0).astype(np.int64)
+    found = tokens.take(pa.array(which, mask=~known))
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    if found.null_count:
+        ends = np.concatenate(([0], np.cumsum(found.is_valid().to_numpy(zero_copy_only=False))))[ends]
+        found = found.drop_null()
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found), " ")
+
+
+def encode(docs: DataFrame, path: str, back: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers, packed) of every row; path is a vocabulary file that every executor has.
+
+    With back, also text, the ids decoded in the same worker.
+    """
+    schema = "doc_id long, ids binary" + ", text string" * back
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
@@ -277,21 +293,22 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             ids, counts = own.encode(part.column(1))
             offsets = (np.concatenate(([0], np.cumsum(counts))) * 4).astype(np.int32)
             packed = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-            yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["doc_id", "ids"])
+            texts = [decoded(ids, counts, names(path)).cast(pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([part.column(0), packed, *texts], names=["doc_id", "ids", "text"][: 2 + back])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, ids and text of rows that encode() gives; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(path)
+        own = names(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 held = [v or b"" for v in part.column(1).to_pylist()]
-                texts = own.decode(np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4)
+                texts = decoded(np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4, own)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts.cast(pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
@@ -299,5 +316,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
-    both = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    both = encode(table(spark, sf_dir, "documents"), path, back=True)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as long)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
