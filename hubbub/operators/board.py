@@ -54,7 +54,12 @@ def merged_rows(groups: DataFrame) -> DataFrame:
 
 def board(events: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """Rows of each window: groups with one trigger merged, matched first, the first max_rows."""
-    ranked = merged_rows(attributed(events)).where(F.col("rank") <= max_rows)
+    return board_rows(attributed(events), max_rows)
+
+
+def board_rows(groups: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """The board of attributed() groups."""
+    ranked = merged_rows(groups).where(F.col("rank") <= max_rows)
     return ranked.select(*SCOPE, "rank", "trigger_id", "trigger_ts_ms", F.when(F.col("is_matched") == 1, "matched").otherwise("preceding").alias("link"), "count", "groups", F.col("lead.first_ts_ms").alias("first_ts_ms"), F.col("lead.key").alias("lead_key"))
 
 

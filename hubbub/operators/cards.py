@@ -50,15 +50,19 @@ def _trigger_id() -> Column:
 def check_cards(cards: DataFrame, events: DataFrame, version: str = "reaction-v2") -> DataFrame:
     """cards with ok and violations (codes in the order of the checks, one for each bad id).
 
-    Only cited events are looked up: citations are few, so events are filtered by them first.
+    Only cited events are looked up, once for each different list of citations: so a card
+    needs no signal_id, and cards that share one are told apart by what they cite. Of events
+    with one id the least (type, time, text) counts; a null channel is a channel.
     """
     if version not in GATES:
         raise ValueError(f"unknown gate: {version}")
-    events = events.select("channel", F.col("event_id").alias("id"), F.struct("type", "ts_ms", "text").alias("event"))
+    events = events.select(F.col("channel").alias("of"), F.col("event_id").alias("known"), F.struct("type", "ts_ms", "text").alias("event"))
     cards = cards.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>"))).withColumn("tid", _trigger_id())
-    cited = cards.select(*KEY, F.posexplode(F.concat("evidence", F.array("tid"))).alias("place", "id"))
-    found = cited.join(events, ["channel", "id"], "left").groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("place", "id", "event"))).alias("cited"))
-    rows = cards.join(found, KEY, "left")
+    cards = cards.withColumn("_cites", F.md5(F.to_json(F.struct("channel", "evidence", "tid"))))
+    lists = cards.dropDuplicates(["_cites"]).select("_cites", "channel", F.posexplode(F.concat("evidence", F.array("tid"))).alias("place", "id"))
+    cited = lists.join(events, lists["channel"].eqNullSafe(events["of"]) & (lists["id"] == events["known"]), "left").groupBy("_cites", "place", "id").agg(F.min("event").alias("event"))
+    found = cited.groupBy("_cites").agg(F.array_sort(F.collect_list(F.struct("place", "id", "event"))).alias("cited"))
+    rows = cards.join(found, "_cites", "left").drop("_cites")
     n = F.size("evidence")
     rows = rows.withColumn("trigger_event", F.element_at("cited", -1)["event"]).withColumn("cited", F.slice("cited", F.lit(1), F.greatest(n, F.lit(0))))
 
@@ -102,9 +106,11 @@ def gate_ledger(checked: DataFrame) -> DataFrame:
 
 
 def gate_rescore(cards: DataFrame, events: DataFrame) -> DataFrame:
-    """Cards whose decision differs between the two versions of the gate."""
-    old, new = (check_cards(cards, events, v).select(*KEY, F.col("ok").alias(v.split("-")[0])) for v in GATES)
-    return old.join(new, KEY).where("strict <> reaction")
+    """Cards whose decision differs between the two versions of the gate; equal cards are decided once and count as many."""
+    rows = cards.withColumn("_row", F.md5(F.to_json(F.struct(*cards.columns))))
+    each = rows.dropDuplicates(["_row"])
+    old, new = (check_cards(each, events, v).select("_row", F.col("ok").alias(v.split("-")[0])) for v in GATES)
+    return rows.select(*KEY, "_row").join(old.join(new, "_row").where("strict <> reaction"), "_row").drop("_row")
 
 
 def grounded(checked: DataFrame) -> DataFrame:

@@ -117,6 +117,20 @@ def summary_counts(events: DataFrame, levels_s: tuple[int, ...] = LEVELS_S) -> D
     return counts
 
 
+NO_DATA = "no data in this window"
+
+
+def every_window(counts: DataFrame) -> DataFrame:
+    """summary_counts() with the windows between a channel's first and last of each level that have no data, and what their summary says."""
+    ends = counts.groupBy("channel", "window_s").agg(F.min("end_ms").alias("lo"), F.max("end_ms").alias("hi"))
+    windows = ends.select("channel", "window_s", F.explode(F.sequence("lo", "hi", (F.col("window_s") * 1000).cast("long"))).alias("end_ms"))
+    kinds = ["msg_count", "audio_count", "frame_count"]
+    own = counts.select(F.col("channel").alias("_of"), F.col("window_s").alias("_size"), F.col("end_ms").alias("_end"), *kinds)
+    on = F.col("channel").eqNullSafe(F.col("_of")) & (F.col("window_s") == F.col("_size")) & (F.col("end_ms") == F.col("_end"))
+    found = windows.join(own, on, "left").select("channel", "window_s", "end_ms", *[F.coalesce(c, F.lit(0)).alias(c) for c in kinds])
+    return found.withColumn("summary", F.when(F.col("msg_count") + F.col("audio_count") + F.col("frame_count") == 0, NO_DATA))
+
+
 def hierarchical_prev(summaries: DataFrame, levels_s: tuple[int, ...] = LEVELS_S) -> DataFrame:
     """For each summary, the summaries of the level below in its window: as many of the latest as fill it."""
     below = {w: p for p, w in zip(levels_s, levels_s[1:])}

@@ -129,6 +129,24 @@ def trajectory_counts(runs: DataFrame) -> DataFrame:
     return each.groupBy("agent").agg(F.count("*").alias("runs"), F.sum("tools").alias("tool_calls"), F.sum("models").alias("model_calls"), F.sum("ok").alias("gate_ok"), F.sum("rejected").alias("gate_rejected"))
 
 
+def trigger_violations(checked: DataFrame, events: DataFrame, by: tuple[str, ...] = ("channel",)) -> DataFrame:
+    """trigger_census() of several runs side by side (`by` may name a column of the run), with how often each code was broken."""
+    tid = F.coalesce("trigger.event_id", F.lit("unknown"))
+    kinds = events.select("channel", "event_id", F.col("type").alias("kind"))
+    rows = checked.select(*by, *[c for c in ["channel"] if c not in by], "type", "ok", "violations", tid.alias("event_id")).join(kinds, ["channel", "event_id"], "left")
+    source = F.when(F.col("type") == "none", "abstained").when(F.col("event_id") == "unknown", "unknown").otherwise(F.coalesce("kind", F.lit("missing")))
+    rows = rows.withColumn("source", source)
+    return rows.select(*by, "source", F.explode("violations").alias("code")).groupBy(*by, "source", "code").agg(F.count("*").alias("n"))
+
+
+def run_budgets(runs: DataFrame) -> DataFrame:
+    """By agent: runs, those that may call tools (they have max_steps), and their most frequent max_steps (the smallest of equally frequent ones; 0 without)."""
+    counts = runs.groupBy("agent", "max_steps").agg(F.count("*").alias("n"))
+    known = F.col("max_steps").isNotNull()
+    most = F.min(F.when(known, F.struct((-F.col("n")).alias("less"), "max_steps")))
+    return counts.groupBy("agent").agg(F.sum("n").alias("runs"), F.coalesce(F.sum(F.when(known, F.col("n"))), F.lit(0)).alias("tool_runs"), F.coalesce(most["max_steps"], F.lit(0)).alias("budget"))
+
+
 def tool_calls(runs: DataFrame) -> DataFrame:
     """By agent: calls of each tool (what: tool), and the number of runs with so many calls (what: calls)."""
     tools = F.filter("steps", lambda s: s["kind"] == "tool")
@@ -142,6 +160,17 @@ def usage_ledger(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model", "provider").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
 
 
+def budget_state(calls: DataFrame, prices: DataFrame, cap_usd: float) -> DataFrame:
+    """What each provider's calls (model, provider, prompt_tokens, completion_tokens) have cost by prices (model, prompt_usd, completion_usd a million tokens) against a cap.
+
+    Columns: calls, unpriced (calls of a model without a price), spent_usd, remaining_usd, allowed. Estimates, not bills.
+    """
+    cost = (F.coalesce("prompt_tokens", F.lit(0)) * F.col("prompt_usd") + F.coalesce("completion_tokens", F.lit(0)) * F.col("completion_usd")) / 1e6
+    rows = calls.join(prices, "model", "left").withColumn("usd", F.coalesce(cost, F.lit(0.0)))
+    spent = rows.groupBy("provider").agg(F.count("*").alias("calls"), F.count_if(F.col("prompt_usd").isNull()).alias("unpriced"), F.sum("usd").alias("spent"))
+    return spent.select("provider", "calls", "unpriced", F.round("spent", 4).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), cap_usd - F.col("spent")), 4).alias("remaining_usd"), (F.col("spent") < cap_usd).alias("allowed"))
+
+
 def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block: int = 1024) -> DataFrame:
     """Pairs (scope, a, b, cosine) of one scope's vectors (id, vector) with cosine of threshold or more.
 

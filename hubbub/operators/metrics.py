@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.fixed import BUCKET_MS, TILE_MS
 from ..sources.events import CHAT, FRAME, SPEECH
+from .cards import gate_ledger
+from .grouping import grouped_summary, prepared
 from .windows import SCOPE
 
 
@@ -49,6 +51,24 @@ def rail(events: DataFrame) -> DataFrame:
     )
 
 
+def full_rail(events: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """rail() with what a window's messages are made of (groups, grouped messages, singletons), how many ask, and its gate ledger.
+
+    checked are cards through the gate (cards.check_cards); their window is that of their start.
+    """
+    chat = prepared(events.where(F.col("type") == CHAT))
+    parts = grouped_summary(chat).select(*SCOPE, "groups", "grouped", F.col("ungrouped").alias("singletons"))
+    asked = chat.groupBy(*SCOPE).agg(F.count_if(T.is_question(F.coalesce("text", F.lit("")), F.col("canon"))).alias("questions"))
+    rows = rail(events).join(parts, SCOPE, "left").join(asked, SCOPE, "left")
+    counts = ["groups", "grouped", "singletons", "questions"]
+    if checked is not None:
+        ledger = gate_ledger(checked)
+        codes = F.array_join(F.transform("codes", lambda c: F.concat_ws(" ", c["code"], c["n"].cast("string"))), ",")
+        rows = rows.join(ledger.select(*SCOPE, "verified", "abstained", "rejected", codes.alias("codes")), SCOPE, "left")
+        counts += ["verified", "abstained", "rejected"]
+    return rows.fillna(0, counts)
+
+
 def mention_census(chat: DataFrame) -> DataFrame:
     """Mentions and distinct handles by channel, and in all (null channel)."""
     rows = chat.select("channel", F.explode(T.mentions(F.col("text"))).alias("handle"))

@@ -10,6 +10,8 @@ from ..sources.events import CHAT
 from .windows import SCOPE
 
 SYSTEMS = ("agent", "baseline")
+#: The kind of a capture whose numbers may be reported (fixed value).
+REPORTABLE = "capture"
 KINDS = ("chat", "card", "board", "tick")
 
 
@@ -21,9 +23,9 @@ def available_captures(meta: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def fixture_provenance(cases: DataFrame, meta: DataFrame) -> DataFrame:
-    """Each capture that cases (case_id, fixture, fixture_kind) use, with its kind, channel, provenance and cases."""
+    """Each capture that cases (case_id, fixture, fixture_kind) use, with its kind, channel, provenance and cases; `reportable` if it was captured from a broadcast."""
     used = cases.groupBy("fixture").agg(F.coalesce(F.min_by("fixture_kind", "case_id"), F.lit("unknown")).alias("kind"), F.array_sort(F.collect_set("case_id")).alias("cases"))
-    return used.join(meta.select(F.col("fixture_id").alias("fixture"), "channel", "provenance"), "fixture", "left")
+    return used.join(meta.select(F.col("fixture_id").alias("fixture"), "channel", "provenance"), "fixture", "left").withColumn("reportable", F.col("kind") == REPORTABLE)
 
 
 def union_emitted(verified: DataFrame, rejected: DataFrame, scope: list[str]) -> DataFrame:

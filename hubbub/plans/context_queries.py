@@ -139,7 +139,7 @@ QUERIES = {
     "case_overlap": lambda s, d: evaluation.case_overlap(_turn_spans(s, d)),
     "parse_irc": lambda s, d: parsing.parse_irc(_irc(s, d)).select("event_id", "ts_ms", "login", "text"),
     "dedupe_rows": lambda s, d: parsing.dedupe_rows(_of(s, d, E.CHAT), ["channel", "ts_ms", "text"], ["event_id"]).select("channel", "event_id"),
-    "user_dimension": lambda s, d: parsing.user_dimension(_of(s, d, E.CHAT).selectExpr("upper(author) login"), _of(s, d, E.CHAT).selectExpr("channel login").distinct()),
+    "user_dimension": lambda s, d: parsing.user_dimension(_of(s, d, E.CHAT).selectExpr("upper(author) login"), stored(parsing.user_dimension(_of(s, d, E.CHAT).selectExpr("channel login")), "users")),
     "words_to_segments": lambda s, d: parsing.words_to_segments(_words(s, d)),
     "upsert_summary": lambda s, d: feeds.upsert(_tiled(s, d).groupBy("channel", "win").agg(F.count("*").alias("n"), F.lit(1).alias("version")), _tiled(s, d).where("type = 'chat_message'").groupBy("channel", "win").agg(F.count("*").alias("n"), F.lit(2).alias("version")), ["channel", "win"], "version"),
 }
@@ -177,6 +177,7 @@ ORACLE_SQL = {
     "SELECT x.fixture, x.case_id, y.case_id AS other, (least(x.e, y.e) - greatest(x.s, y.s)) / least(x.e - x.s, y.e - y.s) AS share FROM c x JOIN c y ON x.fixture = y.fixture AND x.case_id < y.case_id AND x.s < y.e AND y.s < x.e",
     "parse_irc": f"WITH {_EVENTS} SELECT event_id, ts_ms, lower(author) AS login, regexp_replace(replace(text, chr(13), ' '), '[\\r\\n]+$', '') AS text FROM ev WHERE type = 'chat_message'",
     "dedupe_rows": f"WITH {_EVENTS} SELECT channel, min(event_id) AS event_id FROM ev WHERE type = 'chat_message' GROUP BY channel, ts_ms, text",
-    "user_dimension": f"WITH {_EVENTS} SELECT channel AS login FROM ev WHERE type = 'chat_message' UNION SELECT lower(author) FROM ev WHERE type = 'chat_message'",
+    "user_dimension": f"WITH {_EVENTS}, c AS (SELECT DISTINCT lower(channel) AS login FROM ev WHERE type = 'chat_message' AND channel IS NOT NULL), k AS (SELECT row_number() OVER (ORDER BY login) AS user_id, login FROM c), n AS (SELECT DISTINCT lower(author) AS login FROM ev WHERE type = 'chat_message' AND author IS NOT NULL AND lower(author) NOT IN (SELECT login FROM c)) "
+    "SELECT user_id, login FROM k UNION ALL SELECT (SELECT max(user_id) FROM k) + row_number() OVER (ORDER BY login), login FROM n",
     "upsert_summary": f"WITH {_TILED} SELECT channel, win, CASE WHEN m > 0 THEN m ELSE n END AS n, CASE WHEN m > 0 THEN 2 ELSE 1 END AS version FROM (SELECT channel, win, count(*) AS n, count(*) FILTER (type = 'chat_message') AS m FROM tiled GROUP BY ALL)",
 }

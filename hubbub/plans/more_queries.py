@@ -199,7 +199,7 @@ QUERIES = {
     "cache_misses": lambda s, d: context.cache_misses(*_requests(s, d)),
     "cache_counts": lambda s, d: context.cache_counts(*_requests(s, d)),
     "available_captures": lambda s, d: replay.available_captures(_meta(s, d), _results(s, d)).withColumn("systems", F.array_join("systems", ",")),
-    "fixture_provenance": lambda s, d: replay.fixture_provenance(C._of(s, d, E.FRAME).select(F.col("event_id").alias("case_id"), F.concat(F.lit("f_"), "channel").alias("fixture"), F.lit(None).cast("string").alias("fixture_kind")), _meta(s, d)).withColumn("cases", F.array_join("cases", ",")),
+    "fixture_provenance": lambda s, d: replay.fixture_provenance(C._of(s, d, E.FRAME).select(F.col("event_id").alias("case_id"), F.concat(F.lit("f_"), "channel").alias("fixture"), F.when(F.length("channel") % 2 == 0, "capture").alias("fixture_kind")), _meta(s, d)).withColumn("cases", F.array_join("cases", ",")),
     "trajectory_counts": lambda s, d: evaluation.trajectory_counts(_runs(s, d)),
     "tool_calls": lambda s, d: evaluation.tool_calls(_runs(s, d)),
     "usage_ledger": lambda s, d: evaluation.usage_ledger(_calls(s, d)),
@@ -324,7 +324,7 @@ ORACLE_SQL = {
     "SELECT channel, signal_id, CAST(row_number() OVER (PARTITION BY channel ORDER BY n) AS INTEGER) AS place, event_id, text, cited FROM s WHERE n <= stop AND n > stop - 12",
     "cache_misses": f"{_EV}, r AS (SELECT sha256(text) AS key, event_id, text FROM ev WHERE type = 'chat_message') SELECT key, event_id FROM r WHERE text NOT LIKE '%a'",
     "cache_counts": f"{_EV} SELECT count(*) FILTER (text LIKE '%a') AS hits, count(*) FILTER (text NOT LIKE '%a') AS misses FROM ev WHERE type = 'chat_message'",
-    "fixture_provenance": f"WITH {_META} SELECT concat('f_', e.channel) AS fixture, 'unknown' AS kind, string_agg(event_id, ',' ORDER BY event_id) AS cases, any_value(m.channel) AS channel, 'tables' AS provenance FROM ev e JOIN meta m ON m.channel = e.channel WHERE type = 'frame_caption' GROUP BY e.channel",
+    "fixture_provenance": f"WITH {_META} SELECT concat('f_', e.channel) AS fixture, CASE WHEN length(e.channel) % 2 = 0 THEN 'capture' ELSE 'unknown' END AS kind, string_agg(event_id, ',' ORDER BY event_id) AS cases, any_value(m.channel) AS channel, 'tables' AS provenance, length(e.channel) % 2 = 0 AS reportable FROM ev e JOIN meta m ON m.channel = e.channel WHERE type = 'frame_caption' GROUP BY e.channel",
     "available_captures": f"WITH {_META}, r AS (SELECT DISTINCT channel, CASE WHEN length(text) % 2 = 0 THEN 'baseline' ELSE 'agent' END AS system FROM ev WHERE type = 'transcript_segment' AND length(channel) % 2 = 0), s AS (SELECT channel, string_agg(system, ',' ORDER BY system) AS systems FROM r GROUP BY ALL) "
     "SELECT fixture_id, channel, '2025-01-01' AS captured_utc, duration_s, chat_messages, systems FROM meta JOIN s USING (channel) WHERE speech > 0",
     "summary_inputs": f"WITH {C._LEVELS}, k AS (SELECT *, row_number() OVER (PARTITION BY channel, window_s, k, type ORDER BY ts_ms DESC, event_id DESC) AS back FROM sl), "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import board, grouping, metrics, moderation, windows
 from ..sources import events as E
-from . import chat_sql, context_queries, more_queries
+from . import chat_sql, context_queries, extra_queries, more_queries
 from .store import stored
 
 
@@ -47,7 +47,7 @@ QUERIES = {
     "unattributed": lambda s, d: board.unattributed(_attributed(s, d)[1]),
     "board_footer": _footer,
     "needs_a_look": lambda s, d: moderation.needs_a_look(_chat(_events(s, d))),
-    "board": lambda s, d: board.board(_tiled(s, d)),
+    "board": lambda s, d: board.board_rows(_attributed(s, d)[1]),
     "group_chat": lambda s, d: _lined(grouping.group_chat(_chat(_tiled(s, d)))),
     "grouped_summary": lambda s, d: grouping.grouped_summary(_chat(_tiled(s, d))),
     "top_groups": lambda s, d: _lined(grouping.top_groups(grouping.group_chat(_chat(_tiled(s, d))))),
@@ -64,7 +64,7 @@ QUERIES = {
     "new_chatters": lambda s, d: metrics.new_chatters(_chat(_tiled(s, d))),
     "concentration": lambda s, d: metrics.concentration(_chat(_tiled(s, d))),
     "mention_census": lambda s, d: metrics.mention_census(_chat(_events(s, d))),
-    "links": lambda s, d: moderation.links(_chat(_events(s, d))),
+    "links": lambda s, d: _lined(moderation.links(_chat(_events(s, d)))),
     "injection": lambda s, d: moderation.injection(_chat(_events(s, d))),
 }
 
@@ -84,10 +84,10 @@ ORACLE_SQL: dict[str, str] = {
     "concentration": f"WITH {_CHATS}, a AS (SELECT channel, win, author, count(*) AS n FROM chats GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY channel, win ORDER BY n DESC, author) AS k, count(*) OVER (PARTITION BY channel, win) AS m FROM a) "
     "SELECT channel, win, max(m) AS unique_chatters, round_even(sum(CASE WHEN k <= greatest(1, floor(m * 0.1)) THEN n ELSE 0 END) / sum(n), 3) AS concentration FROM k GROUP BY ALL",
     "mention_census": f"WITH {_EVENTS}, m AS (SELECT channel, unnest(regexp_extract_all(text, '@([A-Za-z0-9_]{{3,25}})', 1)) AS handle FROM events_view WHERE type = 'chat_message') SELECT channel, count(*) AS mentions, count(DISTINCT lower(handle)) AS handles FROM m GROUP BY ROLLUP (channel)",
-    "links": f"WITH {_EVENTS}, l AS (SELECT channel, author, ts_ms, {_HOST} AS host FROM events_view WHERE type = 'chat_message'), h AS (SELECT channel, host, count(*) AS count, count(DISTINCT coalesce(author, '')) AS authors, min(ts_ms) AS first_ts_ms FROM l WHERE host <> '' GROUP BY ALL), "
+    "links": f"WITH {_EVENTS}, l AS (SELECT channel, event_id, author, ts_ms, text, {_HOST} AS host FROM events_view WHERE type = 'chat_message'), h AS (SELECT channel, host, count(*) AS count, count(DISTINCT coalesce(author, '')) AS authors, min(ts_ms) AS first_ts_ms, array_to_string(list(event_id ORDER BY ts_ms, event_id) [1:12], chr(10)) AS event_ids, array_to_string(list(text ORDER BY ts_ms, event_id) [1:3], chr(10)) AS samples FROM l WHERE host <> '' GROUP BY ALL), "
     "r AS (SELECT *, CAST(row_number() OVER (PARTITION BY channel ORDER BY count DESC, host) AS INTEGER) AS rank FROM h) SELECT * FROM r WHERE rank <= 5",
     "injection": f"WITH {_EVENTS}, r AS (SELECT channel, event_id, author, ts_ms, CAST(row_number() OVER (PARTITION BY channel ORDER BY ts_ms, event_id) AS INTEGER) AS rank FROM events_view WHERE type = 'chat_message' AND regexp_matches(text, '(?i)\\bignore (?:all |the )?(?:previous|prior|above|earlier)')) SELECT * FROM r WHERE rank <= 5",
 }
 
-QUERIES |= context_queries.QUERIES | more_queries.QUERIES
-ORACLE_SQL |= context_queries.ORACLE_SQL | chat_sql.ORACLE_SQL | more_queries.ORACLE_SQL
+QUERIES |= context_queries.QUERIES | more_queries.QUERIES | extra_queries.QUERIES
+ORACLE_SQL |= context_queries.ORACLE_SQL | chat_sql.ORACLE_SQL | more_queries.ORACLE_SQL | extra_queries.ORACLE_SQL

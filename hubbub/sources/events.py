@@ -20,15 +20,22 @@ _FEEDS = (
 )
 
 
-def read_captures(spark: SparkSession, root: str) -> DataFrame:
-    """Feeds under root/<channel>/; a feed that no channel has gives no rows; missing ids come from content."""
+def read_captures(spark: SparkSession, root: str, pattern: str = "{name}.jsonl") -> DataFrame:
+    """Feeds under root/<channel>/; a feed that no channel has gives no rows; missing ids come from content.
+
+    The pattern of file names, and root, may hold the feed's {name}. `meta` holds a chat line's other fields by name, nested ones as JSON text (null for other
+    feeds); a field that is null is left out.
+    """
     out = None
     for name, prefix, kind, schema in _FEEDS:
         # a filter by name instead of a glob: it may match no file
-        rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"{name}.jsonl").json(root)
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern.replace("{name}", name)).text(root.replace("{name}", name))
+        fields = F.from_json("value", "map<string,string>") if kind == CHAT else F.lit(None).cast("map<string,string>")
+        extra = F.map_filter(fields, lambda k, v: ~k.isin("id", "ts_ms", "text", "author") & v.isNotNull())
+        rows = lines.select(F.from_json("value", schema).alias("r"), extra.alias("meta"), F.col("_metadata.file_path").alias("path")).select("r.*", "meta", "path")
         text = F.coalesce(F.col("caption" if kind == FRAME else "text"), F.lit(""))
         rows = rows.where("ts_ms is not null").select(
-            F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("channel"),
+            F.element_at(F.split("path", "/"), -2).alias("channel"),
             F.coalesce("id", T.event_id(prefix, F.col("ts_ms"), text)).alias("event_id"),
             F.lit(kind).alias("type"),
             "ts_ms",
@@ -36,6 +43,7 @@ def read_captures(spark: SparkSession, root: str) -> DataFrame:
             (F.col("author") if kind == CHAT else F.lit(None).cast("string")).alias("author"),
             text.alias("text"),
             (F.coalesce("final", F.lit(True)) if kind == SPEECH else F.lit(True)).alias("final"),
+            "meta",
         )
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.scan import ranged, scanned
+from ..operators.scan import numbered, ranged, scanned
 
 SEGMENT_GAP_MS, CAPTION_CHARS = 1500, 500
 _SPACE = r"(?U)\s+"
@@ -126,10 +126,18 @@ def stamp_frames(files: DataFrame, start_ms: int, interval_s: int) -> DataFrame:
     return rows.withColumn("ts_ms", F.when(F.col("numbered"), F.lit(start_ms) + place * (interval_s * 1000)).otherwise(F.col("name").cast("long"))).select("path", "ts_ms")
 
 
-def user_dimension(logins: DataFrame, known: DataFrame) -> DataFrame:
-    """known (login) and the new lower-cased logins."""
+def user_dimension(logins: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """user_id and login: known (user_id, login) as they are, and the new lower-cased logins numbered on from the greatest known id.
+
+    New logins are numbered by range (scan.numbered): ids are dense, unique however many tasks
+    give them, and the same when a task runs again; a second run over its own result adds none.
+    """
     new = logins.select(F.lower("login").alias("login")).where("login is not null").distinct()
-    return known.select("login").unionByName(new.join(known.select("login"), "login", "left_anti"))
+    if known is not None:
+        new = new.join(known.select("login"), "login", "left_anti")
+    first = known.agg(F.coalesce(F.max("user_id"), F.lit(0))).first()[0] if known is not None else 0
+    fresh = numbered(new, [], ["login"], "user_id").select((F.col("user_id") + first).cast("long").alias("user_id"), "login")
+    return known.select(F.col("user_id").cast("long"), "login").unionByName(fresh) if known is not None else fresh
 
 
 def write_tables(rows: DataFrame, path: str, kind: str = "json") -> None:
