@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -38,12 +38,58 @@ def prepared(chat: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     return stored(chat.select(*scope, "event_id", "ts_ms", "author", "text", T.canonical(F.col("text")).alias("canon")), "canonical")
 
 
+def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows dealt by hash to as many tasks as spark.sql.shuffle.partitions says; a stated number is not coalesced, however long the work on few megabytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _in_windows(chat: DataFrame, scope: list[str], is_dealt: bool = False) -> DataFrame:
+    """Every message of small scopes (windows) with its `key`, null without one, in one pass.
+
+    Messages are dealt once by scope. All counts are window functions over the scope and
+    something of it, which that dealing already satisfies, so no step moves a row again,
+    and no join is needed; canonical() runs behind the shuffle. With is_dealt, rows are
+    already dealt by some of the scope's columns.
+    """
+    kept = [*scope, "event_id", "ts_ms", "text", *["canon"] * ("canon" in chat.columns)]
+    rows = chat.select(*kept) if is_dealt else dealt(chat.select(*kept), scope)
+    rows = rows if "canon" in chat.columns else rows.withColumn("canon", T.canonical(F.col("text")))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    c = F.col("canon")
+    single = ~c.contains(" ") & (F.length(c) >= PREFIX_CHARS) & c.rlike(WORDISH)
+    head = F.when(~F.col("reaction") & single, F.substring(c, 1, PREFIX_CHARS))
+    rows = rows.withColumn("reaction", T.is_reaction(c)).withColumn("head", head).withColumn("tokens", F.array_distinct(T.content_tokens(c)))
+    many = F.count("head").over(Window.partitionBy(*scope, "head")) >= MIN_PREFIX
+    rows = rows.withColumn("own", F.when(F.col("reaction"), REACTION_KEY).when(many, F.concat(F.lit("p:"), "head")))
+    each = rows.select(*scope, "_row", F.struct("event_id", "ts_ms", "text", "own").alias("message"), F.posexplode_outer(F.when(F.col("own").isNull(), F.col("tokens"))).alias("at", "token"))
+    # a message's first token carries it, the others only their token
+    each = each.withColumn("message", F.when(F.coalesce("at", F.lit(0)) == 0, F.col("message"))).withColumn("n", F.count("token").over(Window.partitionBy(*scope, "token")))
+    best = F.min(F.when(F.col("n") >= MIN_TOKEN, F.struct((-F.col("n")).alias("n"), "token")))["token"]
+    found = each.groupBy(*scope, "_row").agg(F.first("message", True).alias("m"), best.alias("best")).select(*scope, "m.event_id", "m.ts_ms", "m.text", F.coalesce("m.own", F.concat(F.lit("t:"), F.col("best"))).alias("key"))
+
+    # a prefix group joins the largest token group that begins with the prefix
+    sizes = found.withColumn("n", F.count("key").over(Window.partitionBy(*scope, "key"))).withColumn("head", F.substring("key", 3, PREFIX_CHARS))
+    into = F.min(F.when(F.col("key").startswith("t:"), F.struct((-F.col("n")).alias("n"), "key"))).over(Window.partitionBy(*scope, "head"))["key"]
+    found = sizes.withColumn("into", into).withColumn("key", F.when(F.col("key").startswith("p:"), F.coalesce("into", "key")).otherwise(F.col("key")))
+    large = F.count("key").over(Window.partitionBy(*scope, "key")) >= _floor(F.col("key"))
+    return found.withColumn("large", large).select(*scope, "event_id", "ts_ms", "text", F.when(F.col("large"), F.col("key")).alias("key"))
+
+
+def _floor(key: Column) -> Column:
+    """How many messages a group needs."""
+    return F.when(key.startswith("p:"), MIN_PREFIX).when(key.startswith("t:"), MIN_TOKEN).otherwise(1)
+
+
 def assigned(chat: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
-    """scope, event_id, key for each message that belongs to a signal: reaction, shared prefix or shared token."""
+    """scope, event_id, key for each message that belongs to a signal: reaction, shared prefix or shared token.
+
+    A window's messages are few and stay in one task; a channel's, which may be most of all,
+    are counted with partial aggregates and joined.
+    """
+    if len(scope) > 1:
+        return stored(_in_windows(chat, scope).where("key is not null").select(*scope, "event_id", "key"), "assigned")
     c = F.col("canon")
     rows = prepared(chat, scope).select(*scope, "event_id", "canon")
-    if len(scope) > 1:  # a window's messages are few: dealt once by window, every step below stays in its task
-        rows = rows.repartition(*scope)
     single = ~c.contains(" ") & (F.length(c) >= PREFIX_CHARS) & c.rlike(WORDISH)
     rows = rows.withColumn("reaction", T.is_reaction(c)).withColumn("prefix", F.when(~F.col("reaction") & single, F.concat(F.lit("p:"), F.substring(c, 1, PREFIX_CHARS))))
     prefixes = rows.where("prefix is not null").groupBy(*scope, "prefix").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PREFIX).drop("n").withColumn("shared", F.lit(True))
@@ -56,27 +102,28 @@ def assigned(chat: DataFrame, scope: list[str] = SCOPE) -> DataFrame:
     found = rows.where("own is not null").select(*scope, "event_id", F.col("own").alias("key")).unionByName(picked.select(*scope, "event_id", F.concat(F.lit("t:"), F.col("best.token")).alias("key")))
     found = stored(found, "candidates")
 
-    # a prefix group joins the largest token group that begins with the prefix
     sizes = found.groupBy(*scope, "key").agg(F.count("*").alias("n"))
     heads = sizes.where("key like 't:%'").withColumn("prefix", F.concat(F.lit("p:"), F.substring("key", 3, PREFIX_CHARS)))
     target = heads.groupBy(*scope, "prefix").agg(F.min(F.struct((-F.col("n")).alias("n"), "key")).alias("best")).select(*scope, F.col("prefix").alias("key"), F.col("best.key").alias("into"))
     found = found.join(target, [*scope, "key"], "left").select(*scope, "event_id", F.coalesce("into", "key").alias("key"))
-    floor = F.when(F.col("key").startswith("p:"), MIN_PREFIX).when(F.col("key").startswith("t:"), MIN_TOKEN).otherwise(1)
-    large = found.groupBy(*scope, "key").agg(F.count("*").alias("n")).where(F.col("n") >= floor).drop("n")
+    large = found.groupBy(*scope, "key").agg(F.count("*").alias("n")).where(F.col("n") >= _floor(F.col("key"))).drop("n")
     return stored(found.join(large, [*scope, "key"]), "assigned")
 
 
-def group_chat(chat: DataFrame, scope: list[str] = SCOPE, max_samples: int = 3) -> DataFrame:
-    """A row for each signal. All its message ids are rows of assigned(), not an array here."""
-    chat = prepared(chat, scope)
-    rows = chat.join(assigned(chat, scope), [*scope, "event_id"])
-    groups = rows.groupBy(*scope, "key").agg(F.count("*").alias("count"), F.min("ts_ms").alias("first_ts_ms"), F.max("ts_ms").alias("last_ts_ms"))
-    texts = rows.groupBy(*scope, "key", "text").agg(F.min(F.struct("ts_ms", "event_id")).alias("at"))
-    ranked = texts.withColumn("k", F.row_number().over(Window.partitionBy(*scope, "key").orderBy("at"))).where(F.col("k") <= max_samples)
-    samples = ranked.groupBy(*scope, "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]).alias("samples"))
+def group_chat(chat: DataFrame, scope: list[str] = SCOPE, max_samples: int = 3, is_dealt: bool = False) -> DataFrame:
+    """A row for each signal. All its message ids are rows of assigned(), not an array here. is_dealt: chat is dealt by some of the scope."""
+    if len(scope) > 1:
+        rows = _in_windows(chat, scope, is_dealt).where("key is not null")
+    else:
+        chat = prepared(chat, scope)
+        rows = chat.join(assigned(chat, scope), [*scope, "event_id"])
+    texts = rows.groupBy(*scope, "key", "text").agg(F.count("*").alias("n"), F.min(F.struct("ts_ms", "event_id")).alias("at"), F.max("ts_ms").alias("last"))
+    ranked = texts.withColumn("k", F.row_number().over(Window.partitionBy(*scope, "key").orderBy("at")))
+    samples = F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= max_samples, F.struct("k", "text")))), lambda x: x["text"])
+    groups = ranked.groupBy(*scope, "key").agg(F.sum("n").alias("count"), F.min("at.ts_ms").alias("first_ts_ms"), F.max("last").alias("last_ts_ms"), samples.alias("samples"))
     rule = F.when(F.col("key") == REACTION_KEY, "reaction").when(F.col("key").startswith("p:"), "prefix").otherwise("token")
     label = F.when(rule == "reaction", "reaction wave").when(rule == "prefix", F.concat(F.substring("key", 3, 99), F.lit("…"))).otherwise(F.expr("substring(key, 3)"))
-    return groups.join(samples, [*scope, "key"]).withColumns({"rule": rule, "label": label})
+    return groups.withColumns({"rule": rule, "label": label})
 
 
 def top_groups(groups: DataFrame, scope: list[str] = SCOPE, k: int = 6) -> DataFrame:
