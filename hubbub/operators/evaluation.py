@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,15 +172,34 @@ def budget_state(calls: DataFrame, prices: DataFrame, cap_usd: float) -> DataFra
     return spent.select("provider", "calls", "unpriced", F.round("spent", 4).alias("spent_usd"), F.round(F.greatest(F.lit(0.0), cap_usd - F.col("spent")), 4).alias("remaining_usd"), (F.col("spent") < cap_usd).alias("allowed"))
 
 
-def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block: int = 1024) -> DataFrame:
+def spanning_forest(cosines: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Edges of a maximum spanning forest of the graph whose edges are the cosines of threshold or more, by Prim's method on whole rows."""
+    n = len(cosines)
+    best, parent, waiting = np.full(n, -np.inf), np.full(n, -1), np.ones(n, bool)
+    edges = []
+    for _ in range(n):
+        i = int(np.argmax(np.where(waiting, best, -np.inf)))
+        if not waiting[i] or best[i] < threshold:
+            i = int(np.argmax(waiting))  # the next tree's root
+        else:
+            edges.append((int(parent[i]), i))
+        waiting[i] = False
+        nearer = waiting & (cosines[i] > best)
+        best[nearer], parent[nearer] = cosines[i][nearer], i
+    return edges
+
+
+def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block: int = 1024, forest: bool = False) -> DataFrame:
     """Pairs (scope, a, b, cosine) of one scope's vectors (id, vector) with cosine of threshold or more.
 
+    With forest, each task hands out a maximum spanning forest of its pairs alone: at every
+    threshold from this one up, the forests' edges connect what all pairs connect, and a
+    block of n vectors has fewer than n of them.
+
     A scope is cut into blocks and each task multiplies two of them, so none holds a whole
     scope; all of a scope's vectors are compared, as single-link clusters need. A zero
     vector is like nothing.
     """
-    import numpy as np
-
     rows = vectors.select(*scope, "id", "vector")
     sizes = rows.groupBy(*scope).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
     rows = rows.join(sizes, scope).withColumn("at", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -198,9 +218,17 @@ def cluster_edges(vectors: DataFrame, scope: list[str], threshold: float, block:
         if not len(left) or not len(right):
             return group.iloc[:0][scope].assign(a=0, b=0, cosine=0.0)
         cosines = unit(left["vector"]) @ unit(right["vector"]).T
-        i, j = np.nonzero(cosines >= threshold)
+        if forest and x == y:
+            np.fill_diagonal(cosines, -np.inf)
+            pairs = spanning_forest(cosines, threshold)
+        elif forest:
+            n, m = cosines.shape
+            both = np.full((n + m, n + m), -np.inf)
+            both[:n, n:], both[n:, :n] = cosines, cosines.T
+            pairs = [(min(p), max(p) - n) for p in spanning_forest(both, threshold)]
+        i, j = np.array(pairs, int).reshape(-1, 2).T if forest else np.nonzero(cosines >= threshold)
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
-        keep = a < b if x == y else a != b
+        keep = a != b if forest or x != y else a < b
         found = pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "cosine": cosines[i, j][keep]})
         for k, c in enumerate(scope):
             found.insert(k, c, group[c].iloc[0])
@@ -224,10 +252,12 @@ def arm_token_prefix(chat: DataFrame, scope: list[str]) -> DataFrame:
 def arm_embeddings(vectors: DataFrame, scope: list[str], thresholds: tuple[float, ...] = COSINES, rounds: int = 60) -> DataFrame:
     """threshold, scope, id, key: single-link clusters of each scope's vectors at every threshold; key is the smallest id.
 
-    Each round every vector takes the smallest label among its neighbours and then its
-    label's own label; rounds are written out, so a lost executor costs one of them.
+    The clusters of all thresholds are cuts of maximum spanning forests, found once, so few
+    edges are looked at again. Each round every vector takes the smallest label among its
+    neighbours and then its label's own label; rounds are written out, so a lost executor
+    costs one of them.
     """
-    edges = cluster_edges(vectors, scope, min(thresholds))
+    edges = cluster_edges(vectors, scope, min(thresholds), forest=True)
     each = F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: F.col("cosine") >= t))
     edges = stored(edges.withColumn("threshold", each).select("threshold", *scope, "a", "b"), "edges")
     by = ["threshold", *scope]

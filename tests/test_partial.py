@@ -118,3 +118,29 @@ def test_extra_queries_equal_their_sql(spark, name):
     at = [[d[0] for d in answer.description].index(c) for c in columns]
     plain = lambda v: round(v, 9) if isinstance(v, float) else v
     assert Counter(tuple(plain(r[c]) for c in columns) for r in df.collect()) == Counter(tuple(plain(r[k]) for k in at) for r in answer.fetchall())
+
+
+def test_clusters_by_spanning_forests(spark, monkeypatch):
+    """Clusters at every threshold from forests of blocks equal those of all pairs."""
+    rng = random.Random(12)
+    vectors = [(w, k, [rng.gauss(0, 1) for _ in range(3)]) for w in "vw" for k in range(40)] + [("w", 99, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(vectors, "win string, id long, vector array<double>")
+    told = set()
+    for t in (0.9, 0.97, 0.995):
+        for w in "vw":
+            own = {i: v for s, i, v in vectors if s == w}
+            unit = {i: [x / (sum(y * y for y in v) ** 0.5 or 1) for x in v] for i, v in own.items()}
+            label = {i: i for i in own}
+            for _ in own:
+                for a in own:
+                    for b in own:
+                        if a != b and sum(x * y for x, y in zip(unit[a], unit[b])) >= t:
+                            label[a] = label[b] = min(label[a], label[b])
+            told |= {(t, w, i, k) for i, k in label.items()}
+    for block in (7, 1024):
+        edges = evaluation.cluster_edges
+        monkeypatch.setattr(evaluation, "cluster_edges", lambda *a, b=block, f=edges, **k: f(*a, block=b, **k))
+        got = evaluation.arm_embeddings(df, ["win"], (0.9, 0.97, 0.995)).collect()
+        monkeypatch.setattr(evaluation, "cluster_edges", edges)
+        assert {(r.threshold, r.win, r.id, r.key) for r in got} == told
+    assert evaluation.cluster_edges(df, ["win"], 0.9, 1024, forest=True).count() <= 78
