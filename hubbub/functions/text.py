@@ -25,7 +25,12 @@ def folded(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """A message's skeleton: folded, punctuation gone, runs of characters, syllables and words cut short."""
-    t = F.regexp_replace(folded(F.coalesce(text, F.lit(""))), r"\p{P}", " ")
+    return skeleton(folded(F.coalesce(text, F.lit(""))))
+
+
+def skeleton(folded_text: Column) -> Column:
+    """canonical() of a text that is folded already; built-in functions alone."""
+    t = F.regexp_replace(folded_text, r"\p{P}", " ")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
     t = F.regexp_replace(t, r"(.)\1{2,}", "$1$1")
     t = F.regexp_replace(t, r"(.{1,4}?)\1{2,}", "$1$1")

@@ -48,12 +48,14 @@ def _in_windows(chat: DataFrame, scope: list[str], is_dealt: bool = False) -> Da
 
     Messages are dealt once by scope. All counts are window functions over the scope and
     something of it, which that dealing already satisfies, so no step moves a row again,
-    and no join is needed; canonical() runs behind the shuffle. With is_dealt, rows are
-    already dealt by some of the scope's columns.
+    and no join is needed. Texts are folded before the shuffle, as a step in Python forgets
+    how rows are dealt; the rest of canonical() runs behind it. With is_dealt, rows (with
+    canon) are already dealt by some of the scope's columns.
     """
-    kept = [*scope, "event_id", "ts_ms", "text", *["canon"] * ("canon" in chat.columns)]
-    rows = chat.select(*kept) if is_dealt else dealt(chat.select(*kept), scope)
-    rows = rows if "canon" in chat.columns else rows.withColumn("canon", T.canonical(F.col("text")))
+    known = "canon" in chat.columns
+    rows = chat.select(*scope, "event_id", "ts_ms", "text", *(["canon"] if known else [T.folded(F.coalesce("text", F.lit(""))).alias("_folded")]))
+    rows = rows if is_dealt else dealt(rows, scope)
+    rows = rows if known else rows.withColumn("canon", T.skeleton(F.col("_folded"))).drop("_folded")
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     c = F.col("canon")
     single = ~c.contains(" ") & (F.length(c) >= PREFIX_CHARS) & c.rlike(WORDISH)
