@@ -48,18 +48,20 @@ def coordinated(chat: DataFrame, max_rows: int = MAX_ROWS, span_ms: int = COORDI
     counts for starts after the author's post before it, or from p - span_ms on. Each such
     interval adds one at its first start and takes one behind its last; a running sum gives
     the authors of every start. Sums of messages are the difference of two running sums.
-    A text is looked at in time slots, so that one text repeated everywhere is many groups.
+    Texts are shuffled as hashes. A text is looked at in time slots, so that one text repeated everywhere is many groups.
     """
-    texts = chat.where(F.length("text") >= MIN_CHARS).groupBy("text").agg(F.count("*").alias("_n"))
-    keys = stored(texts.select("text", T.canonical(F.col("text")).alias("key")), "long-texts")
-    keys = keys.where((F.length("key") >= MIN_CHARS) & (F.size(T.words(F.col("key"))) >= MIN_WORDS))
-    rows = stored(chat.select("channel", "event_id", "ts_ms", F.coalesce("author", F.lit("")).alias("author"), "text").join(keys, "text").drop("text"), "long-posts")
-    many = rows.groupBy("channel", "key").agg(F.countDistinct("author").alias("n")).where(F.col("n") >= MIN_AUTHORS).select("channel", "key")
-    posts = rows.join(many, ["channel", "key"]).groupBy("channel", "key", "author", "ts_ms").agg(F.count("*").alias("n"))
+    texts = chat.where(F.length("text") >= MIN_CHARS).select("channel", "event_id", "ts_ms", F.coalesce("author", F.lit("")).alias("author"), T.canonical(F.col("text")).alias("canon"))
+    is_long = (F.length("canon") >= MIN_CHARS) & (F.size(T.words(F.col("canon"))) >= MIN_WORDS)
+    # a filter here would be pushed below and canonicalise twice, so short ones are null
+    texts = texts.select("channel", "event_id", "ts_ms", "author", F.when(is_long, F.col("canon")).alias("key"))
+    texts = stored(texts.withColumn("hash", F.unhex(F.md5("key"))), "long-texts").where("key is not null")
+    rows = texts.drop("key")
+    many = rows.groupBy("channel", "hash").agg(F.countDistinct("author").alias("n")).where(F.col("n") >= MIN_AUTHORS).select("channel", "hash")
+    posts = rows.join(many, ["channel", "hash"]).groupBy("channel", "hash", "author", "ts_ms").agg(F.count("*").alias("n"))
     # posts of a slot and of the next one decide about the starts of the slot
     own = F.floor(F.col("ts_ms") / span_ms)
     seen = posts.withColumn("slot", F.explode(F.array(own, own - 1))).withColumn("starts", F.col("slot") == own)
-    by = ["channel", "key", "slot"]
+    by = ["channel", "hash", "slot"]
     before = F.lag("ts_ms").over(Window.partitionBy(*by, "author").orderBy("ts_ms"))
     counted = seen.withColumn("since", F.greatest(F.coalesce(before + 1, F.col("ts_ms") - span_ms), F.col("ts_ms") - span_ms))
     zero = F.lit(0).cast("long")
@@ -69,12 +71,15 @@ def coordinated(chat: DataFrame, max_rows: int = MAX_ROWS, span_ms: int = COORDI
     upto = Window.partitionBy(*by).orderBy("at", "is_start").rowsBetween(Window.unboundedPreceding, 0)
     sums = changes.withColumns({"authors": F.sum("authors").over(upto), "count": F.sum("n").over(upto)})
     starts = sums.where(F.col("is_start") & (F.col("authors") >= MIN_AUTHORS))
-    first = starts.groupBy("channel", "key").agg(F.min(F.struct(F.col("at").alias("ts_ms"), "authors", "count")).alias("s")).select("channel", "key", F.col("s.ts_ms").alias("first_ts_ms"), F.col("s.authors").cast("int").alias("authors"), "s.count")
+    first = starts.groupBy("channel", "hash").agg(F.min(F.struct(F.col("at").alias("ts_ms"), "authors", "count")).alias("s")).select("channel", "hash", F.col("s.ts_ms").alias("first_ts_ms"), F.col("s.authors").cast("int").alias("authors"), "s.count")
+    first = stored(first, "stretches")
+    keys = texts.join(first.select("channel", "hash"), ["channel", "hash"], "left_semi").groupBy("channel", "hash").agg(F.min("key").alias("key"))
+    first = first.join(keys, ["channel", "hash"])
     w = Window.partitionBy("channel").orderBy(F.desc("authors"), "first_ts_ms", "key")
     top = first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max_rows)
-    members = rows.join(top, ["channel", "key"]).where((F.col("ts_ms") >= F.col("first_ts_ms")) & (F.col("ts_ms") <= F.col("first_ts_ms") + span_ms))
+    members = rows.join(top, ["channel", "hash"]).where((F.col("ts_ms") >= F.col("first_ts_ms")) & (F.col("ts_ms") <= F.col("first_ts_ms") + span_ms))
     ids = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id"))), lambda x: x["event_id"])
-    return top.join(members.groupBy("channel", "key").agg(ids.alias("event_ids")), ["channel", "key"])
+    return top.join(members.groupBy("channel", "hash").agg(ids.alias("event_ids")), ["channel", "hash"]).drop("hash")
 
 
 def needs_a_look(chat: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
