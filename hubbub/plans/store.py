@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,5 +34,45 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = new_path(spark, name)
+    if scopes := _scopes():
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+_local = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """This thread's open scopes, innermost last; each holds the paths stored in it."""
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def removed(spark: SparkSession) -> Iterator[None]:
+    """Tables that the block stores are removed at its end, also when it fails.
+
+    For steps whose result is stored before the block ends: that goes through keep(), and
+    nothing else that reads the block's tables may leave it.
+    """
+    scopes = _scopes()
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """stored() for the result of the innermost block of removed(): the table belongs to what is around it."""
+    scopes = _scopes()
+    own = scopes.pop() if scopes else None
+    try:
+        return stored(df, name)
+    finally:
+        if own is not None:
+            scopes.append(own)
