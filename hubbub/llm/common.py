@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.store import new_path, stored
+from ..plans.store import keep, new_path, removed, stored
 
-__all__ = ["WORD_SPLIT", "is_held_out", "new_path", "stored", "table", "utf8"]
+__all__ = ["WORD_SPLIT", "is_held_out", "keep", "new_path", "removed", "stored", "table", "utf8"]
 
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 

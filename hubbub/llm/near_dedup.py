@@ -171,9 +171,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = stored(known.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"), F.first("bands").alias("bands")), "classes")
 
     # every band of every class; bands that one class alone has are dropped
-    rows = classes.selectExpr("rep", "s1", "n", "bits", "posexplode(bands) as (band, key)")
+    rows = classes.selectExpr("rep", "s1", "n", "posexplode(bands) as (band, key)")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = stored(rows.join(shared, "key"), "bands")
+    # signatures are joined behind that, else every class would move its own once a band
+    rows = stored(rows.join(shared, "key").join(classes.select("rep", "s1", "bits"), ["rep", "s1"]), "bands")
     weight = rows.groupBy("rep", "s1").agg(F.sum("size").alias("weight"))
     hubs = rows.join(weight, ["rep", "s1"]).groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("first"), "n", "bits")).alias("hub"))
     close = f"100 * least(n, m) >= {percent} * greatest(n, m) and {unlike('bits', 'others')} <= {tuned(percent)[2]}"
