@@ -1,6 +1,7 @@
 """The corpus pipeline: documents in, packed sequences out.
 
-Each stage works on what its predecessor kept, written as Parquet and read again:
+Each stage works on what its predecessor kept, written as Parquet and read again; of the tables
+that quality, near_dedup and decontam store on the way, only the keys that decide are kept:
 quality (rejected documents go), near-duplicates (one document of each group stays),
 benchmark leaks (documents that hold a benchmark item go), personal data (spans are
 replaced by their kind) and packing (pieces of sequences). All but the last return the
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hubbub.llm import decontam, near_dedup, packing, pii, quality
 from hubbub.llm.bpe import vocabulary
-from hubbub.llm.common import stored, table
+from hubbub.llm.common import keep, removed, stored, table
 
 #: Copies of one document share this percentage of their word shingles; op7_near_dedup's own contract is 85.
 NEAR_PERCENT = 80
@@ -27,7 +28,8 @@ KEY, ODD, GROUP = "row key of the pipeline", "odd id of the pipeline", "group of
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    with removed(spark):
+        model = quality.fit(docs, table(spark, sf_dir, "labels"))
     own = "quality score of the pipeline"
     return quality.score(docs, model, own).where(F.col(own) >= 0.5).drop(own)
 
@@ -49,11 +51,12 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the row of the smallest doc_id of each group (a null one last)."""
     rows = keyed(docs)
-    groups = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(KEY), F.col("component_id").alias(GROUP))
-    odd = rows.where(F.col(ODD)).select(KEY, F.col("doc_id").alias("own")).distinct()
-    first = F.struct((F.col(ODD).isNotNull() & F.col("own").isNull()).alias("missing"), F.coalesce("own", KEY).alias("own"), KEY)
-    kept = groups.distinct().join(odd.withColumn(ODD, F.lit(True)), KEY, "left").groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
-    kept = stored(kept, "kept-rows")
+    with removed(spark):
+        groups = near_dedup.near_duplicates(rows.select(F.col(KEY).alias("doc_id"), "text"), NEAR_PERCENT).select(F.col("doc_id").alias(KEY), F.col("component_id").alias(GROUP))
+        odd = rows.where(F.col(ODD)).select(KEY, F.col("doc_id").alias("own")).distinct()
+        first = F.struct((F.col(ODD).isNotNull() & F.col("own").isNull()).alias("missing"), F.coalesce("own", KEY).alias("own"), KEY)
+        kept = groups.distinct().join(odd.withColumn(ODD, F.lit(True)), KEY, "left").groupBy(GROUP).agg(F.min(first).getField(KEY).alias(KEY)).select(KEY)
+        kept = keep(kept, "kept-rows")
     words = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     plain, copies, empty = (rows.where(c).join(kept, KEY, "left_semi") for c in (~F.col(ODD), F.col(ODD) & words, F.col(ODD) & ~words))
     return plain.unionByName(copies.dropDuplicates([KEY])).unionByName(empty).select(docs.columns)
@@ -61,7 +64,9 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = keyed(docs)
-    found = decontam.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(KEY)).distinct()
+    with removed(spark):
+        found = decontam.leaks(rows.select(F.col(KEY).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+        found = keep(found.select(F.col("doc_id").alias(KEY)).distinct(), "leaked-rows")
     return rows.join(found, KEY, "left_anti").select(docs.columns)
 
 
