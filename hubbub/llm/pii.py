@@ -247,7 +247,10 @@ def detect(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
-    found = detect(docs.select(F.struct("*").alias("row"), "text"))
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    if len(docs.columns) > 1:  # the text is stored once
+        rows = rows.withColumn("row", F.col("row").dropFields("text"))
+    found = detect(rows)
     names = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1)"
     cut = F.expr(
         "aggregate(array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind))), struct(0 as at, cast(array() as array<string>) as out), "
