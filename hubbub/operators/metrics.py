@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.fixed import BUCKET_MS, TILE_MS
 from ..sources.events import CHAT, FRAME, SPEECH
 from .cards import gate_ledger
-from .grouping import grouped_summary, prepared
+from .grouping import grouped_summary
 from .windows import SCOPE
 
 
@@ -36,18 +36,20 @@ def concentration(chat: DataFrame, share: float = 0.1) -> DataFrame:
     return ranked.groupBy(*SCOPE).agg(F.first("authors").alias("unique_chatters"), F.bround(F.sum(F.when(top, F.col("n")).otherwise(0)) / F.sum("n"), 3).alias("concentration"))
 
 
-def rail(events: DataFrame) -> DataFrame:
-    """The measured facts of every window that has an event."""
+def rail(events: DataFrame, questions: bool = False) -> DataFrame:
+    """The measured facts of every window that has an event; with `questions`, how many messages ask."""
     chat = events.where(F.col("type") == CHAT)
     base = events.groupBy(*SCOPE).agg(*[F.count_if(F.col("type") == t).alias(n) for t, n in ((CHAT, "messages"), (SPEECH, "speech_segments"), (FRAME, "frame_captions"))])
-    # equal texts are folded once: they are counted before canonical() sees them
-    texts = chat.groupBy(*SCOPE, "text").agg(F.count("*").alias("n"))
-    waves = texts.groupBy(*SCOPE).agg(F.sum(F.when(T.is_reaction(T.canonical(F.col("text"))), F.col("n")).otherwise(0)).alias("reaction_wave"))
+    # counted where messages are read: no text is shuffled
+    canon = chat.select(*SCOPE, "text", T.canonical(F.col("text")).alias("canon"))
+    asks = [F.count_if(T.is_question(F.coalesce("text", F.lit("")), F.col("canon"))).alias("questions")] if questions else []
+    waves = canon.groupBy(*SCOPE).agg(F.count_if(T.is_reaction(F.col("canon"))).alias("reaction_wave"), *asks)
     rows = base.join(waves, SCOPE, "left").join(rate_buckets(chat), SCOPE, "left").join(concentration(chat), SCOPE, "left").join(new_chatters(chat), SCOPE, "left")
     peak = F.coalesce(F.array_max("rate"), F.lit(0))
     return rows.select(
         *SCOPE, "messages", "rate", peak.alias("peak_burst"), F.bround(peak / (BUCKET_MS / 1000), 2).alias("peak_per_second"), F.coalesce("unique_chatters", F.lit(0)).alias("unique_chatters"), F.coalesce("new_chatters", F.lit(0)).alias("new_chatters"),
         F.coalesce(F.bround(F.try_divide("messages", "unique_chatters"), 2), F.lit(0.0)).alias("messages_per_chatter"), F.coalesce("concentration", F.lit(0.0)).alias("concentration"), F.coalesce("reaction_wave", F.lit(0)).alias("reaction_wave"), "speech_segments", (F.col("speech_segments") == 0).alias("silent"), "frame_captions",
+        *(["questions"] if questions else []),
     )
 
 
@@ -56,10 +58,9 @@ def full_rail(events: DataFrame, checked: DataFrame | None = None) -> DataFrame:
 
     checked are cards through the gate (cards.check_cards); their window is that of their start.
     """
-    chat = prepared(events.where(F.col("type") == CHAT))
-    parts = grouped_summary(chat).select(*SCOPE, "groups", "grouped", F.col("ungrouped").alias("singletons"))
-    asked = chat.groupBy(*SCOPE).agg(F.count_if(T.is_question(F.coalesce("text", F.lit("")), F.col("canon"))).alias("questions"))
-    rows = rail(events).join(parts, SCOPE, "left").join(asked, SCOPE, "left")
+    parts = grouped_summary(events.where(F.col("type") == CHAT)).select(*SCOPE, "groups", "grouped", F.col("ungrouped").alias("singletons"))
+    rows = rail(events, questions=True).join(parts, SCOPE, "left")
+    rows = rows.select(*[c for c in rows.columns if c != "questions"], "questions")
     counts = ["groups", "grouped", "singletons", "questions"]
     if checked is not None:
         ledger = gate_ledger(checked)

@@ -29,7 +29,7 @@ def _lined(df: DataFrame, by: str = "\n") -> DataFrame:
 
 
 def _attributed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    events = stored(_tiled(s, d), "tiled")
+    events = context_queries._tiles_once(s, d)
     return events, stored(board.attributed(events), "attributed")
 
 
