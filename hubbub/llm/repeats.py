@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -231,11 +232,21 @@ def _text(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def _in_batches(rows: Iterator[tuple], kinds: tuple[pa.DataType, ...], names: list[str], size: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most so many; no more of them are held at once."""
+    while part := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=names)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of offsets of each wanted unit, keyed by the bytes all windows of the block share."""
-    for batch in batches:
-        rows = []
-        for doc, tag, data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    return _in_batches(_blocks(batches), kinds, ["core", "h", "id", "tag", "single", "first", "more", "place", "data"], 4096)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for part in _slices(batches, 256):
+        for doc, tag, data, wanted in zip(*(c.to_pylist() for c in part.columns), strict=True):
             data = _text(data)
             found = units(data)
             place_of = dict(zip((found[2] << 12 | found[3] - found[2]).tolist(), found[1].tolist(), strict=True))
@@ -246,15 +257,19 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     first, last = max(lo, place - (block + 1) * BLOCK + 1), min(hi, place - block * BLOCK)
                     core = place - block * BLOCK, place - (block + 1) * BLOCK + 1 + LENGTH
                     key = xxhash.xxh3_64_intdigest(data[core[0] : core[1]], block) - 2**63
-                    rows.append((key, w["h"], doc, tag, w["single"], first, last - first, place - first, data[first : last + LENGTH]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        for k in range(0, len(rows), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 4096], strict=True), kinds, strict=True)], names=["core", "h", "id", "tag", "single", "first", "more", "place", "data"])
+                    yield key, w["h"], doc, tag, w["single"], first, last - first, place - first, data[first : last + LENGTH]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
 
 
 HOT_CORE = 1024
 CONTEXTS = "core long, h long, id long, tag long, single boolean, first long, more int, place int, data binary"
-SORT_BYTES = 24 << 20
+#: Sorting needs some forty times as much memory: prefix hashes, powers, places and their temporaries.
+SORT_BYTES = 4 << 20
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +287,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["id", "tag", "lo", "hi"])
 
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+    for part in _slices(batches, 1024):
+        for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
             if row[0] != last and size > SORT_BYTES:
                 yield from flush()
                 held, size = [], 0
@@ -285,30 +300,31 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows of contexts one by one, as 128-bit hashes of their bytes."""
-    for batch in batches:
-        rows = []
-        for doc, tag, single, first, more, data in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "single", "first", "more", "data")), strict=True):
-            for i in range(more + 1):
-                digest = xxhash.xxh3_128_digest(data[i : i + LENGTH])
-                rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, tag, single, first + i))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
-        for k in range(0, len(rows), 65536):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 65536], strict=True), kinds, strict=True)], names=["w1", "w2", "id", "tag", "single", "lo"])
+
+    def each() -> Iterator[tuple]:
+        for part in _slices(batches, 1024):
+            for doc, tag, single, first, more, data in zip(*(part.column(c).to_pylist() for c in ("id", "tag", "single", "first", "more", "data")), strict=True):
+                for i in range(more + 1):
+                    digest = xxhash.xxh3_128_digest(data[i : i + LENGTH])
+                    yield int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), doc, tag, single, first + i
+
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+    return _in_batches(each(), kinds, ["w1", "w2", "id", "tag", "single", "lo"], 16384)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for part in _slices(batches, 256):
         cols: list[list] = [[] for _ in range(6)]
-        for doc, data, whole, single, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc, data, whole, single, parts in zip(*(c.to_pylist() for c in part.columns), strict=True):
             data = _text(data)
             n = len(data)
             edges = np.zeros(n + 1, np.int32)
             for span in set(whole or ()) - set(single or ()):
                 edges[span >> 12] += 1
                 edges[(span >> 12) + (span & 4095) + LENGTH] -= 1
-            for part in parts or ():
-                edges[part["lo"]] += 1
-                edges[part["hi"] + LENGTH] -= 1
+            for run in parts or ():
+                edges[run["lo"]] += 1
+                edges[run["hi"] + LENGTH] -= 1
             gone = np.cumsum(edges[:n]) > 0
             spans = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1])) if n else 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes() if spans else data
