@@ -205,10 +205,14 @@ def boosted(rows: list[tuple], good: list[int], bad: list[int], rounds: int = RO
     return prior, trees
 
 
+def learns() -> Column:
+    """`learns`, whether trees are grown on a text's proposals; the others set the thresholds."""
+    return (F.pmod(F.xxhash64("text"), F.lit(4)) > 0).alias("learns")
+
+
 def fit(found: DataFrame, precision: float = PRECISION, support: int = SUPPORT) -> dict[int, tuple[str, float]]:
-    """For each kind: the score as SQL over c, and the score from which proposals are taken."""
-    learns = (F.pmod(F.xxhash64("text"), F.lit(4)) > 0).alias("learns")
-    counted = found.select(learns, F.explode("more").alias("c")).where("not c.passes").groupBy("learns", "c.kind", "c.evident", *[f"c.{f}" for f in FEATURES]).count().collect()  # by feature pattern
+    """For each kind: the score as SQL over c, and the score from which proposals are taken; found has text or learns()."""
+    counted = found.select("learns" if "learns" in found.columns else learns(), F.explode("more").alias("c")).where("not c.passes").groupBy("learns", "c.kind", "c.evident", *[f"c.{f}" for f in FEATURES]).count().collect()  # by feature pattern
     models = {}
     for i in range(len(KINDS)):
         tables: list[dict[tuple, list[int]]] = [{}, {}]
@@ -246,11 +250,16 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span replaced by its kind in brackets; overlapping spans are one, named by the first."""
+    """docs with every span replaced by its kind in brackets; overlapping spans are one, named by the first.
+
+    Proposals are stored without texts to learn from, and found again where texts are replaced:
+    a second search costs less than a stored copy of every text.
+    """
     rows = docs.select(F.struct("*").alias("row"), "text")
-    if len(docs.columns) > 1:  # the text is stored once
+    if len(docs.columns) > 1:  # the text is moved once
         rows = rows.withColumn("row", F.col("row").dropFields("text"))
-    found = detect(rows)
+    found = proposals(rows)
+    found = with_spans(found, fit(stored(found.select(learns(), "more"), "pii-spans")))
     names = "element_at(array('[EMAIL]', '[IP]', '[CARD]', '[PHONE]'), x.kind + 1)"
     cut = F.expr(
         "aggregate(array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind))), struct(0 as at, cast(array() as array<string>) as out), "
