@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import board, grouping, metrics, moderation, windows
 from ..sources import events as E
 from . import chat_sql, context_queries, extra_queries, more_queries
-from .store import stored
+from .store import keep, removed
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,8 @@ def _lined(df: DataFrame, by: str = "\n") -> DataFrame:
 
 def _attributed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     events = context_queries._tiles_once(s, d)
-    return events, stored(board.attributed(events), "attributed")
+    with removed(s):
+        return events, keep(board.attributed(events), "attributed")
 
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
